@@ -40,7 +40,7 @@ def brute_fingerprints(docs):
     like = lambda a, b, x, y: float((not x) == (not y)) and sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 512, 4)) / 128
     out = []
     for n, (i, t) in enumerate(docs):
-        later = [d for d in docs if (NULL_ID if d[0] is None else d[0]) > (NULL_ID if i is None else i)] if False else docs[n + 1 :]
+        later = docs[n + 1 :]
         t, nxt = t or "", (later[0] if later else docs[0])[1] or ""
         e = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
         a, b, c = mark(t), mark(e), mark(nxt)
