@@ -77,6 +77,7 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     if distance > 5:
         raise ValueError("three segments hold one with at most one differing bit for a distance up to 5")
     n = parts(fps.sparkSession)
+    fps = fps.repartition(n, "fp")  # 64 rows each come next: many tasks, though the fingerprints are few bytes
     index = fps.select("fp", F.explode(variants(F.col("fp"))).alias("key")).repartition(n, "key")
     crowd = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
     met = index.join(crowd, "key")
@@ -85,13 +86,12 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
     first = checkpoint(components(stars))
 
     label = F.coalesce("component", "fp")
-    rows = fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", label.alias("comp"))
+    rows = fps.join(first, F.col("fp") == F.col("node"), "left").select("fp", label.alias("comp")).repartition(n, "fp")
     index = rows.select("fp", "comp", F.explode(variants(F.col("fp"))).alias("key")).repartition(n, "key")
     sizes = index.groupBy("key", "comp").count()
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("several")).filter("several > 1").select("key", "main")
-    here = index.join(mixed, "key")
-    others = here.filter("comp <> main").select("key", F.col("fp").alias("fp1"), F.col("comp").alias("u"))
-    pairs = others.join(here.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("v")), "key").filter((F.col("u") != F.col("v")) & near("fp1", "fp2", distance))
+    mains = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
+    others = index.join(mains, "key", "left").filter("NOT (comp <=> main)").select("key", F.col("fp").alias("fp1"), F.col("comp").alias("u"))
+    pairs = others.join(index.select("key", F.col("fp").alias("fp2"), F.col("comp").alias("v")), "key").filter((F.col("u") != F.col("v")) & near("fp1", "fp2", distance))
     again = checkpoint(components(pairs.select("u", "v")))
     return rows.join(again, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("component", "comp").alias("component"))
 
