@@ -52,6 +52,9 @@ class Tokenizer:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         code = lambda t: bytes(letters[c] for c in t)
         self.ranks = {(code(a), code(b)): r for r, (a, b) in enumerate(merges)}
+        self.single = [self.ids[bytes([b])] for b in range(256)]
+        self.pair_ranks = {self.ids[a] << 20 | self.ids[b]: r for (a, b), r in self.ranks.items()}
+        self.joined = [self.ids[a + b] for a, b in self.ranks]  # by rank
         plain = set(self.bytes) - set(self.special.values())
         self.tokens = {t: i for t, i in self.ids.items() if i in plain}
         self.longest = max(map(len, self.tokens))
@@ -64,16 +67,23 @@ class Tokenizer:
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Exact BPE: the pair of the lowest rank joins, leftmost first, until none is left."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        ranks = self.ranks
-        if len(parts) > 200:
-            return self.merge_long(parts)
-        while len(parts) > 1:
-            best, at = min((ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
+        if len(word) > 400:
+            return self.merge_long([word[i : i + 1] for i in range(len(word))])
+        rank, none = self.pair_ranks.get, len(self.joined)
+        ids = [self.single[b] for b in word]
+        ranks = [rank(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return tuple(self.ids[p] for p in parts)
+            i = ranks.index(least)
+            ids[i : i + 2] = [self.joined[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(ids[i] << 20 | ids[i + 1], none)
+        return tuple(ids)
 
     def merge_long(self, parts: list[bytes]) -> tuple[int, ...]:
         """The same by a heap over a linked list, for long words."""
@@ -129,8 +139,9 @@ class Tokenizer:
             ok[u] = self.merge(self.bytes[a] + self.bytes[b]) == (a, b)
         if len(self.good) + len(self.bad) > 4 * MEMORY:
             self.good = self.bad = np.zeros(0, np.int64)
-        self.good = np.union1d(self.good, distinct[unknown][ok[unknown]])
-        self.bad = np.union1d(self.bad, distinct[unknown][~ok[unknown]])
+        if len(unknown):
+            self.good = np.sort(np.concatenate([self.good, distinct[unknown][ok[unknown]]]), kind="stable")
+            self.bad = np.sort(np.concatenate([self.bad, distinct[unknown][~ok[unknown]]]), kind="stable")
         failing = set(owner[inner[~ok[back]]].tolist())
         if len(self.words) > MEMORY:
             self.words.clear()
