@@ -73,6 +73,11 @@ class Prefix:
             out = (out << np.uint64(31)) | reduced(reduced(s[end] + P - s[start]) * inverse[start])
         return out
 
+    def span(self, start: int, end: int) -> tuple[int, ...]:
+        """The same for one span, in plain integers."""
+        p = int(P)
+        return tuple((int(s[end]) - int(s[start])) * int(powers(base, self.n)[1][start]) % p for s, base in zip(self.sums, BASES, strict=True))
+
     def windows(self, width: int, first: int = 0) -> np.ndarray:
         """Hashes of all spans of that width from `first` on, or of the whole text if it is shorter."""
         w = min(width, self.n)
@@ -88,8 +93,7 @@ class Prefix:
         lo, hi = 0, min(self.n, other.n)
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            i, j = np.array([self.n]), np.array([other.n])
-            if self.spans(i - mid, i)[0] == other.spans(j - mid, j)[0]:
+            if self.span(self.n - mid, self.n) == other.span(other.n - mid, other.n):
                 lo = mid
             else:
                 hi = mid - 1
@@ -100,8 +104,7 @@ class Prefix:
         lo, hi = 0, min(self.n - at, other.n - there)
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            i, j = np.array([at]), np.array([there])
-            if self.spans(i, i + mid)[0] == other.spans(j, j + mid)[0]:
+            if self.span(at, at + mid) == other.span(there, there + mid):
                 lo = mid
             else:
                 hi = mid - 1
