@@ -2,8 +2,8 @@
 
 Examples are a bounded sample of labelled training documents, half of them toxic where there are enough
 (`examples` rows in all, the least by a hash of their doc_id). Features are words and their beginnings of 4 and 5
-characters; those whose presence depends on the label (chi-square of at least `least_chi2`, at most `features`)
-form the vocabulary, so that similarity is about toxicity and not about subject.
+characters; those whose presence depends on the label (chi-square of at least `least_chi2`, and `least_effect` times the sample) and mostly tells it (a share of
+`purity` on one side, labels weighed equally) form, at most `features`, the vocabulary, so that similarity is about toxicity and not about subject.
 
 The index holds examples in blocks of like vectors. For each block it keeps the greatest weight of each term; with
 a query's weights these give an upper bound on any cosine in the block, and a block is scored only for queries
@@ -126,7 +126,7 @@ class Index:
         return np.where(some, rated, self.rate_empty), which
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, features: int = 400, least_chi2: float = 25.0, k: int = 25) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, features: int = 400, least_chi2: float = 25.0, least_effect: float = 0.025, purity: float = 0.98, k: int = 25) -> Index:
     """The index, from labelled rows of the training folds. At most `examples` documents reach the driver, as vectors."""
     here = docs.filter(~held_out() & F.col("doc_id").isNotNull())
     truth = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(here.select("doc_id"), "doc_id", "left_semi")
@@ -149,7 +149,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, features: int
     n = n0 + n1
     counted = chosen.select("toxic", "text").mapInArrow(split, "toxic int, term string").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("m"))
     chi = n * F.pow(F.col("a") * n0 - (F.col("m") - F.col("a")) * n1, 2) / (F.lit(n1 * n0) * F.col("m") * (n - F.col("m")))
-    picked = counted.filter(F.col("m") < n).withColumn("chi2", chi).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(features).collect() if n1 and n0 else []
+    in_toxic, in_clean = F.col("a") / F.lit(n1 or 1.0), (F.col("m") - F.col("a")) / F.lit(n0 or 1.0)
+    share = in_toxic / (in_toxic + in_clean)  # of the term's occurrences, were both labels equally frequent
+    picked = counted.filter(F.col("m") < n).withColumn("chi2", chi).filter(F.col("chi2") >= max(least_chi2, least_effect * n)).filter((share >= purity) | (share <= 1 - purity)).orderBy(F.desc("chi2"), "term").limit(features).collect() if n1 and n0 else []
     vocabulary = sorted(r.term for r in picked)
     df = {r.term: r.m for r in picked}
     idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary], np.float32)
