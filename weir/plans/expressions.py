@@ -115,6 +115,19 @@ def search_ranked(db):
     return S.bm25(db.df("documents").select("doc_id", "text"), "doc_id", _tokens(), ["license", "stupid"]).select("doc_id", F.round("rank", 6).alias("rank"))
 
 
+@query(f"SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS digest FROM (SELECT doc_id, {TOKENS.replace('lower(text)', 'strip_accents(lower(text))')} AS k FROM documents)")
+def search_tokens(db):
+    tokens = S.unicode_tokens(F.col("text"))
+    return db.df("documents").select("doc_id", F.size(tokens).cast("long").alias("n"), F.md5(F.array_join(tokens, " ")).alias("digest"))
+
+
+@query()
+def search_stemmed(db):
+    """Documents by the stem of a word; the tests hold it against an embedded database's index."""
+    wanted = [S.stem("licensed")]
+    return db.df("documents").filter(S.any_of(S.stems(S.unicode_tokens(F.col("text"))), wanted)).select("doc_id")
+
+
 @query("SELECT c_custkey, c_mktsegment FROM customer ORDER BY lower(c_mktsegment), c_custkey LIMIT 40")
 def order_collated(db):
     return Request(db, "customer").select("c_custkey", "c_mktsegment").order(F.collate(F.col("c_mktsegment"), "UTF8_LCASE"), "c_custkey").limit(40).to_df()
