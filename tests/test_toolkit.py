@@ -1,7 +1,9 @@
 """Requests, associations, functions, mutations, migrations and observation on small tables, held against sqlite3 where it has the same."""
 
+import json
 import sqlite3
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,11 +13,11 @@ from weir.functions import json as J
 from weir.functions import search as S
 from weir.operators.associations import belongs_to, has_many, has_one, through
 from weir.operators.migrations import Migrator
-from weir.operators.mutations import Conflict, Mutable
+from weir.operators.mutations import Conflict, Hooks, Mutable, delete_cascading
 from weir.operators.request import NotFound, NotSupported, Request, desc
-from weir.operators.schema import AmbiguousForeignKey, Catalog, ForeignKey, NoForeignKey, TableMeta, plural, singular
+from weir.operators.schema import AmbiguousForeignKey, Catalog, ForeignKey, NoForeignKey, SchemaError, TableMeta, plural, singular
 from weir.sources.sql import SQL, dumped, joined
-from weir.streaming.observe import Region, observe
+from weir.streaming.observe import Region, Shared, observe, on_arrival
 
 
 @pytest.fixture(scope="module")
@@ -210,3 +212,118 @@ def test_raw_sql(spark):
     rows = spark.createDataFrame([(1, "it's", None)], "a int, b string, c string")
     assert dumped(rows, "quote").first().line == "1,'it''s',NULL" and dumped(rows, "list").first().line == "1|it's|"
     assert dumped(rows, "json").first().line == '{"a":1,"b":"it\'s","c":null}'
+
+
+def test_globs_and_substrings_equal_sqlite(spark):
+    con = sqlite3.connect(":memory:")
+    texts = ["abc", "a*c", "Abc", "a]c", "a-c", "", "héllo wörld", "it's", "a\nc", "[x]", None]
+    patterns = ["a*", "a?c", "[a-b]*", "[^a]*", "*[]]*", "a[*]c", "*c", "A*", "a[-]c", "[x", "*"]
+    parts = [(1, 2), (-2, None), (2, None), (-2, 1), (0, 2), (3, -2), (-1, -2), (-9, 8), (0, None), (2, 0), (0, -1)]
+    c = F.col("t")
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", *[D.glob(c, p).cast("int").alias(f"g{i}") for i, p in enumerate(patterns)], *[D.substr(c, *s).alias(f"s{i}") for i, s in enumerate(parts)],
+        D.unicode(c).alias("u"), D.quote(c, "string").alias("q"), D.type_of(c, "string").alias("k"), D.instr(c, F.lit("c")).alias("n"),
+    ).collect()
+    globs = ", ".join(f"?1 GLOB '{p}'" for p in patterns)
+    cuts = ", ".join(f"substr(?1, {a}{'' if n is None else f', {n}'})" for a, n in parts)
+    for r in got:
+        assert tuple(r)[1:] == con.execute(f"SELECT {globs}, {cuts}, unicode(?1), quote(?1), typeof(?1), instr(?1, 'c')", (r.t,)).fetchone(), r.t
+
+
+def test_deep_json_equals_sqlite(spark):
+    con = sqlite3.connect(":memory:")
+    texts = ['{"a":{"b":[1,2,{"c":"x"}]},"z":null}', "{}", "[1,[2,3]]", "5", '{"a":[]}', '{"a":{"b":{}}}', '{"a":1.5}', None]
+    paths = ["$.a.b", "$.a.b[0]", "$.a.b[2].c", "$.a.b[3]", "$.a[#]", "$[1][0]", "$[2]", "$.a.n.m", '$."a"', "$.z", "$.a.b[#]"]
+    c, v = F.col("t"), F.lit("v")
+    cells = [x for p in paths for x in (J.insert_at(c, p, v), J.replace_at(c, p, v), J.set_at(c, p, v), J.remove_at(c, p))]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", *[x.alias(f"c{i}") for i, x in enumerate(cells)]).collect():
+        for i, p in enumerate(paths):
+            want = con.execute(f"SELECT json_insert(?1, '{p}', 'v'), json_replace(?1, '{p}', 'v'), json_set(?1, '{p}', 'v'), json_remove(?1, '{p}')", (r.t,)).fetchone()
+            read = lambda x: x and json.loads(x)  # noqa: E731  inner objects may come out in another order of keys
+            assert list(map(read, r[1 + 4 * i : 5 + 4 * i])) == list(map(read, want)), (r.t, p)
+    changes = ['{"a":null}', '{"a":{"b":{"q":1},"k":null}}', "7", '{"z":[1]}']
+    for r in spark.createDataFrame([(t, p) for t in texts for p in changes], "t string, p string").select("t", "p", J.merge_patch("t", "p").alias("m")).collect():
+        assert r.m == con.execute("SELECT json_patch(?, ?)", (r.t, r.p)).fetchone()[0]
+    with pytest.raises(ValueError):
+        J.set_at(c, "a.b", v)
+    got = spark.createDataFrame([('{"a":}',), ("[1]",), (None,)], "t string").select(J.error_position("t").alias("e"), J.text(J.binary(c)).alias("b")).collect()
+    assert [tuple(r) for r in got] == [(6, None), (0, "[1]"), (None, None)]
+
+
+def ruled(db, **rules):
+    return Catalog(db.spark, tables=db.tables, metas={n: replace(m, fks=tuple(replace(fk, on_delete=rules.get(n, "restrict")) for fk in m.fks)) for n, m in db.metas.items()})
+
+
+def test_cascades(db):
+    doomed = db.df("team").filter("id IN (1, 2)")
+    for rules in ({}, {"player": "cascade"}):
+        with pytest.raises(Conflict):
+            delete_cascading(ruled(db, **rules), "team", doomed)
+    now = delete_cascading(ruled(db, player="set null", award="cascade", match="set default"), "team", doomed, {"home": F.lit(4)})
+    assert sorted((r.id, r.teamId) for r in now.df("player").collect()) == [(1, None), (2, None), (3, None), (4, None), (5, None), (6, 4), (7, None)]
+    assert [r.id for r in now.df("award").collect()] == [5] and sorted(r.id for r in now.df("team").collect()) == [3, 4]
+    assert [(r.home, r.away) for r in now.df("match").collect()] == [(4, None)] and db.df("team").count() == 4
+    loop = Catalog(db.spark, tables=db.tables, metas={"team": TableMeta("team", ("id",), (ForeignKey(("id",), "team", ("id",), "cascade"),))})
+    with pytest.raises(SchemaError):
+        delete_cascading(loop, "team", doomed)
+
+
+def test_hooks_and_changed_values(spark):
+    seen = []
+    hooks = Hooks(lambda kind, rows: rows.filter("n > 0"), lambda kind, rows: seen.append((kind, rows.count())))
+    t = Mutable(spark.createDataFrame([(1, 1), (2, None)], "id long, n int"), ("id",), hooks)
+    now, _ = t.insert(spark.createDataFrame([(3, 3), (4, 0)], "id long, n int"))
+    now, _ = now.save(spark.createDataFrame([(1, 5), (2, -1)], "id long, n int"))
+    assert sorted(tuple(r) for r in now.df.collect()) == [(1, 5), (2, None), (3, 3)]
+    now.delete(F.col("id") == 3)
+    assert seen == [("insert", 1), ("update", 1), ("delete", 1)]
+    assert [(r.id, r.changed) for r in t.changed_values(spark.createDataFrame([(1, 1), (2, 7)], "id long, n int")).collect()] == [(2, {"n": None})]
+
+
+def test_altered_and_renamed_tables(db):
+    now = db.altered("team", {"id": "team_id"}, {"size": F.length("name")}, ("name",)).renamed("player", "person")
+    assert now.df("team").columns == ["team_id", "size"] and now.meta("person").fks[0].to == ("team_id",) and not now.exists("player")
+    assert has_many(Request(now, "team"), Request(now, "person")).key == "people" and db.meta("player").fks[0].to == ("id",)
+    with pytest.raises(SchemaError):
+        db.altered("player", drop=("teamId",))
+
+
+def test_associated_rows_and_joined_orders(db):
+    team, player, award = (Request(db, t) for t in ("team", "player", "award"))
+    assert sorted(r.id for r in has_many(team, player).of(team.filter("name = 'Blues'").to_df()).fetch_all()) == [3, 4, 5]
+    members = through(belongs_to(award, team), has_many(team, player))
+    assert sorted(r.id for r in members.of(award.filter("id IN (1, 2, 5)").to_df()).fetch_all()) == [1, 2]  # each once
+    r = player.order("teamId").including_required(belongs_to(player, team).order(desc("name")))
+    assert [x.team.name for x in r.order(F.col("score") < 0).fetch_all()] == ["Reds"] * 2 + ["Oranges"] + ["Blues"] * 3
+    assert [x.team.name for x in r.order(F.col("score") < 0).reversed().fetch_all()] == ["Blues"] * 3 + ["Oranges"] + ["Reds"] * 2
+    assert r.unordered()._joined_orders() == ()
+
+
+def test_shared_observation(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.range(3).write.parquet(folder)
+    calls, first, second, batches = [], [], [], []
+    arrivals = spark.readStream.schema("id long").parquet(folder)
+
+    def fetch():
+        calls.append(1)
+        return spark.read.parquet(folder).count()
+
+    shared = Shared(arrivals, fetch, str(tmp_path / "c"))
+    told = on_arrival(arrivals, batches.append, str(tmp_path / "d"))
+    try:
+        shared.subscribe(first.append)
+        shared.query.processAllAvailable()
+        end = shared.subscribe(second.append)
+        spark.range(3, 5).write.mode("append").parquet(folder)
+        for _ in range(50):
+            shared.query.processAllAvailable()
+            told.processAllAvailable()
+            if first[-1] == 5 and len(batches) > 1:
+                break
+            time.sleep(0.1)
+        end()
+        assert first == second == [3, 5] and list(shared.values(1)) == [5] and len(calls) == 3 and len(batches) == 2
+    finally:
+        shared.stop()
+        told.stop()

@@ -6,6 +6,7 @@ leading number and never fail, and month arithmetic lets days overflow into the
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,6 +33,82 @@ def like(c: Column, pattern: str, escape: str = "\\") -> Column:
     return F.like(ascii_lower(c), F.lit(folded), F.lit(escape))
 
 
+def glob(c: Column, pattern: str) -> Column:
+    """Case-sensitive match of the whole text: * any run, ? one character, [...] one of a set, [^...] one outside it."""
+    out, i = "", 0
+    while i < len(pattern):
+        x = pattern[i]
+        end = pattern.find("]", i + 2 + (pattern[i + 1 : i + 2] == "^")) if x == "[" else -1
+        if x == "[" and end < 0:  # a set without an end matches nothing
+            return F.when(c.isNotNull(), F.lit(False))
+        if x == "[":
+            members = pattern[i + 1 : end]
+            outside = members.startswith("^")
+            out += "[" + "^" * outside + re.sub(r"([\\\[\]&^])", r"\\\1", members[outside:]) + "]"
+            i = end
+        else:
+            out += {"*": "(?s:.*)", "?": "(?s:.)"}.get(x) or re.sub(r"(\W)", r"\\\1", x)
+        i += 1
+    return c.rlike(f"^{out}\\z")
+
+
+def substr(c: Column, start: int, length: int | None = None) -> Column:
+    """From 1; a negative start counts from the end, a negative length takes what stands before the start."""
+    n = F.length(c)
+    at = F.lit(start) if start >= 0 else n + F.lit(start) + 1
+    if length is None:
+        low, high = at, n + 1
+    elif length >= 0:
+        low, high = at, at + F.lit(length)
+    else:
+        low, high = at + F.lit(length), at
+    if start == 0 and length is not None and length < 0:
+        return F.when(c.isNotNull(), F.lit(""))
+    low = F.greatest(low, F.lit(1))
+    return c.substr(low, F.greatest(high - low, F.lit(0)))
+
+
+def capitalized(c: Column) -> Column:
+    """Each word's first letter in upper case, its others in lower."""
+    return F.initcap(c)
+
+
+def iif(condition: Column, yes: Column, no: Column) -> Column:
+    return F.when(condition, yes).otherwise(no)
+
+
+def char(*codes: int) -> Column:
+    return F.lit("".join(map(chr, codes)))
+
+
+def unicode(c: Column) -> Column:
+    """Code point of the first character; null for an empty text."""
+    return F.when(c != "", F.ascii(c).cast("long"))
+
+
+def instr(c: Column, part: Column) -> Column:
+    return F.when(part == "", F.when(c.isNotNull(), 1)).otherwise(F.call_function("instr", c, part))
+
+
+def quote(c: Column, kind: str) -> Column:
+    """The value as an SQL literal; kind: its Spark type."""
+    if kind == "string":
+        return F.coalesce(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))
+    if kind == "binary":
+        return F.coalesce(F.concat(F.lit("X'"), F.hex(c), F.lit("'")), F.lit("NULL"))
+    return F.coalesce(c.cast("string"), F.lit("NULL"))
+
+
+def type_of(c: Column, kind: str) -> Column:
+    """Storage class of a column of that Spark type: null, integer, real, text or blob."""
+    name = {"string": "text", "binary": "blob", "double": "real", "float": "real"}.get(kind, "integer")
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.lit(name))
+
+
+def zero_blob(n: int) -> Column:
+    return F.lit(bytes(n))
+
+
 def greatest(*cs: Column) -> Column:
     return F.when(reduce(lambda a, b: a | b, [c.isNull() for c in cs]), None).otherwise(F.greatest(*cs))
 
@@ -111,6 +188,18 @@ def weekday(t: Column, n: int) -> Column:
     return F.date_add(t.cast("date"), F.pmod(F.lit(n) - (F.dayofweek(t) - 1), F.lit(7)))
 
 
+def from_unix(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds)
+
+
+def to_local(t: Column, zone: str) -> Column:
+    return F.from_utc_timestamp(t, zone)
+
+
+def to_utc(t: Column, zone: str) -> Column:
+    return F.to_utc_timestamp(t, zone)
+
+
 def date_time(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM-dd HH:mm:ss")
 

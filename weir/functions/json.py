@@ -1,9 +1,17 @@
-"""JSON functions over JSON text in string columns, from built-in expressions; VARIANT is the binary form."""
+"""JSON functions over JSON text in string columns; VARIANT is the binary form.
+
+All but merge_patch and error_position are built-in expressions. A change inside nested values rewrites them with sorted keys.
+"""
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 
 def is_valid(c: Column) -> Column:
@@ -103,3 +111,129 @@ def group_array(c: Column) -> Column:
 
 def group_object(key: Column, value: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(F.concat(quote(key.cast("string")), F.lit(":"), quote(value)))), ","), F.lit("}"))
+
+
+def binary(c: Column) -> Column:
+    """The binary form of JSON text, or null if it is malformed; any function of text has its binary twin by this."""
+    return F.try_parse_json(c)
+
+
+def text(v: Column) -> Column:
+    return F.to_json(v)
+
+
+def binary_extract(v: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+# changes at any depth
+
+
+def _steps(path: str) -> list[str | int | None]:
+    """Keys, array indexes, and None for the place after an array's last value."""
+    if not re.fullmatch(r"""\$(\."[^"]*"|\.[^."\[\]]+|\[(\d+|#)\])*""", path):
+        raise ValueError(f"not a path: {path}")
+    return [(key.strip('"') if key else None if at == "#" else int(at)) for key, at in re.findall(r"""\.("[^"]*"|[^."\[\]]+)|\[(\d+|#)\]""", path)]
+
+
+def _nested(steps: list, leaf: Column) -> Column | None:
+    """JSON text of new containers around the leaf; an array can only begin at index 0."""
+    for step in reversed(steps):
+        if isinstance(step, str):
+            leaf = F.concat(F.lit("{" + json.dumps(step) + ":"), leaf, F.lit("}"))
+        elif step == 0:
+            leaf = F.concat(F.lit("["), leaf, F.lit("]"))
+        else:
+            return None
+    return leaf
+
+
+def _edited(c: Column, steps: list, leaf: Column | None, present: bool, absent: bool) -> Column:
+    """leaf: JSON text to put, or None to remove. Text that is not of the container that a step needs stays."""
+    if not steps:
+        return F.when(c.isNotNull(), leaf) if leaf is not None and present else c
+    step, rest = steps[0], steps[1:]
+    new = _nested(rest, leaf) if leaf is not None and absent else None
+
+    def one(value: Column, here: Column) -> Column:
+        old = F.coalesce(F.to_json(value), F.lit("null"))
+        return F.when(here, _edited(old, rest, leaf, present, absent)).otherwise(old)
+
+    removed = leaf is None and not rest
+    if isinstance(step, str):
+        entries = F.map_entries(_fields(c))
+        kept = F.filter(entries, lambda e: e["key"] != step) if removed else entries
+        pieces = F.transform(kept, lambda e: F.concat(quote(e["key"]), F.lit(":"), one(e["value"], e["key"] == step)))
+        if new is not None:
+            piece = F.array(F.concat(F.lit(json.dumps(step) + ":"), new))
+            pieces = F.when(F.map_contains_key(_fields(c), step), pieces).otherwise(F.concat(pieces, piece))
+        whole, opening = F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")), "{"
+    else:
+        values = F.from_json(c, "array<variant>")
+        n = F.size(values)
+        kept = F.filter(values, lambda v, i: i != step) if removed and step is not None else values
+        pieces = F.transform(kept, lambda v, i: one(v, F.lit(False) if step is None or removed else i == step))
+        if new is not None:
+            here = F.lit(True) if step is None else n == step
+            pieces = F.when(here, F.concat(pieces, F.array(new))).otherwise(pieces)
+        whole, opening = F.concat(F.lit("["), F.array_join(pieces, ","), F.lit("]")), "["
+    return F.when(F.ltrim(c).startswith(opening), F.coalesce(whole, c)).otherwise(c)
+
+
+def insert_at(c: Column, path: str, value: Column) -> Column:
+    """Only where the path leads to nothing yet; missing objects on the way are made."""
+    return _edited(c, _steps(path), quote(value), False, True)
+
+
+def replace_at(c: Column, path: str, value: Column) -> Column:
+    return _edited(c, _steps(path), quote(value), True, False)
+
+
+def set_at(c: Column, path: str, value: Column) -> Column:
+    return _edited(c, _steps(path), quote(value), True, True)
+
+
+def remove_at(c: Column, *paths: str) -> Column:
+    """Without what the paths lead to, one after the other; the path $ leaves null."""
+    for path in paths:
+        steps = _steps(path)
+        c = _edited(c, steps, None, False, False) if steps else F.lit(None).cast("string")
+    return c
+
+
+def _merged(old, new):
+    if not isinstance(new, dict):
+        return new
+    out = dict(old) if isinstance(old, dict) else {}
+    for k, v in new.items():
+        if v is None:
+            out.pop(k, None)
+        else:
+            out[k] = _merged(out.get(k), v)
+    return out
+
+
+@F.pandas_udf(StringType())
+def merge_patch(c: pd.Series, with_: pd.Series) -> pd.Series:
+    """Merge patch at every depth: null removes, objects merge, anything else replaces. Null text gives null; malformed text fails."""
+
+    def one(a, b):
+        return None if a is None or b is None else json.dumps(_merged(json.loads(a), json.loads(b)), separators=(",", ":"), ensure_ascii=False)
+
+    return pd.Series([one(a, b) for a, b in zip(c, with_, strict=True)], dtype=object)
+
+
+@F.pandas_udf(LongType())
+def error_position(c: pd.Series) -> pd.Series:
+    """1-based place of the first character that is not JSON, 0 for well-formed text."""
+
+    def one(a):
+        if a is None:
+            return None
+        try:
+            json.loads(a)
+        except json.JSONDecodeError as e:
+            return e.pos + 1
+        return 0
+
+    return c.map(one).astype("Int64")

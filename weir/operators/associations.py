@@ -56,6 +56,12 @@ class Association:
     def including_optional(self, a: Association) -> Association:
         return self._with(lambda r: r.including_optional(a))
 
+    def unordered(self) -> Association:
+        return self._with(lambda r: r.unordered())
+
+    def reversed(self) -> Association:
+        return self._with(lambda r: r.reversed() if r.orders else r)
+
     def for_key(self, key: str) -> Association:
         return replace(self, key=key)
 
@@ -100,6 +106,16 @@ class Association:
         rows = self.rows().drop("_row")
         return df.join(rows, [df[c] == rows[f"_k{i}"] for i, c in enumerate(self.left)], how)
 
+    def of(self, origins: DataFrame) -> Request:
+        """Request for the destination's rows that belong to these rows of the origin, each once."""
+        if self.on is not None:
+            raise ValueError("an association on any condition has no key to look rows up by")
+        if self.pivot is not None and self.target is not None:
+            return self.target.of(self.pivot.of(origins).to_df())
+        keys = origins.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(self.left)]).distinct()
+        found = lambda df: df.join(keys, [df[c] == keys[f"_k{i}"] for i, c in enumerate(self.right)], "left_semi")
+        return self.destination.filter(found)
+
     def prefetch(self, df: DataFrame, key: str) -> DataFrame:
         """An array of the associated rows, in the association's order; empty where there are none."""
         rows = self.rows()
@@ -108,7 +124,7 @@ class Association:
         orders = self.destination.orders
         marks = []
         for i, s in enumerate(orders):
-            rows = rows.withColumn(f"_o{i}", _field(s.expression))
+            rows = rows.withColumn(f"_o{i}", field_of(s.expression))
             marks.append((f"_o{i}", s))
         packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[m for m, _ in marks], "_row")).alias("_all"))
         if marks:
@@ -171,9 +187,9 @@ class Association:
         return self._of("total", lambda c: F.sum(c.cast("double")), column, 0.0)
 
 
-def _field(expression: Column) -> Column:
-    """The same expression over the fields of _row, for a plain column name."""
-    return F.col("_row." + expression._jc.toString()) if hasattr(expression, "_jc") else expression
+def field_of(expression: Column, key: str = "_row") -> Column:
+    """The same expression over the fields of a struct column, for a plain column name."""
+    return F.col(f"{key}.{expression._jc.toString()}") if hasattr(expression, "_jc") else expression
 
 
 @dataclass(frozen=True)

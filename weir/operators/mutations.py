@@ -6,41 +6,56 @@ version beside the old ones, which readers of those keep.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .schema import Catalog, SchemaError
+
 
 class Conflict(ValueError):
     """A row of the same key is there already."""
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """Calls around mutations. will: takes the kind and the incoming or doomed rows, and returns the rows to go on with, or raises
+    to stop; did: takes the kind and the touched rows. Both get DataFrames, so that what they do stays declared. kind: insert, update or delete."""
+
+    will: Callable[[str, DataFrame], DataFrame] = lambda kind, rows: rows
+    did: Callable[[str, DataFrame], None] = lambda kind, rows: None
+
+
 @dataclass(frozen=True)
 class Mutable:
     df: DataFrame
     key: tuple[str, ...]
+    hooks: Hooks = field(default_factory=Hooks)
 
     def _on(self, other: DataFrame) -> DataFrame:
         return other.select(*self.key).distinct()
 
     def insert(self, rows: DataFrame, on_conflict: str = "abort", defaults: dict[str, Column] | None = None) -> tuple[Mutable, DataFrame]:
         """on_conflict: abort, fail or rollback raise Conflict; ignore keeps the old row; replace the new one. New rows have distinct keys."""
+        rows = self.hooks.will("insert", rows)
         for c, v in (defaults or {}).items():
             rows = rows.withColumn(c, F.coalesce(F.col(c), v) if c in rows.columns else v)
         rows = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.df.schema.fields])
         if on_conflict == "ignore":
             new = rows.join(self._on(self.df), list(self.key), "left_anti").select(*self.df.columns)
-            return self._now(self.df.unionByName(new)), new
+            return self._done("insert", self.df.unionByName(new), new)
         if on_conflict == "replace":
-            return self._now(self.df.join(self._on(rows), list(self.key), "left_anti").select(*self.df.columns).unionByName(rows)), rows
+            return self._done("insert", self.df.join(self._on(rows), list(self.key), "left_anti").select(*self.df.columns).unionByName(rows), rows)
         if not rows.join(self._on(self.df), list(self.key), "left_semi").isEmpty():
             raise Conflict(f"a row with the same {', '.join(self.key)}")
-        return self._now(self.df.unionByName(rows)), rows
+        return self._done("insert", self.df.unionByName(rows), rows)
 
     def upsert(self, rows: DataFrame, assign: dict[str, Column] | None = None) -> tuple[Mutable, DataFrame]:
         """Rows of new keys are inserted; others update. assign: by column, an expression over the old columns and new.column; default: all new values."""
+        rows = self.hooks.will("update", rows)
         old = self.df.select(*self.key, F.struct(*self.df.columns).alias("old"))
         new = rows.select(*self.key, F.struct(*rows.columns).alias("new"))
         both = old.join(new, list(self.key), "full")
@@ -49,20 +64,33 @@ class Mutable:
             changed = assign[c] if assign and c in assign else (F.col(f"new.{c}") if c in rows.columns and not assign else F.col(f"old.{c}"))
             fresh = F.col(f"new.{c}") if c in rows.columns else F.lit(None)
             out.append(F.when(F.col("new").isNull(), F.col(f"old.{c}")).when(F.col("old").isNull(), fresh).otherwise(changed).cast(self.df.schema[c].dataType).alias(c))
-        return self._now(both.select(*out)), both.filter("new IS NOT NULL").select(*out)
+        return self._done("update", both.select(*out), both.filter("new IS NOT NULL").select(*out))
+
+    def save(self, rows: DataFrame) -> tuple[Mutable, DataFrame]:
+        """Updates the rows whose keys are there, in the columns that rows has, and inserts the others."""
+        return self.upsert(rows)
+
+    def changed_values(self, rows: DataFrame) -> DataFrame:
+        """key, and a map from column name to old value as text, for the rows that differ from the stored ones of their keys."""
+        values = [c for c in rows.columns if c not in self.key]
+        new = rows.select(*self.key, F.struct(*values).alias("_new"))
+        pairs = [F.when(~F.col(c).eqNullSafe(F.col(f"_new.{c}")), F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))) for c in values]
+        both = self.df.join(new, list(self.key))
+        return both.select(*self.key, F.map_from_entries(F.filter(F.array(*pairs), lambda p: p.isNotNull())).alias("changed")).filter(F.size("changed") > 0)
 
     def update(self, condition: Column, **assignments: Column) -> tuple[Mutable, DataFrame]:
         types = self.df.schema
         changed = [F.when(condition, assignments[c]).otherwise(F.col(c)).cast(types[c].dataType).alias(c) if c in assignments else F.col(c) for c in self.df.columns]
         touched = self.df.filter(condition).select(*[assignments[c].cast(types[c].dataType).alias(c) if c in assignments else F.col(c) for c in self.df.columns])
-        return self._now(self.df.select(*changed)), touched
+        return self._done("update", self.df.select(*changed), touched)
 
     def delete(self, condition: Column) -> tuple[Mutable, DataFrame]:
-        return self._now(self.df.filter(~F.coalesce(condition, F.lit(False)))), self.df.filter(condition)
+        return self._done("delete", self.df.filter(~F.coalesce(condition, F.lit(False))), self.df.filter(condition))
 
     def delete_rows(self, rows: DataFrame) -> tuple[Mutable, DataFrame]:
         """Rows of the keys that a request gives."""
-        return self._now(self.df.join(self._on(rows), list(self.key), "left_anti").select(*self.df.columns)), self.df.join(self._on(rows), list(self.key), "left_semi").select(*self.df.columns)
+        rows = self._on(self.hooks.will("delete", rows))
+        return self._done("delete", self.df.join(rows, list(self.key), "left_anti").select(*self.df.columns), self.df.join(rows, list(self.key), "left_semi").select(*self.df.columns))
 
     def changes(self, newer: DataFrame) -> DataFrame:
         """key, kind (insert, update or delete) against a later state: what an observer of rows would see."""
@@ -83,5 +111,65 @@ class Mutable:
         self.df.write.parquet(path)
         return path
 
-    def _now(self, df: DataFrame) -> Mutable:
-        return Mutable(df, self.key)
+    def _done(self, kind: str, df: DataFrame, touched: DataFrame) -> tuple[Mutable, DataFrame]:
+        self.hooks.did(kind, touched)
+        return replace(self, df=df), touched
+
+
+def delete_cascading(db: Catalog, table: str, doomed: DataFrame, defaults: dict[str, Column] | None = None) -> Catalog:
+    """The catalog without the doomed rows of a table, after what its foreign keys say of the rows that refer to them.
+
+    cascade removes those too, and so on; set null and set default change their columns; restrict raises Conflict if any are
+    left. Each table is joined once for each foreign key, with the keys that are gone. Tables that refer to each other in a
+    circle by cascades are refused: each round would be a job of its own.
+    """
+    key = db.meta(table).pk
+    left = {table: db.df(table).join(doomed.select(*key).distinct(), list(key), "left_anti").select(*db.df(table).columns)}
+    gone = {table: db.df(table).join(doomed.select(*key).distinct(), list(key), "left_semi").select(*db.df(table).columns)}
+    for child in _children_first(db, table):
+        rows, lost = db.df(child), []
+        columns, guarded = rows.columns, []
+        for fk in sorted(db.meta(child).fks, key=lambda fk: fk.on_delete != "cascade"):
+            if fk.table not in gone:
+                continue
+            keys = gone[fk.table].select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(fk.to)]).distinct()
+            on = [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(fk.columns)]
+            if fk.on_delete == "cascade":
+                lost.append(rows.join(keys, on, "left_semi"))
+                rows = rows.join(keys, on, "left_anti")
+            elif fk.on_delete == "restrict":
+                guarded.append((fk, keys, on))
+            else:
+                hit = rows.join(keys, on, "left")
+                new = {c: (defaults or {}).get(c, F.lit(None)) if fk.on_delete == "set default" else F.lit(None) for c in fk.columns}
+                rows = hit.select(*[F.when(F.col("_p0").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in columns])
+        for fk, keys, on in guarded:
+            if not rows.join(keys, on, "left_semi").isEmpty():
+                raise Conflict(f"rows of {child} refer to deleted rows of {fk.table}")
+        left[child] = rows
+        if lost:
+            gone[child] = reduce(DataFrame.unionByName, lost)
+    return db.with_tables(**left)
+
+
+def _children_first(db: Catalog, table: str) -> list[str]:
+    """Tables that a deletion can reach, each after all those that it refers to among them."""
+    reached, todo = {table}, [table]
+    while todo:
+        parent = todo.pop()
+        for m in db.metas.values():
+            rules = [fk.on_delete for fk in m.fks if fk.table == parent]
+            if rules and m.name not in reached:
+                reached.add(m.name)
+                if "cascade" in rules:
+                    todo.append(m.name)
+    out, rest = [table], reached - {table}
+    if any(fk.table == table and fk.on_delete == "cascade" for fk in db.meta(table).fks):
+        raise SchemaError(f"{table} refers to itself by a cascade")
+    while rest:
+        ready = sorted(t for t in rest if all(fk.table not in rest for fk in db.meta(t).fks))
+        if not ready:
+            raise SchemaError(f"{', '.join(sorted(rest))} refer to each other")
+        out += ready
+        rest -= set(ready)
+    return out[1:]

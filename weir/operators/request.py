@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .associations import AggregateExpression, Association
+from .associations import AggregateExpression, Association, field_of
 from .schema import Catalog
 
 
@@ -146,10 +146,18 @@ class Request:
         return replace(self, orders=(*self.orders, *(asc(c) for c in self.db.meta(self.table).pk or self.base().columns)))
 
     def reversed(self) -> Request:
-        return replace(self, orders=tuple(s.reversed() for s in self.orders or tuple(asc(c) for c in self.db.meta(self.table).pk)))
+        """All orders the other way round, those of joined associations too; the key's without any."""
+        own = self.orders or (() if self._joined_orders() else tuple(asc(c) for c in self.db.meta(self.table).pk))
+        return replace(self._with_associations(Association.reversed), orders=tuple(s.reversed() for s in own))
 
     def unordered(self) -> Request:
-        return replace(self, orders=())
+        return replace(self._with_associations(Association.unordered), orders=())
+
+    def _with_associations(self, f: Callable[[Association], Association]) -> Request:
+        return replace(self, joins={k: replace(j, association=f(j.association)) for k, j in self.joins.items()})
+
+    def _joined_orders(self) -> tuple[Sort, ...]:
+        return tuple(replace(s, expression=field_of(s.expression, key)) for key, j in self.joins.items() for s in j.association.destination.orders)
 
     def limit(self, n: int | None, offset: int = 0) -> Request:
         return replace(self, bounds=(n, offset))
@@ -229,8 +237,9 @@ class Request:
             for key, a in self.prefetched.items():
                 df = a.prefetch(df, key)
             wanted = [x.named() if isinstance(x, AggregateExpression) else col(x) for x in self.selected] if self.selected is not None else [F.col(c) for c in own]
-            if self.orders and not self.is_distinct:  # ordering may use columns that are not selected
-                df = df.orderBy(*[s.column() for s in self.orders])
+            sorts = (*self.orders, *self._joined_orders())  # joined tables' orders come last
+            if sorts and not self.is_distinct:  # ordering may use columns that are not selected
+                df = df.orderBy(*[s.column() for s in sorts])
                 df = self._bounded(df)
                 return df.select(*wanted, *added, *flat, *shown, *[F.col(k) for k in self.prefetched])
             df = df.select(*wanted, *added, *flat, *shown, *[F.col(k) for k in self.prefetched])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,7 @@ class ForeignKey:
     columns: tuple[str, ...]
     table: str
     to: tuple[str, ...]
+    on_delete: str = "restrict"  # or cascade, set null, set default
 
 
 @dataclass(frozen=True)
@@ -85,6 +86,43 @@ class Catalog:
     def columns(self, name: str) -> list[tuple[str, str]]:
         return [(f.name, f.dataType.simpleString()) for f in self.df(name).schema.fields]
 
+    def unique_keys(self, name: str) -> tuple[tuple[str, ...], ...]:
+        m = self.meta(name)
+        return ((m.pk,) if m.pk else ()) + m.unique
+
+    def with_tables(self, **tables: DataFrame) -> Catalog:
+        """Another catalog with these tables in the place of those of the same names."""
+        return Catalog(self.spark, self.folder, self.tables | tables, self.metas)
+
+    def with_view(self, name: str, df: DataFrame, key: tuple[str, ...] = ()) -> Catalog:
+        """A named query with the key that its rows have; it is read like a table."""
+        return Catalog(self.spark, self.folder, self.tables | {name: df}, self.metas | {name: TableMeta(name, key)})
+
+    def renamed(self, old: str, new: str) -> Catalog:
+        """The table under another name; foreign keys to it follow."""
+        metas = {m.name: replace(m, fks=tuple(replace(fk, table=new if fk.table == old else fk.table) for fk in m.fks)) for m in self.metas.values()}
+        metas[new] = replace(metas.pop(old, TableMeta(old)), name=new)
+        tables = self.tables | {new: self.df(old)}
+        return Catalog(self.spark, self.folder, {t: d for t, d in tables.items() if t != old}, metas)
+
+    def altered(self, name: str, rename: dict[str, str] | None = None, add: dict[str, Column] | None = None, drop: tuple[str, ...] = ()) -> Catalog:
+        """Columns renamed, then added (defaults, or generated from the others), then dropped. Keys follow renamed columns; key columns can't be dropped."""
+        rename, df, m = rename or {}, self.df(name), self.meta(name)
+        held = {c for k in self.unique_keys(name) for c in k} | {c for fk in m.fks for c in fk.columns}
+        if held & set(drop):
+            raise SchemaError(f"a key of {name} has {', '.join(sorted(held & set(drop)))}")
+        new = lambda columns: tuple(rename.get(c, c) for c in columns)
+        metas = {
+            t: replace(
+                o,
+                pk=new(o.pk) if t == name else o.pk,
+                unique=tuple(map(new, o.unique)) if t == name else o.unique,
+                fks=tuple(replace(fk, columns=new(fk.columns) if t == name else fk.columns, to=new(fk.to) if fk.table == name else fk.to) for fk in o.fks),
+            )
+            for t, o in self.metas.items()
+        }
+        return Catalog(self.spark, self.folder, self.tables | {name: df.withColumnsRenamed(rename).withColumns(add or {}).drop(*drop)}, metas)
+
     def infer(self, child: str, parent: str, columns: tuple[str, ...] = ()) -> tuple[tuple[str, ...], tuple[str, ...]]:
         """Child and parent columns of the only foreign key between them; explicit child columns meet the parent's key."""
         found = [fk for fk in self.meta(child).fks if fk.table == parent and (not columns or fk.columns == columns)]

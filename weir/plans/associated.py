@@ -144,3 +144,24 @@ def join_star(db):
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(li, F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy("o_orderkey", F.col("n_name").alias("supplier_nation")).agg(F.sum("l_quantity").alias("quantity"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def associated_rows(db):
+    customer, orders = Request(db, "customer"), Request(db, "orders")
+    return has_many(customer, orders).of(customer.filter("c_mktsegment = 'BUILDING'").to_df()).select("o_orderkey", "o_custkey").to_df()
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 300000)")
+def associated_rows_through(db):
+    orders, lineitem, part = (Request(db, t) for t in ("orders", "lineitem", "part"))
+    parts = through(has_many(orders, lineitem), belongs_to(lineitem, part))
+    return parts.of(orders.filter("o_totalprice > 300000").to_df()).select("p_partkey", "p_name").to_df()
+
+
+@query("SELECT l.doc_id, quality, toxic, d.n_chars FROM labels l JOIN documents d ON d.doc_id = l.doc_id ORDER BY quality, toxic, d.n_chars DESC, d.doc_id LIMIT 40")
+def order_by_joined(db):
+    """The association's order comes after the request's own."""
+    labels, documents = requests(db, "labels", "documents")
+    document = belongs_to(labels, documents).order(desc("n_chars"), "doc_id")
+    return labels.order("quality", "toxic").annotated_with_required(document, "n_chars").select("doc_id", "quality", "toxic").limit(40).to_df()

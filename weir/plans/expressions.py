@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import dialect as D
 from ..functions import json as J
 from ..functions import search as S
-from ..operators.request import Request
+from ..operators.request import Request, desc
 from .catalog import query
 
 
@@ -131,3 +131,58 @@ def search_stemmed(db):
 @query("SELECT c_custkey, c_mktsegment FROM customer ORDER BY lower(c_mktsegment), c_custkey LIMIT 40")
 def order_collated(db):
     return Request(db, "customer").select("c_custkey", "c_mktsegment").order(F.collate(F.col("c_mktsegment"), "UTF8_LCASE"), "c_custkey").limit(40).to_df()
+
+
+@query("SELECT c_custkey, t FROM (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS t FROM customer) ORDER BY lower(t), c_acctbal DESC, c_custkey LIMIT 50")
+def order_unicode(db):
+    t = D.iif(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment"), F.col("c_mktsegment"))
+    r = Request(db, "customer", db.df("customer").withColumn("t", t))
+    return r.select("c_custkey", "t").order(F.collate(F.col("t"), "UNICODE_CI"), desc("c_acctbal"), "c_custkey").limit(50).to_df()
+
+
+@query("SELECT p_partkey, p_brand GLOB '*[1-3]?' AS brand, p_type GLOB '*[!A-M]*' AS late, p_name GLOB 'P*' AS upper_p FROM part")
+def glob_match(db):
+    c = F.col
+    return db.df("part").select("p_partkey", D.glob(c("p_brand"), "*[1-3]?").alias("brand"), D.glob(c("p_type"), "*[^A-M]*").alias("late"), D.glob(c("p_name"), "P*").alias("upper_p"))
+
+
+@query("SELECT o_orderkey, right(o_orderpriority, 3) AS ending, o_orderpriority[2:4] AS middle, left(o_orderpriority, length(o_orderpriority) - 1) AS front, instr(o_orderpriority, '-') AS dash, unicode(o_orderpriority)::BIGINT AS code FROM orders")
+def substrings(db):
+    t = F.col("o_orderpriority")
+    front = D.substr(t, -1, -100)
+    return db.df("orders").select("o_orderkey", D.substr(t, -3).alias("ending"), D.substr(t, 2, 3).alias("middle"), front.alias("front"), D.instr(t, F.lit("-")).cast("long").alias("dash"), D.unicode(t).alias("code"))
+
+
+@query("SELECT event_id, '''' || replace(event_type, 'i', '''''') || '''' AS literal, CASE WHEN event_type = 'view' THEN 'null' ELSE 'text' END AS class, to_timestamp(user_id * 86400)::TIMESTAMP AS day FROM events")
+def literals(db):
+    t = F.col("event_type")
+    day = D.from_unix(F.col("user_id") * 86400).cast("timestamp_ntz")
+    return db.df("events").select("event_id", D.quote(F.replace(t, F.lit("i"), F.lit("'")), "string").alias("literal"), D.type_of(F.when(t != "view", t), "string").alias("class"), day.alias("day"))
+
+
+def _nested_events(db):
+    e = db.df("events")
+    return e.select("event_id", "event_type", J.object_(id=F.col("event_id")).alias("d"), "props").withColumn("d", F.concat(F.expr("left(d, length(d) - 1)"), F.lit(',"p":'), F.regexp_replace("props", " ", ""), F.lit(',"t":[1,[2,3]]}')))
+
+
+@query("""WITH e AS (SELECT *, '{"id":' || event_id || ',"p":{"k":' || (props ->> '$.k') AS a FROM events)
+SELECT event_id, a || ',"z":"' || event_type || '"},"t":[1,[2,3]]}' AS put, a || '},"t":[1,[9,3]]}' AS replaced, a || '},"t":[1,[2,3,4]]}' AS grown, '{"id":' || event_id || ',"p":{},"t":[[2,3]]}' AS gone, a || '},"t":[1,[2,3]],"n":{"m":0}}' AS made FROM e""")
+def json_deep_change(db):
+    d = F.col("d")
+    return _nested_events(db).select(
+        "event_id", J.set_at(d, "$.p.z", F.col("event_type")).alias("put"), J.replace_at(d, "$.t[1][0]", F.lit(9)).alias("replaced"), J.insert_at(d, "$.t[1][#]", F.lit(4)).alias("grown"),
+        J.remove_at(d, "$.p.k", "$.t[0]").alias("gone"), J.insert_at(d, "$.n.m", F.lit(0)).alias("made"),
+    )
+
+
+@query("""SELECT event_id, '{"id":' || event_id || ',"p":{"k":' || (props ->> '$.k') || ',"n":{"type":"' || event_type || '"}}}' AS merged, CASE WHEN event_type = 'view' THEN 2 ELSE 0 END::BIGINT AS wrong FROM events""")
+def json_merge_patch(db):
+    change = F.concat(F.lit('{"t":null,"p":{"n":{"type":"'), F.col("event_type"), F.lit('","no":null}}}'))
+    broken = F.when(F.col("event_type") == "view", F.lit("{")).otherwise(F.col("props"))
+    return _nested_events(db).select("event_id", J.merge_patch("d", change).alias("merged"), J.error_position(broken).alias("wrong"))
+
+
+@query("SELECT event_id, (props ->> '$.k')::BIGINT AS k, event_type AS t FROM events")
+def json_binary(db):
+    stored = db.df("events").select("event_id", J.binary(J.set_at(F.col("props"), "$.t", F.col("event_type"))).alias("v"))
+    return stored.select("event_id", J.binary_extract(F.col("v"), "$.k", "long").alias("k"), J.binary_extract(F.col("v"), "$.t", "string").alias("t"))

@@ -1,9 +1,14 @@
-"""Mutations, user functions, windows over rows and over event time."""
+"""Mutations, changed tables and views, user functions, windows over rows and over event time."""
+
+from dataclasses import replace
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.mutations import Mutable
+from ..operators.associations import belongs_to, has_one
+from ..operators.mutations import Mutable, delete_cascading
+from ..operators.request import Request
+from ..operators.schema import Catalog
 from ..streaming import observe as O
 from .catalog import query
 
@@ -114,3 +119,51 @@ g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, s""")
 def event_sessions(db):
     return O.sessions(db.df("events"), "ts", "12 hours", "user_id")
+
+
+def _ruled(db, **rules):
+    """The catalog with other rules for deletions, by child table."""
+    metas = {n: replace(m, fks=tuple(replace(fk, on_delete=rules.get(n, fk.on_delete)) for fk in m.fks)) for n, m in db.metas.items()}
+    return Catalog(db.spark, db.folder, db.tables, metas)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0)")
+def delete_cascaded(db):
+    ruled = _ruled(db, orders="cascade", lineitem="cascade")
+    return delete_cascading(ruled, "customer", db.df("customer").filter("c_acctbal < 0")).df("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT c_custkey, CASE WHEN n_regionkey <> 3 THEN c_nationkey END AS c_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def delete_set_null(db):
+    ruled = _ruled(db, nation="cascade", customer="set null", supplier="cascade", lineitem="set null")
+    return delete_cascading(ruled, "region", db.df("region").filter("r_regionkey = 3")).df("customer").select("c_custkey", "c_nationkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'saved' ELSE s_name END AS s_name, s_nationkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, 'saved', NULL, NULL FROM supplier WHERE s_suppkey % 4 = 0")
+def save_rows(db):
+    s = db.df("supplier")
+    some = s.filter("s_suppkey % 4 = 0").select("s_suppkey", F.lit("saved").alias("s_name"))
+    return Mutable(s, ("s_suppkey",)).save(some.union(some.withColumn("s_suppkey", F.col("s_suppkey") + 1000000)))[0].df
+
+
+@query("SELECT p_partkey, p_size::VARCHAR AS size, CASE WHEN p_brand <> 'Brand#11' THEN p_brand END AS brand FROM part WHERE p_partkey % 3 = 0")
+def changed_values(db):
+    p = db.df("part")
+    edited = p.filter("p_partkey % 3 = 0").select("p_partkey", "p_name", (F.col("p_size") + 1).alias("p_size"), F.lit("Brand#11").alias("p_brand"))
+    return Mutable(p, ("p_partkey",)).changed_values(edited).select("p_partkey", F.try_element_at("changed", F.lit("p_size")).alias("size"), F.try_element_at("changed", F.lit("p_brand")).alias("brand"))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS buyer, o_totalprice, year(o_orderdate) AS y, 'new' AS state, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def altered_table(db):
+    """Renamed key columns still join; y is generated and state a default."""
+    now = db.altered("orders", {"o_orderkey": "id", "o_custkey": "buyer"}, {"y": F.year("o_orderdate").cast("long"), "state": F.lit("new")}, ("o_orderstatus", "o_orderdate", "o_orderpriority"))
+    o = Request(now, "orders")
+    return o.annotated_with_required(belongs_to(o, Request(now, "customer")), "c_name").to_df()
+
+
+@query("SELECT c_custkey, n, name FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) JOIN (SELECT c_custkey, c_name AS name FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey WHERE n >= 3")
+def view_by_key(db):
+    busy = db.with_view("busy", db.df("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), ("c_custkey",))
+    rich = busy.with_view("rich", db.df("customer").filter("c_acctbal > 0").select("c_custkey", F.col("c_name").alias("name")), ("c_custkey",))
+    of = has_one(Request(rich, "busy"), Request(rich, "rich"), "c_custkey")
+    return Request(rich, "busy").filter("n >= 3").annotated_with_required(of, "name").to_df()

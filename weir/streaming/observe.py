@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import queue
+import threading
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -44,6 +46,53 @@ def observe(arrivals: DataFrame, fetch: Callable[[], Any], on_change: Callable[[
     return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+class Shared:
+    """One observation for many subscribers: the query runs once per change whoever listens. Newcomers first get the last value."""
+
+    def __init__(self, arrivals: DataFrame, fetch: Callable[[], Any], checkpoint: str, **trigger) -> None:
+        self._listeners: list[Callable[[Any], None]] = []
+        self._last: Any = None
+        self._lock = threading.RLock()
+        self.query = observe(arrivals, fetch, self._tell, checkpoint, **trigger)
+
+    def _tell(self, value: Any) -> None:
+        with self._lock:
+            self._last = value
+            for listener in list(self._listeners):
+                listener(value)
+
+    def subscribe(self, listener: Callable[[Any], None]) -> Callable[[], None]:
+        """Returns a function that ends the subscription."""
+        with self._lock:
+            self._listeners.append(listener)
+            listener(self._last)
+        return lambda: self._listeners.remove(listener)
+
+    def values(self, limit: int) -> Iterator[Any]:
+        """The last value and those that follow, so many in all."""
+        arrived: queue.Queue = queue.Queue()
+        end = self.subscribe(arrived.put)
+        try:
+            for _ in range(limit):
+                yield arrived.get()
+        finally:
+            end()
+
+    def stop(self) -> None:
+        self.query.stop()
+
+
+def on_arrival(arrivals: DataFrame, notify: Callable[[int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Calls notify with the batch's number for each micro-batch that brings rows; nothing is fetched."""
+
+    def tell(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            notify(number)
+
+    writer = arrivals.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
 def tumbling(events: DataFrame, time: str, length: str, *keys: str) -> DataFrame:
     w = F.window(F.col(time), length)
     return events.groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *keys, "n")
