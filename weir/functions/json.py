@@ -148,36 +148,47 @@ def _nested(steps: list, leaf: Column) -> Column | None:
     return leaf
 
 
+def _bound(c: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _edited(c: Column, steps: list, leaf: Column | None, present: bool, absent: bool) -> Column:
     """leaf: JSON text to put, or None to remove. Text that is not of the container that a step needs stays."""
     if not steps:
         return F.when(c.isNotNull(), leaf) if leaf is not None and present else c
     step, rest = steps[0], steps[1:]
     new = _nested(rest, leaf) if leaf is not None and absent else None
+    removed = leaf is None and not rest
 
     def one(value: Column, here: Column) -> Column:
         old = F.coalesce(F.to_json(value), F.lit("null"))
         return F.when(here, _edited(old, rest, leaf, present, absent)).otherwise(old)
 
-    removed = leaf is None and not rest
-    if isinstance(step, str):
-        entries = F.map_entries(_fields(c))
+    def in_object(entries: Column) -> Column:
         kept = F.filter(entries, lambda e: e["key"] != step) if removed else entries
         pieces = F.transform(kept, lambda e: F.concat(quote(e["key"]), F.lit(":"), one(e["value"], e["key"] == step)))
         if new is not None:
             piece = F.array(F.concat(F.lit(json.dumps(step) + ":"), new))
-            pieces = F.when(F.map_contains_key(_fields(c), step), pieces).otherwise(F.concat(pieces, piece))
-        whole, opening = F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")), "{"
-    else:
-        values = F.from_json(c, "array<variant>")
-        n = F.size(values)
+            pieces = F.when(F.exists(entries, lambda e: e["key"] == step), pieces).otherwise(F.concat(pieces, piece))
+        return F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}"))
+
+    def in_array(values: Column) -> Column:
         kept = F.filter(values, lambda v, i: i != step) if removed and step is not None else values
         pieces = F.transform(kept, lambda v, i: one(v, F.lit(False) if step is None or removed else i == step))
         if new is not None:
-            here = F.lit(True) if step is None else n == step
+            here = F.lit(True) if step is None else F.size(values) == step
             pieces = F.when(here, F.concat(pieces, F.array(new))).otherwise(pieces)
-        whole, opening = F.concat(F.lit("["), F.array_join(pieces, ","), F.lit("]")), "["
-    return F.when(F.ltrim(c).startswith(opening), F.coalesce(whole, c)).otherwise(c)
+        return F.concat(F.lit("["), F.array_join(pieces, ","), F.lit("]"))
+
+    def body(x: Column) -> Column:
+        if isinstance(step, str):
+            whole, opening = _bound(F.map_entries(_fields(x)), in_object), "{"
+        else:
+            whole, opening = _bound(F.from_json(x, "array<variant>"), in_array), "["
+        return F.when(F.ltrim(x).startswith(opening), F.coalesce(whole, x)).otherwise(x)
+
+    return _bound(c, body)
 
 
 def insert_at(c: Column, path: str, value: Column) -> Column:

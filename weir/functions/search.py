@@ -142,11 +142,13 @@ def bm25(docs: DataFrame, key: str, tokens: Column, words: list[str], k1: float
         return docs.select(F.col(key), F.lit(0.0).alias("rank")).filter(F.lit(False))
 
     def times(word: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t == word))
+        return F.size("_t") - F.size(F.array_remove("_t", word))
 
-    counted = docs.select(F.col(key), F.size(tokens).alias("_n"), *[times(w).alias(f"_f{i}") for i, w in enumerate(words)])
-    stats = counted.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(words))])
-    scored = counted.filter(reduce(lambda x, y: x | y, [F.col(f"_f{i}") > 0 for i in range(len(words))])).crossJoin(F.broadcast(stats))  # one row of statistics
+    def counted(some: DataFrame) -> DataFrame:  # the tokens stand in a column of their own, so that each text is split once
+        return some.select(F.col(key), tokens.alias("_t")).select(key, F.size("_t").alias("_n"), *[times(w).alias(f"_f{i}") for i, w in enumerate(words)])
+
+    stats = counted(docs).agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"), *[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(words))])
+    scored = counted(docs.filter(any_of(tokens, words))).crossJoin(F.broadcast(stats))  # one row of statistics
     parts = []
     for i in range(len(words)):
         raw = F.log((F.col("_docs") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5))
