@@ -27,6 +27,31 @@ def test_toxicity_held_out(spark):
     assert any(r.evidence for r in out)
 
 
+def test_toxic_terms_of_a_small_language_stay(spark):
+    rng = np.random.default_rng(5)
+    words = {"en": [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)], "xx": [f"slovo{chr(97 + i)}" for i in range(20)]}
+    marks = {"en": ["idiot", "moron"], "xx": ["budala", "glupan"]}
+    docs, labels, kind = [], [], {}
+    for i in range(7000):  # over 2,000 of each label in the training folds, so that the sample is filled
+        lang, toxic = "xx" if i % 50 < 2 else "en", i % 2
+        text = [*rng.choice(words[lang], 8), *([marks[lang][int(rng.integers(2))]] if toxic else [])]
+        docs.append((i, " ".join(rng.permutation(text)), lang))
+        labels.append((i, 1, toxic))
+        kind[i] = lang, toxic
+    out = op5.toxicity(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).filter("held_out").collect()
+    for lang in words:
+        for toxic in (0, 1):
+            got = [r.predicted for r in out if kind[r.doc_id] == (lang, toxic)]
+            assert len(got) > 30 and np.mean(np.array(got) == toxic) > 0.97
+
+
+def test_toxicity_bounds(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    index = op5.fit(docs, labels, examples=20, features=8, cover=2)
+    assert len(index.at) <= 8 and 0 < len(index.ids) <= 20 + 2 * 8
+    assert index.vectors.any(0).all()  # each term has an example
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
     v = np.maximum(rng.normal(size=(500, 12)), 0).astype(np.float32) * (rng.random((500, 12)) < 0.3)

@@ -1,14 +1,16 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with block-max inverted indexes.
 
-Examples are a bounded sample of labelled training documents, half of them toxic where there are enough
-(`examples` rows in all, the least by a hash of their doc_id). Features are words and their beginnings of 4 and 5
-characters; those whose presence depends on the label (chi-square of at least `least_chi2`, and `least_effect` times the sample) and mostly tells it (a share of
-`purity` on one side, labels weighed equally) form, at most `features`, the vocabulary, so that similarity is about toxicity and not about subject.
+Features are words and their beginnings of 4 and 5 characters. Their document frequencies are counted in Spark over all labelled
+training documents; the vocabulary is of terms that occur in at least `support` of them, tell the label mostly (a share of `purity` on one
+side, labels weighed equally) and hardly by chance (a likelihood ratio of at least `least_ratio` against the label's share of all).
+What a term needs does not grow with the input, so a small language's terms stay. At most `features` are kept, half for each label, the
+greatest ratios first. Examples are training documents with a vocabulary term: a sample of at most `examples`, half toxic where there are
+enough (the least by a hash of their doc_id), and besides for each term up to `cover` documents that hold it, so that no term is without an example.
 
 The index holds examples in blocks of like vectors. For each block it keeps the greatest weight of each term; with
 a query's weights these give an upper bound on any cosine in the block, and a block is scored only for queries
 whose k-th best so far is below its bound. The neighbours found are exact. Distance-weighted votes are mapped to rates by a monotone
-step function fitted on the examples' own votes without themselves. A document without any vocabulary term gets the rate of
+step function fitted on the sample's own votes without themselves. A document without any vocabulary term gets the rate of
 such training documents. Evidence is the list of the nearest examples' doc_ids.
 
 Defined results: null text is empty and scores as a document without terms. Without labels every score is 0. Ties of
@@ -20,6 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,11 @@ class Index:
         best, which = np.zeros((q, k), np.float32), np.full((q, k), -1)
         if not self.starts or not q:
             return best, which
+        some = queries.any(1)
+        if not some.all():  # without a term there is nothing to search
+            if some.any():
+                best[some], which[some] = self.nearest(queries[some], None if leave is None else leave[some])
+            return best, which
         bound = queries @ self.most.T
         for b in np.argsort(-bound.max(0), kind="stable"):
             live = np.flatnonzero(bound[:, b] + 1e-5 > best[:, -1])  # the bound may be rounded down
@@ -101,11 +109,13 @@ class Index:
         total = weight.sum(1)
         return np.divide((weight * label).sum(1), total, out=np.zeros(len(queries)), where=total > 0), total > 0, which
 
-    def calibrate(self, weights: np.ndarray, rate_empty: float) -> None:
-        """Pool-adjacent-violators over the examples' own votes; weights undo the sample's balance."""
+    def calibrate(self, weights: np.ndarray, rate_empty: float, sampled: np.ndarray) -> None:
+        """Pool-adjacent-violators over the sampled examples' own votes; weights undo the sample's balance."""
         self.rate_empty = rate_empty
-        vote, some, _ = self.votes(self.vectors, np.arange(len(self.ids)))
-        vote, label, weight = vote[some], self.labels[some].astype(float), weights[self.labels[some].astype(int)]
+        at = np.flatnonzero(np.isin(self.ids, sampled))
+        vote, some, _ = self.votes(self.vectors[at], at)
+        labels = self.labels[at][some]
+        vote, label, weight = vote[some], labels.astype(float), weights[labels.astype(int)]
         pools: list[list[float]] = []  # least vote, sum of labels, weight
         for i in np.argsort(vote, kind="stable"):
             pools.append([vote[i], label[i] * weight[i], weight[i]])
@@ -126,56 +136,82 @@ class Index:
         return np.where(some, rated, self.rate_empty), which
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, features: int = 400, least_chi2: float = 25.0, least_effect: float = 0.025, purity: float = 0.98, k: int = 25) -> Index:
-    """The index, from labelled rows of the training folds. At most `examples` documents reach the driver, as vectors."""
-    here = docs.filter(~held_out() & F.col("doc_id").isNotNull())
-    truth = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(here.select("doc_id"), "doc_id", "left_semi")
-    totals = dict(truth.groupBy("toxic").count().collect())
-    parts_ = [truth.filter(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples // 2) for x in (0, 1)]
-    drawn = parts_[0].unionByName(parts_[1])  # ids and labels only; at most `examples` rows
-    chosen = here.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(whole_text()).alias("text")).persist()
+def vocabulary_of(labelled: DataFrame, n0: float, n1: float, features: int, support: int, purity: float, least_ratio: float) -> list:
+    """Rows of (term, m: documents that hold it), at most `features`."""
 
     def split(batches):
+        sums: dict[str, list[int]] = {}
+
+        def emit():
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.int64())], ["term", "a", "m"])
+
         for b in batches:
-            ids, names = [], []
-            for i, t in zip(b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True):
-                for x in set(terms(t)):
-                    ids.append(i)
-                    names.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(names, pa.string())], ["toxic", "term"])
-
-    size = dict(chosen.groupBy("toxic").count().collect())
-    n1, n0 = float(size.get(1, 0)), float(size.get(0, 0))
+            for toxic, text in zip(b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True):
+                for x in set(terms(text)):
+                    got = sums.setdefault(x, [0, 0])
+                    got[0] += toxic
+                    got[1] += 1
+                if len(sums) > 100_000:
+                    yield emit()
+                    sums.clear()
+        yield emit()
+
     n = n0 + n1
-    counted = chosen.select("toxic", "text").mapInArrow(split, "toxic int, term string").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.count("*").cast("double").alias("m"))
-    chi = n * F.pow(F.col("a") * n0 - (F.col("m") - F.col("a")) * n1, 2) / (F.lit(n1 * n0) * F.col("m") * (n - F.col("m")))
-    in_toxic, in_clean = F.col("a") / F.lit(n1 or 1.0), (F.col("m") - F.col("a")) / F.lit(n0 or 1.0)
-    share = in_toxic / (in_toxic + in_clean)  # of the term's occurrences, were both labels equally frequent
-    picked = counted.filter(F.col("m") < n).withColumn("chi2", chi).filter(F.col("chi2") >= max(least_chi2, least_effect * n)).filter((share >= purity) | (share <= 1 - purity)).orderBy(F.desc("chi2"), "term").limit(features).collect() if n1 and n0 else []
-    vocabulary = sorted(r.term for r in picked)
-    df = {r.term: r.m for r in picked}
-    idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in vocabulary], np.float32)
+    counted = labelled.select("toxic", "text").mapInArrow(split, "term string, a long, m long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("m").cast("double").alias("m"))
+    a, m, c = F.col("a"), F.col("m"), F.col("m") - F.col("a")
+    share = (a / F.lit(n1)) / (a / F.lit(n1) + c / F.lit(n0))  # of the term's occurrences, were both labels equally frequent
+    ratio = 2 * (F.when(a > 0, a * F.log(a * n / (m * n1))).otherwise(0.0) + F.when(c > 0, c * F.log(c * n / (m * n0))).otherwise(0.0))
+    rated = counted.filter((m >= support) & (m < n)).withColumns({"share": share, "ratio": ratio}).filter((F.col("ratio") >= least_ratio) & ((F.col("share") >= purity) | (F.col("share") <= 1 - purity)))
+    rated = rated.persist(StorageLevel.DISK_ONLY)  # counted once for both labels
+    sides = [rated.filter(s).orderBy(F.desc("ratio"), "term").limit(features // 2).select("term", "m") for s in (F.col("share") >= purity, F.col("share") <= 1 - purity)]
+    out = [r for side in sides for r in side.collect()]
+    rated.unpersist()
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, features: int = 1000, cover: int = 3, support: int = 4, purity: float = 0.9, least_ratio: float = 12.0, k: int = 25) -> Index:
+    """The index, from labelled rows of the training folds. At most `examples` + `cover` x `features` vectors reach the driver."""
+    here = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    truth = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    labelled = here.join(truth, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).persist(StorageLevel.DISK_ONLY)
+    totals = dict(labelled.groupBy("toxic").count().collect())
+    n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
+    df = {r.term: r.m for r in vocabulary_of(labelled, n0, n1, features, support, purity, least_ratio)} if n1 and n0 else {}
+    vocabulary = sorted(df)
+    idf = np.array([np.log((1 + n0 + n1) / (1 + df[t])) + 1 for t in vocabulary], np.float32)
     blank = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros((0, len(vocabulary)), np.float32), np.zeros(0, np.int64), k)
 
     def weigh(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array([blank.vector(t).tobytes() for t in b["text"].to_pylist()], pa.binary())], ["doc_id", "toxic", "v"])
-
-    rows = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(weigh, "doc_id long, toxic int, v binary").collect()
-    chosen.unpersist()
+            vectors = [blank.vector(t) for t in b["text"].to_pylist()]
+            at = [np.flatnonzero(v).astype(np.int32) for v in vectors]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(at, pa.list_(pa.int32())), pa.array([v[i] for v, i in zip(vectors, at, strict=True)], pa.list_(pa.float32()))], ["doc_id", "toxic", "at", "w"])
+
+    vectors = labelled.mapInArrow(weigh, "doc_id long, toxic int, at array<int>, w array<float>").persist(StorageLevel.DISK_ONLY)
+    sizes = {(r.toxic, r.some): r["count"] for r in vectors.groupBy("toxic", (F.size("at") > 0).alias("some")).count().collect()}
+    some = vectors.filter(F.size("at") > 0).withColumn("h", F.xxhash64("doc_id"))
+    drawn = [r.doc_id for x in (0, 1) for r in some.filter(F.col("toxic") == x).orderBy("h", "doc_id").limit(examples // 2).select("doc_id").collect()]
+    held = some.select("doc_id", "h", F.explode("at").alias("term")).groupBy("term", F.pmod("h", F.lit(cover)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("least"))
+    covering = [r.doc_id for r in held.select("least.doc_id").distinct().collect()]  # one of each part of the ids for each term
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted({*drawn, *covering})], "doc_id long")
+    rows = some.join(F.broadcast(wanted), "doc_id", "left_semi").collect()
+    vectors.unpersist()
+    labelled.unpersist()
     ids, toxic = np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], np.int64)
-    vectors = np.array([np.frombuffer(r.v, np.float32) for r in rows], np.float32).reshape(len(rows), len(vocabulary))
-    some = vectors.any(1) if len(rows) else np.zeros(0, bool)
-    weights = np.array([totals.get(x, 0) / max(size.get(x, 0), 1) for x in (0, 1)])
-    index = Index(vocabulary, idf, ids[some], vectors[some], toxic[some], k)
-    none = [float((toxic[~some] == x).sum()) * weights[x] for x in (0, 1)]
-    index.calibrate(weights, none[1] / sum(none) if sum(none) else 0.0)
+    dense = np.zeros((len(rows), len(vocabulary)), np.float32)
+    for i, r in enumerate(rows):
+        dense[i, r["at"]] = r.w
+    index = Index(vocabulary, idf, ids, dense, toxic, k)
+    sampled = toxic[np.isin(ids, drawn)]
+    weights = np.array([sizes.get((x, True), 0) / max((sampled == x).sum(), 1) for x in (0, 1)])
+    none = [sizes.get((x, False), 0) for x in (0, 1)]
+    index.calibrate(weights, none[1] / sum(none) if sum(none) else 0.0, np.array(drawn, np.int64))
     return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from the threshold on), evidence (doc_ids of the nearest examples)."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **kw))  # bounded: examples x features
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **kw))  # bounded: (examples + cover x features) x features
 
     def run(batches):
         ix = index.value
