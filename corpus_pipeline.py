@@ -26,9 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the least doc_id."""
-    classes = op4_simhash.near_duplicates(docs)
-    return docs.join(classes.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each group of near copies stays: the one of the least doc_id, null counting as least, then of the least hash of its text.
+
+    Groups are by text alone: rows that share a doc_id but not their texts' group each stand for their own.
+    """
+    return op4_simhash.representatives(docs.select(*COLUMNS))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

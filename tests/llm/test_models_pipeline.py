@@ -137,3 +137,17 @@ def test_pipeline(spark, sf):
     want = {tuple(r) for r in op8_bpe.digests(drawn).collect()}
     assert got == want and got
     assert op2_secret_scan and op4_simhash
+
+
+def test_pipeline_stages_on_null_and_repeated_ids(spark, sf):
+    a, b, c = ("".join(chr(97 + (i * k) % 26) * 3 + " " for i in range(60)) for k in (1, 3, 7))
+    rows = [(None, a), (7, a), (7, a), (None, b), (8, b), (7, c), (7, c), (9, c), (None, None), (3, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en" if n % 2 else None, f"src{n}", len(t or "")) for n, (i, t) in enumerate(rows)], schema)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "", r.source) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect())
+    assert got == sorted([(False, 0, a, "src0"), (False, 0, b, "src3"), (True, 7, c, "src6"), (False, 0, "", "src8")])
+    assert corpus_pipeline.near_dedup(spark, docs, sf).columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.secret_scan(spark, docs, sf).count() == len(rows) and corpus_pipeline.bpe(spark, docs, sf).count() == len(rows)
+    assert corpus_pipeline.mixing(spark, docs, sf).count() <= len(rows) and corpus_pipeline.language_id(spark, docs, sf).count() <= len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name

@@ -46,17 +46,17 @@ def simhash(text: bytes, words: int, seed: int = 42) -> int:
 
 
 def fingerprinted(docs: DataFrame, words: int) -> DataFrame:
-    """did, fp for every row."""
+    """did, h (a hash of the text), fp for every row."""
 
     def run(batches):
         for b in batches:
             data, offsets = utf8(b["text"])
             raw = data.tobytes()
             fp = np.fromiter((simhash(raw[x:y], words) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b["did"], pa.array(fp.view(np.int64))], ["did", "fp"])
+            yield pa.RecordBatch.from_arrays([b["did"], b["h"], pa.array(fp.view(np.int64))], ["did", "h", "fp"])
 
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), whole_text().alias("text"))
-    return keyed.mapInArrow(run, "did long, fp long")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(whole_text()).alias("h"), whole_text().alias("text"))
+    return keyed.mapInArrow(run, "did long, h long, fp long")
 
 
 def variants(fp: Column) -> Column:
@@ -98,7 +98,7 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (least doc_id of the component), for every row."""
-    marked = checkpoint(fingerprinted(docs, words))
+    marked = checkpoint(fingerprinted(docs, words).select("did", "fp"))
     classes = marked.groupBy("fp").agg(F.min("did").alias("rep"))
     labelled = classes.join(linked(classes.select("fp"), distance), "fp")
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -108,6 +108,20 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataF
     )
 
 
+def representatives(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+    """One row of docs for each component: the least doc_id (null first), then the least 64-bit hash of the text.
+
+    Rows equal in both count as one; of those the least in the other columns stays.
+    """
+    marked = checkpoint(fingerprinted(docs, words))
+    classes = marked.groupBy("fp").agg(F.min(F.struct("did", "h")).alias("rep"))
+    kept = classes.join(linked(classes.select("fp"), distance), "fp").groupBy("component").agg(F.min("rep").alias("rep")).select("rep.did", "rep.h")
+    row = F.struct(*(c for c in docs.columns if c != "text"), "text")
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(whole_text()).alias("h")]
+    rows = docs.select(*keys, row.alias("row")).groupBy("did", "h").agg(F.min("row").alias("row"))  # partly on the map side: a crowd of equal rows meets as few
+    return rows.join(kept, ["did", "h"], "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
