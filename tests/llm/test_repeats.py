@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from weir.llm import op6_suffix_dedup as op6
 from weir.llm import op7_automaton_dedup as op7
+from weir.llm import spans
 
 
 def brute(docs, units, length, join):
@@ -84,6 +86,19 @@ def test_long_text_crosses_segments(spark, monkeypatch):
     assert got == want
 
 
+def test_long_words_hash_alike_at_any_offset():
+    for size in (spans.SEGMENT - 1, spans.SEGMENT, 300_000, 2 * spans.SEGMENT, 600_000):
+        window = b" ".join([*(b"w%d" % i for i in range(10)), b"abc" * (size // 3) + b"x" * (size % 3), *(b"v%d" % i for i in range(9))])
+        hashes = []
+        for before in (b"", b"a bc ", b"pre " * 70_000):
+            data = np.frombuffer(before + window, np.uint8)
+            starts, ends, _ = spans.word_bounds(data, np.array([0, len(data)]))
+            hashes.append(spans.word_values(data, starts, ends)[-20:].tolist())
+        word = np.frombuffer(window.split()[10], np.uint8)
+        alone = spans.word_values(word, np.array([0]), np.array([size]))
+        assert hashes[0] == hashes[1] == hashes[2] and hashes[0][10] == alone[0]
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text, "x"), (1, text, "x"), (None, text, "x"), (2, "short", None)]

@@ -135,6 +135,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray):
 def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
     out = np.empty(len(starts), np.uint64)
+    long = np.append(np.flatnonzero(ends - starts >= SEGMENT), len(starts))  # a slice ends before each: they are always folded
     i = 0
     while i < len(starts):
         if ends[i] - starts[i] >= SEGMENT:  # a word as long as that: fold the hashes of its pieces
@@ -147,6 +148,7 @@ def word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
             i += 1
             continue
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + 2 * SEGMENT, "right")))
+        j = min(j, int(long[np.searchsorted(long, i)]))
         s = prefix(BYTE_VALUES[data[starts[i] : ends[j - 1]]])
         out[i:j] = span(s, starts[i:j] - starts[i], ends[i:j] - starts[i])
         i = j
