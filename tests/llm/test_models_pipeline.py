@@ -100,6 +100,16 @@ def test_mixed_text_scores_lower(spark):
     assert score[0] > 0.9 and score[1] > 0.9 and score[2] < 0.8
 
 
+def test_language_set_grows_beyond_three(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    langs, p = op9.learn(docs)
+    texts = [docs.filter(f"lang = '{x}' AND n_chars > 2000").first().text[:1500] for x in ("de", "en", "es", "fr")]
+    mixed = " ".join(texts)
+    _, three = op9.infer([mixed], p, most=3)
+    _, score = op9.infer([mixed], p)
+    assert langs == ["de", "en", "es", "fr"] and score[0] < 0.35 and score[0] < three[0]
+
+
 def test_language_of_odd_tables(spark):
     docs = spark.createDataFrame([(None, None, None, None, None, 0.5), (1, "", "en", "", 0, 0.5), (2, "hello there", None, "", 5, 0.5), (3, "123", "en", "", 5, 0.5)], DOCS)
     out = {r.doc_id: r for r in op9.identified(docs).collect()}

@@ -88,7 +88,7 @@ def proportions(like: np.ndarray, counts: np.ndarray, doc: np.ndarray, n_docs: i
     return pi, np.add.reduceat(np.log((pi[:, doc] * like).sum(0)) * counts, starts)
 
 
-def infer(texts: list[str], p: np.ndarray, penalty: float = 4.0, most: int = 3, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def infer(texts: list[str], p: np.ndarray, penalty: float = 4.0, most: int = LANGUAGES, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """For each text the index of its main language (-1: none) and the score."""
     entries = [np.unique(trigrams(t), return_counts=True) for t in texts]
     live = np.array([i for i, (b, _) in enumerate(entries) if len(b)], int)
@@ -129,7 +129,7 @@ def infer(texts: list[str], p: np.ndarray, penalty: float = 4.0, most: int = 3,
     return best, score
 
 
-def identified(docs: DataFrame, smoothing: float = 0.5, penalty: float = 4.0, most: int = 3, rounds: int = 8) -> DataFrame:
+def identified(docs: DataFrame, smoothing: float = 0.5, penalty: float = 4.0, most: int = LANGUAGES, rounds: int = 8) -> DataFrame:
     """docs with _held_out, _lang_pred, _score; learned from docs itself."""
     langs, p = learn(docs, smoothing)
     model = docs.sparkSession.sparkContext.broadcast(p)  # at most LANGUAGES x BUCKETS
