@@ -107,6 +107,38 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert run(spark, op7, []).count() == 0 and run(spark, op6, []).count() == 0
 
 
+@pytest.mark.parametrize("op", [op6, op7])
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_rows_without_ids_and_of_one_id(spark, op, hot):
+    """2,000 rows without an id and 1,000 of one id: only what occurred before goes, in the order of (doc_id, hash of the text)."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(15, 45)))
+    shared = [" ".join(rng.choice("abcdefghij") * 5 for _ in range(30)) for _ in range(4)]
+    rows = [(None if i < 2000 else 7, text() + (" " + rng.choice(shared) if rng.random() < 0.1 else ""), str(i)) for i in range(3000)]
+    rows += rows[:5] + [(7, rows[3][1], "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(3)
+    keyed = docs.selectExpr("doc_id", "text", "xxhash64(text) h", "xxhash64(1, text) g").distinct().collect()
+    keyed.sort(key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.h, r.g))
+    units, length, join = (lambda t: t.encode(), 100, as_bytes) if op is op6 else (words, 20, as_words)
+    want = brute([((r.doc_id, i), r.text) for i, r in enumerate(keyed)], units, length, join)
+    number = {(r.doc_id, r.text): (r.doc_id, i) for i, r in enumerate(keyed)}
+    expected = sorted(str((i, *[want[number[i, t]][j] for j in (0, 1, 3)])) for i, t, _ in rows)
+    got = op.remove_repeats(docs, hot=hot).collect()
+    assert sorted(str((r.doc_id, r[2], r.n_removed, hashlib.sha256(r.kept if op is op6 else r.kept.encode()).hexdigest())) for r in got) == expected
+    assert sum(r.n_removed for r in got) > 0
+
+
+def test_the_resolver_decides_every_repeat(spark, sf):
+    """Whatever is removed comes out of the resolver, which gets all runs whose anchor occurs at several places."""
+    from weir.llm import repeats
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    keyed = repeats.doc_key(docs)
+    rows = repeats.anchors(keyed, "byte", 100, 32).drop("known", "spare").distinct()
+    several = rows.groupBy("gram").count().filter("count > 1")
+    assert repeats.sift(repeats.anchors(keyed, "byte", 100, 32)).distinct().count() == rows.join(several, "gram", "left_semi").count() > 0
+
+
 def test_whole_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     want = brute(docs, lambda t: t.encode(), 100, as_bytes)
@@ -119,7 +151,7 @@ def test_loser_tree_orders_and_counts_prefixes():
     rng = random.Random(4)
     items = sorted("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))).encode() for _ in range(300))
     runs = [sorted(items[i::7]) for i in range(7)]
-    blobs = [op6.front_coded([(s, b"L", 1, 2, 3) for s in r]) for r in runs]
+    blobs = [op6.front_coded([(s, b"L" * (i % 3), 1, 2, 0, 3) for i, s in enumerate(r)]) for r in runs]
     out = list(op6.merged([op6.decoded(b) for b in blobs]))
     assert [x[1] for x in out] == items
     for a, b in zip(out, out[1:]):

@@ -48,13 +48,41 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("null"))) % 3 == 1
 
 
+#: Rows up to which a table made here is broadcast; beyond it joins shuffle. A row of the tables in question has under 64 bytes.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A checkpointed table as the small side of a join: broadcast if it has been counted to hold few rows, shuffled otherwise."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def doc_key(docs: DataFrame) -> DataFrame:
-    """did, tag, text: rows that repeat an id with another text are told apart by 15 bits of the text's hash."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"),
-        F.xxhash64(whole_text()).bitwiseAND(F.lit(0x7FFF)).cast("int").alias("tag"),
-        whole_text().alias("text"),
-    )
+    """did, tag, text, in the order of documents by (did, tag).
+
+    did: the doc_id, nulls least. tag: 0 where a did has one text; the texts of one did (or without any) have distinct tags that
+    rise with 128 bits of the text's hash. Rows of equal did and text share their key.
+    """
+    text = whole_text()
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), text.alias("text"))
+    both = F.struct("h", "g")
+    several = checkpoint(rows.groupBy("did").agg(F.min(both).alias("lo"), F.max(both).alias("hi")).filter("lo <> hi").select("did"))
+    if several.isEmpty():
+        return rows.select("did", F.lit(0).cast("long").alias("tag"), "text")
+    keys = rows.select("did", "h", "g").distinct().join(small(several), "did", "left_semi").orderBy("did", "h", "g")
+    tags = checkpoint(keys).withColumn("tag", F.monotonically_increasing_id() + 1)  # over written, sorted rows: it rises with them
+    return rows.join(small(tags), ["did", "h", "g"], "left").select("did", F.coalesce("tag", F.lit(0)).alias("tag"), "text")
 
 
 def real_id(did: str = "did") -> Column:

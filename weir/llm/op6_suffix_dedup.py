@@ -1,14 +1,13 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts earlier go.
 
-Suffixes are sorted sparsely: at the anchors of windows (spans.py), and only where an anchor stands in differing
-surroundings (repeats.py; equal surroundings are copies already). Map tasks sort the suffixes that start at their
-anchors and send them as front-coded runs, so that shared beginnings travel once. Each reducer merges its runs
-with a loser tree that carries, for each run, the length of the prefix shared with the last suffix put out, and
-compares bytes only beyond it. The merged order with its common-prefix lengths tells which windows are equal to
-the right of the anchor; a hash of the bytes to its left completes the test.
+Suffixes are sorted sparsely: at the anchors of windows (spans.py), wherever an anchor occurs at several places (repeats.py). Map
+tasks sort the suffixes that start at their anchors and send them as front-coded runs, so that shared beginnings travel once; what
+a batch holds twice stays behind as a copy. Each reducer merges its runs with a loser tree that carries, for each run, the length
+of the prefix shared with the last suffix put out, and compares bytes only beyond it. The merged order with its common-prefix
+lengths tells which windows are equal to the right of the anchor; the bytes to its left are sorted backwards in the same way. Bytes decide, not hashes.
 
 Defined results: null text is empty; texts under `length` bytes keep all; rows that repeat doc_id and text count
-as one document, each returned; of equal doc_ids with differing texts the text's hash gives the order; a null
+as one document, each returned; of equal doc_ids with differing texts, and of rows without one, 128 bits of the text's hash give the order; a null
 doc_id sorts first. Columns other than doc_id and text are ignored.
 """
 
@@ -19,11 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import spans
 from .common import NULL_ID, parts, table, utf8
-from .repeats import FOUND, TAG, copies, found_batch, list_of, repeated_windows
+from .repeats import REPEATS, SALTS, by_place, chunks_of, list_of, repeated_windows, repeats_batch, touching
 
-HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("n", "<u2"), ("did", "<i8"), ("loc", "<i8")])
+#: left: bytes of the left context, or SAME if it is that of the row before.
+HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("n", "<u2"), ("did", "<i8"), ("tag", "<i8"), ("start", "<i8")])
+SAME = 0xFFFF
+#: Rows that a bucket of the merge should hold.
+BUCKET = 20_000
+SENT = "bucket long, salt int, run binary, " + REPEATS
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -43,29 +46,36 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
     return lo
 
 
-def front_coded(rows: list[tuple[bytes, bytes, int, int, int]]) -> bytes:
-    """Sorted rows (suffix, left context, n, did, loc): a count, heads, what each suffix adds to the one before, lefts."""
-    heads, rests, last = np.empty(len(rows), HEAD), [], b""
-    for i, (suffix, left, n, did, loc) in enumerate(rows):
+def front_coded(rows: list[tuple[bytes, bytes, int, int, int, int]]) -> bytes:
+    """Sorted rows (suffix, left context, n, did, tag, start): a count, heads, what each suffix adds to the one before, lefts."""
+    heads, rests, lefts, last, last_left = [], [], [], b"", None
+    for suffix, left, n, did, tag, start in rows:
         lcp = common_prefix(last, suffix, 0)
-        heads[i] = (lcp, len(suffix) - lcp, len(left), n, did, loc)
+        if left == last_left:
+            heads.append((lcp, len(suffix) - lcp, SAME, n, did, tag, start))
+        else:
+            heads.append((lcp, len(suffix) - lcp, len(left), n, did, tag, start))
+            lefts.append(left)
         rests.append(suffix[lcp:])
-        last = suffix
-    return len(rows).to_bytes(4, "little") + heads.tobytes() + b"".join(rests) + b"".join(x[1] for x in rows)
+        last, last_left = suffix, left
+    return b"".join([len(rows).to_bytes(4, "little"), np.array(heads, HEAD).tobytes(), *rests, *lefts])
 
 
 def decoded(blob: bytes):
-    """(lcp with the one before, suffix, left, n, did, loc), one after another."""
+    """(lcp with the one before, suffix, left, n, did, tag, start), one after another."""
     m = int.from_bytes(blob[:4], "little")
     heads = np.frombuffer(blob, HEAD, m, 4)
     at = 4 + heads.nbytes
     left_at = at + int(heads["rest"].sum(dtype=np.int64))
-    last = b""
-    for lcp, rest, left, n, did, loc in heads.tolist():
-        last = last[:lcp] + blob[at : at + rest]
-        yield lcp, last, blob[left_at : left_at + left], n, did, loc
-        at += rest
-        left_at += left
+    last = last_left = b""
+    for lcp, rest, left, n, did, tag, start in heads.tolist():
+        if rest or lcp != len(last):
+            last = last[:lcp] + blob[at : at + rest]
+            at += rest
+        if left != SAME:
+            last_left = blob[left_at : left_at + left]
+            left_at += left
+        yield lcp, last, last_left, n, did, tag, start
 
 
 def merged(runs: list):
@@ -117,81 +127,157 @@ def merged(runs: list):
             node //= 2
 
 
-def repeats_among(rows: list[tuple], length: int, k: int) -> tuple:
-    """Runs of windows that start earlier (copies() columns), from merged rows (lcp, suffix, left, n, did, loc)."""
-    lcp = np.array([x[0] for x in rows])
-    off = np.array([len(x[2]) for x in rows])  # of the anchor after the first window's start
-    n, did, loc = (np.array([x[i] for x in rows], np.int64) for i in (3, 4, 5))
-    lefts, end = np.frombuffer(b"".join(x[2] for x in rows), np.uint8), np.cumsum(off)
+def heads_and_copies(rows: list[tuple]) -> tuple[list[tuple], list[tuple[int, int, int, int]]]:
+    """Merged rows (lcp, suffix, left, n, did, tag, start), of each distinct region the earliest place, lcp being with the head before; and the places (did, tag, start, n) of the others."""
+    heads: list[list] = []
+    copied = []
+    now: dict[bytes, list] = {}  # by left context, the heads of the suffix at hand
+    suffix = None
+    for lcp, s, left, n, did, tag, start in rows:
+        if suffix is not None and lcp == len(suffix) == len(s):
+            old = now.get(left)
+            if old is not None:
+                place = [did, tag, start]
+                if place < old[4:]:
+                    copied.append((*old[4:], n))
+                    old[4:] = place
+                elif place != old[4:]:
+                    copied.append((did, tag, start, n))
+                continue
+        else:
+            now, suffix = {}, s
+        head = [lcp if not now else len(s), s, left, n, did, tag, start]
+        now[left] = head
+        heads.append(head)
+    return heads, copied
+
+
+def repeats_among(heads: list[tuple], length: int, k: int) -> tuple:
+    """Runs of windows (did, tag, start, n) that start earlier, from distinct regions in the order of their suffixes."""
+    lcp = np.array([x[0] for x in heads], np.int64)
+    anchor = np.cumsum(lcp < k)
+    live = np.flatnonzero(np.bincount(anchor)[anchor] > 1) if len(heads) else np.zeros(0, np.int64)
+    if not len(live):
+        return (np.zeros(0, np.int64),) * 4
+    # in the order of documents and anchors: of equal windows with equal offsets the first is the earliest
+    place = np.array([(heads[i][4], heads[i][5], heads[i][6] + len(heads[i][2]), len(heads[i][2]), heads[i][3]) for i in live], np.int64)
+    order = np.lexsort((place[:, 2], place[:, 1], place[:, 0]))
+    rows, (did, tag, at, off, n) = live[order], place[order].T
+    width = int(off.max())
+    backwards = np.array([heads[i][2][::-1].ljust(width, b"\0") for i in rows], f"S{max(width, 1)}")
+    by_left = np.argsort(backwards, kind="stable")
+    letters = np.ascontiguousarray(backwards[by_left]).view(np.uint8).reshape(len(rows), -1)
+    unlike = letters[1:] != letters[:-1]
+    common = np.append(0, np.where(unlike.any(1), unlike.argmax(1), letters.shape[1]))
+    rank = np.empty(len(rows), np.int64)
+    rank[by_left] = np.arange(len(rows))
     hit = np.zeros((len(rows), length - k + 3), bool)  # window number w of a run in column w + 1
-    h = np.zeros(len(rows), np.uint64)
     for o in range(length - k + 1):  # windows that start o bytes before the anchor
-        if o:
-            r = np.flatnonzero(off >= o)
-            h[r] = h[r] * spans.BASE + spans.BYTE_VALUES[lefts[end[r] - o]]
         r = np.flatnonzero((o <= off) & (o > off - n))
-        right = np.cumsum(lcp < length - o).astype(np.uint64)[r]  # equal where length - o bytes agree
-        key, place = spans.mix(spans.mix(h[r]) + right * spans.INVERSE), loc[r] + off[r] - o
-        order = np.lexsort((place, did[r], key))
-        r, key, place = r[order], key[order], place[order]
-        new = np.append(True, key[1:] != key[:-1])[: len(r)]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-        again = (did[r] != did[r][head]) | (place != place[head])
-        hit[r[again], off[r[again]] - o + 1] = True
+        if len(r) < 2:
+            continue
+        right = np.cumsum(lcp < length - o)[rows[r]]  # equal where length - o bytes from the anchor on agree
+        left = np.cumsum(common < o)[rank[r]]  # equal where o bytes before it agree
+        key = left * (len(heads) + 1) + right
+        by_key = np.argsort(key, kind="stable")
+        again = np.append(False, key[by_key[1:]] == key[by_key[:-1]])
+        again = r[by_key[again]]
+        hit[again, off[again] - o + 1] = True
     step = np.diff(hit.astype(np.int8), axis=1)
-    row, start = np.nonzero(step == 1)
+    row, first = np.nonzero(step == 1)
     stop = np.nonzero(step == -1)[1]
-    return copies(did[row], loc[row] + start, stop - start)
+    return did[row], tag[row], at[row] - off[row] + first, stop - first
 
 
 def resolver(length: int, k: int):
-    """Open runs to repeated windows, by exchanged suffix runs and their merge."""
+    """Runs of windows to repeated windows, by exchanged suffix runs and their merge."""
+
+    def sent_batch(runs: list[tuple[int, bytes]], copied: list[tuple[int, int, int, int]], salt: int) -> pa.RecordBatch:
+        a, b = len(runs), len(copied)
+        columns = [[x[0] for x in runs] + [None] * b, [salt] * (a + b), [x[1] for x in runs] + [None] * b, *([0] * a + [x[i] for x in copied] for i in range(4))]
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["bucket", "salt", "run", "did", "tag", "start", "n"])
+
+    def send(buckets: int, single: bool):
+        def run(batches):
+            for b in batches:
+                data, offsets = utf8(b["text"])
+                did, tag = b["did"].to_pylist(), b["tag"].to_pylist()
+                for row, start, n, gram, off in chunks_of(b, "byte", length, single):
+                    runs: dict[int, list] = {}
+                    begin = offsets[row] + start
+                    for r, s, m, g, x, y, z in zip(row.tolist(), start.tolist(), n.tolist(), (gram % buckets).tolist(), begin.tolist(), (begin + off).tolist(), (begin + n - 1 + length).tolist(), strict=True):
+                        runs.setdefault(g, []).append((data[y:z].tobytes(), data[x:y].tobytes(), m, did[r], tag[r], s))
+                    out, copied = [], []
+                    for g, rows in runs.items():
+                        rows.sort()
+                        kept, last = [], (None,) * 6
+                        for x in rows:
+                            if x[:2] != last[:2]:
+                                kept.append(x)
+                                last = x
+                            elif x[3:] != last[3:]:
+                                copied.append((*x[3:], x[2]))
+                        out.append((g, front_coded(kept)))
+                    yield sent_batch(out, touching(copied), (did[row[0]] ^ tag[row[0]]) % SALTS)
+
+        return run
+
+    def meet(last: bool):
+        """Merges each bucket's runs; if not `last`, sends what is left of them on."""
+
+        def settled(bucket, runs, salt):
+            heads, copied = heads_and_copies(merged([decoded(x) for x in runs]))
+            if last:
+                more = repeats_among(heads, length, k)
+                return repeats_batch(*(np.concatenate([np.array([x[i] for x in copied], np.int64), more[i]]) for i in range(4)))
+            heads.sort(key=lambda x: x[1:3])
+            return sent_batch([(bucket, front_coded([tuple(x[1:]) for x in heads]))], copied, salt)
+
+        def run(batches):
+            now, runs, salt = None, [], 0
+            for b in batches:
+                known = b.filter(pa.compute.is_null(b["bucket"]))
+                if known.num_rows:
+                    yield known.select(["did", "tag", "start", "n"] if last else known.schema.names)
+                b = b.filter(pa.compute.is_valid(b["bucket"]))
+                for bucket, s, x in zip(b["bucket"].to_pylist(), b["salt"].to_pylist(), b["run"].to_pylist(), strict=True):
+                    if (bucket, s if not last else 0) != now and runs:
+                        yield settled(now[0], runs, salt)
+                        runs = []
+                    now, salt = (bucket, s if not last else 0), s
+                    runs.append(x)
+            if runs:
+                yield settled(now[0], runs, salt)
+
+        return run
+
+    def resolve(docs: DataFrame, total: int, single: bool) -> DataFrame:
+        n = parts(docs.sparkSession)
+        buckets = max(4 * n, -(-total * (length - k if single else 1) // BUCKET))
+        sent = docs.mapInArrow(send(buckets, single), SENT)
+        place = F.when(F.col("bucket").isNull(), by_place())
+        if single:
+            sent = sent.repartition(n, F.coalesce(place, F.xxhash64("bucket", "salt"))).sortWithinPartitions("bucket", "salt").mapInArrow(meet(False), SENT)
+        return sent.repartition(n, F.coalesce(place, F.col("bucket"))).sortWithinPartitions("bucket").mapInArrow(meet(True), REPEATS)
 
-    def send(batches):
-        for b in batches:
-            data, offsets = utf8(b["text"])
-            row, start, n, gram, off = list_of(b["runs"])
-            did, tag = b["did"].to_numpy(), b["tag"].to_numpy().astype(np.int64)
-            out: dict[int, list] = {}
-            for r, s, m, g, o in zip(row.tolist(), start.tolist(), n.tolist(), (gram % buckets).tolist(), off.tolist(), strict=True):
-                at = int(offsets[r]) + s
-                out.setdefault(g, []).append((data[at + o : at + m - 1 + length].tobytes(), data[at : at + o].tobytes(), m, int(did[r]), int(tag[r]) << TAG | s))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([front_coded(sorted(x)) for x in out.values()], pa.binary())], ["bucket", "run"])
-
-    def meet(batches):
-        now, runs = None, []
-        for b in batches:
-            for bucket, run in zip(b["bucket"].to_pylist(), b["run"].to_pylist(), strict=True):
-                if bucket != now and runs:
-                    yield found_batch([repeats_among(list(merged([decoded(x) for x in runs])), length, k)])
-                    runs = []
-                now = bucket
-                runs.append(run)
-        if runs:
-            yield found_batch([repeats_among(list(merged([decoded(x) for x in runs])), length, k)])
-
-    def resolve(open_docs: DataFrame) -> DataFrame:
-        nonlocal buckets
-        buckets = 4 * parts(open_docs.sparkSession)
-        sent = open_docs.mapInArrow(send, "bucket int, run binary")
-        return sent.repartition(parts(open_docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, FOUND)
-
-    buckets = 1
     return resolve
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, anchor: int = 32, hot: int = 20_000) -> DataFrame:
     """doc_id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans.
 
-    anchor: bytes of an anchor, at most half of length. hot: open runs of an anchor beyond which its windows are
-    compared through a grouped minimum instead of in one reducer; the result is the same.
+    anchor: bytes of an anchor, at most half of length. hot: runs of an anchor beyond which its windows are sent one by
+    one, dealt out by their contents, to the same merge.
     """
+    if not 0 < 2 * anchor <= length <= 30_000:
+        raise ValueError("length must be at most 30,000 and at least twice the anchor")
     keyed, runs = repeated_windows(docs, "byte", length, anchor, resolver(length, anchor), hot)
 
     def cut(batches):
         for b in batches:
             data, offsets = utf8(b["text"])
-            row, start, n, _, _ = list_of(b["runs"])
+            row, start, n = list_of(b["runs"])
             order = np.lexsort((start, row))
             row, start, end = row[order], start[order], start[order] + n[order] - 1 + length
             at = np.searchsorted(row, np.arange(b.num_rows + 1))

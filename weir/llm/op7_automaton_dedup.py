@@ -1,14 +1,15 @@
 """Substring dedup: words covered by a window of `length` words that also starts earlier go.
 
-Reference shards are the regions of one document set whose anchors meet (repeats.py): each shard holds whole
+Reference shards are the regions whose anchors meet (repeats.py): each shard holds whole
 anchors and a bounded number of words, so that its suffix automaton stays small. The regions of a shard
 stream through its automaton in the order of (doc_id, start): matching statistics give, at each word, the longest
 suffix that occurs in an earlier region; where it reaches `length`, the window that ends there starts earlier
-too. Then the region itself joins the automaton. Broadcasting the automata of all shards would grow with the corpus and would
+too. If some window did not, the region itself joins the automaton, whose letters are the words themselves and not hashes of them.
+Broadcasting the automata of all shards would grow with the corpus and would
 read each document once for each shard, so the shards are dealt out by anchor and the regions go to them.
 
 Defined results: null text has no words; texts under `length` words keep all; rows that repeat doc_id and text
-count as one document, each returned; of equal doc_ids with differing texts the text's hash gives the order; a
+count as one document, each returned; of equal doc_ids with differing texts, and of rows without one, 128 bits of the text's hash give the order; a
 null doc_id sorts first. Columns other than doc_id and text are ignored.
 """
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from . import spans
 from .common import NULL_ID, parts, table, utf8
-from .repeats import FOUND, TAG, copies, found_batch, list_of, repeated_windows
+from .repeats import REPEATS, SALTS, by_place, chunks_of, list_of, repeated_windows, repeats_batch, touching
+
+SENT = "gram long, salt int, words binary, " + REPEATS
 
 
 class Automaton:
@@ -88,47 +91,96 @@ class Automaton:
 
 
 def resolver(length: int, shard_words: int):
-    """Open runs to repeated windows, by automata over shards of whole anchors."""
-
-    def send(batches):
+    """Runs of windows to repeated windows, by automata over shards of whole anchors."""
+
+    def sent_batch(rows: list[tuple], copied: list[tuple]) -> pa.RecordBatch:
+        """rows: (gram, salt, words, did, tag, start, n); copied: (did, tag, start, n), whose windows are known to repeat."""
+        rows = rows + [(None, None, None, *x) for x in copied]
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(types)], ["gram", "salt", "words", "did", "tag", "start", "n"])
+
+    def firsts(rows: list[tuple]) -> pa.RecordBatch:
+        """Of the rows with the same anchor and words the earliest goes on."""
+        rows.sort(key=lambda x: (x[0], *x[2:]))
+        kept, copied, last = [], [], (None,) * 7
+        for x in rows:
+            if x[0] != last[0] or x[2] != last[2]:
+                kept.append(x)
+                last = x
+            elif x[3:] != last[3:]:
+                copied.append(x[3:])
+        return sent_batch(kept, touching(copied))
+
+    def send(single: bool):
+        def run(batches):
+            for b in batches:
+                data, offsets = utf8(b["text"])
+                starts, ends, at = spans.word_bounds(data, offsets)
+                did, tag = b["did"].to_pylist(), b["tag"].to_pylist()
+                for row, start, n, gram, _ in chunks_of(b, "word", length, single):
+                    first = at[row] + start
+                    lo, hi = starts[first].tolist(), ends[first + n + length - 2].tolist()
+                    salt = (did[row[0]] ^ tag[row[0]]) % SALTS
+                    text = data[min(lo) : max(hi)].tobytes()
+                    base = min(lo)
+                    yield firsts([
+                        (g, salt, b" ".join(text[x - base : y - base].split()), did[r], tag[r], s, m)
+                        for r, s, m, g, x, y in zip(row.tolist(), start.tolist(), n.tolist(), gram.tolist(), lo, hi, strict=True)
+                    ])
+
+        return run
+
+    def merge(batches):
+        """Rows of one anchor and salt, in order: the earliest of each content goes on."""
+        now, held = None, []
         for b in batches:
-            data, offsets = utf8(b["text"])
-            starts, ends, at = spans.word_bounds(data, offsets)
-            values = spans.word_values(data, starts, ends).view(np.int64)
-            row, start, n, gram, _ = list_of(b["runs"])
-            did, tag = b["did"].to_numpy(), b["tag"].to_numpy().astype(np.int64)
-            first, size = at[row] + start, n + length - 1
-            flat = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(values[flat]))
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(did[row]), pa.array(tag[row] << TAG | start), words], ["gram", "did", "loc", "words"])
+            for x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if x[:2] != now or x[0] is None:
+                    if held:
+                        yield firsts(held) if now[0] is not None else sent_batch([], [y[3:] for y in held])
+                    now, held = x[:2], []
+                held.append(x)
+        if held:
+            yield firsts(held) if now[0] is not None else sent_batch([], [y[3:] for y in held])
 
     def meet(batches):
         automaton, held, now, last = Automaton(), 0, None, None
         for b in batches:
             out = []
-            for gram, did, loc, words in zip(*(b[c].to_pylist() for c in ("gram", "did", "loc", "words")), strict=True):
-                if (gram, did, loc) == last:  # a repeated row of the same document
+            for gram, words, did, tag, start, n in zip(*(b[c].to_pylist() for c in ("gram", "words", "did", "tag", "start", "n")), strict=True):
+                if words is None:
+                    out.append((did, tag, start, n))
+                    continue
+                if (gram, did, tag, start) == last:  # a repeated row of the same document
                     continue
                 if gram != now and held >= shard_words:
                     automaton, held = Automaton(), 0
-                now, last = gram, (gram, did, loc)
+                now, last = gram, (gram, did, tag, start)
+                words = words.split(b" ")
+                run = found = 0
                 if held:  # anchors in one shard have no window in common, so only this anchor's earlier regions match
-                    run = 0
                     for i, m in enumerate(automaton.statistics(words)):
                         if m >= length:
                             run += 1
                         elif run:
-                            out.append((did, loc + i - run - length + 1, run))
+                            out.append((did, tag, start + i - run - length + 1, run))
+                            found += run
                             run = 0
                     if run:
-                        out.append((did, loc + len(words) - run - length + 1, run))
-                automaton.add(words)
-                held += len(words)
-            yield found_batch([copies(*(np.array(x, np.int64) for x in (zip(*out, strict=True) if out else ([], [], []))))])
-
-    def resolve(open_docs: DataFrame) -> DataFrame:
-        sent = open_docs.mapInArrow(send, "gram long, did long, loc long, words array<long>")
-        return sent.repartition(parts(open_docs.sparkSession), "gram").sortWithinPartitions("gram", "did", "loc").mapInArrow(meet, FOUND)
+                        out.append((did, tag, start + len(words) - run - length + 1, run))
+                        found += run
+                if found < n:  # else the automaton holds all its windows
+                    automaton.add(words)
+                    held += len(words)
+            yield repeats_batch(*(zip(*out, strict=True) if out else ((),) * 4))
+
+    def resolve(docs: DataFrame, total: int, single: bool) -> DataFrame:
+        n = parts(docs.sparkSession)
+        sent = docs.mapInArrow(send(single), SENT)
+        place = F.when(F.col("words").isNull(), by_place())
+        if single:
+            sent = sent.repartition(n, F.coalesce(place, F.xxhash64("gram", "salt"))).sortWithinPartitions("gram", "salt").mapInArrow(merge, SENT)
+        return sent.repartition(n, F.coalesce(place, F.col("gram"))).sortWithinPartitions("gram", "did", "tag", "start").mapInArrow(meet, REPEATS)
 
     return resolve
 
@@ -137,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, anchor: int = 8, shard_wor
     """doc_id, kept (the remaining words, joined by one space), n_words, n_removed.
 
     anchor: words of an anchor, at most half of length. shard_words: words at which a reference shard is full.
-    hot: open runs of an anchor beyond which its windows are compared through a grouped minimum instead.
+    hot: runs of an anchor beyond which its windows are sent one by one, dealt out by their contents, to the same automata.
     """
     keyed, runs = repeated_windows(docs, "word", length, anchor, resolver(length, shard_words), hot)
 
@@ -145,7 +197,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, anchor: int = 8, shard_wor
         for b in batches:
             data, offsets = utf8(b["text"])
             starts, ends, at = spans.word_bounds(data, offsets)
-            row, start, n, _, _ = list_of(b["runs"])
+            row, start, n = list_of(b["runs"])
             edge = np.zeros(len(starts) + 1, np.int64)
             np.add.at(edge, at[row] + start, 1)
             np.add.at(edge, at[row] + start + n - 1 + length, -1)

@@ -1,15 +1,13 @@
 """Windows that also start earlier in the corpus: what both substring removers share.
 
-1. Each document gives the anchors of its windows (spans.py), one row for a run of windows with one anchor: the
-   hash of the anchor and of the run's whole region.
-2. The rows meet by anchor, sorted, and are read as a stream. A region that an earlier place has too is a copy:
-   all its windows are repeats. An anchor with one region is done. An anchor with several regions (the ends of a
-   shared passage) keeps the first place of each region as an open run, whose windows must be compared.
-3. The caller's resolver compares the open runs of an anchor. Anchors with over `hot` open runs, which one
-   task should not hold, are compared window by window through a grouped minimum, which combines before it shuffles.
-
-A place is (did, loc): loc has the tag of doc_key above bit 44 and the window's start below. Hashes decide with
-two values of 64 bits, of the anchor and of what surrounds it.
+1. Each document gives the anchors of its windows (spans.py), one row for a run of windows with one anchor. Equal windows have
+   equal anchors, so an anchor that occurs at one place only has no repeated window. Hashes of the anchors are used for this
+   filter alone: they tell what can't repeat, never what does.
+2. The regions of all other runs go to the caller's resolver, which compares their contents.
+3. Anchors with over `hot` runs, which one task should not hold, are split by region: each window of theirs travels by itself, dealt out by its
+   own content and first among the rows of a salt, to the same resolver.
+
+A place is (did, tag, start): the key of common.doc_key and the start of a window or run.
 """
 
 from __future__ import annotations
@@ -18,16 +16,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import checkpoint, doc_key, parts, utf8
+from .common import checkpoint, doc_key, parts, small, utf8
 
-TAG = 44
-POSITION = (1 << TAG) - 1
-RUNS = "route long, gram long, whole long, did long, loc long, n int, off int, copy boolean"
-FOUND = "did long, loc long, n int, open boolean, gram long, off int"
+RUNS = "gram long, did long, tag long, start long, n int, off int, known boolean, spare boolean"
+FOUND = "gram long, did long, tag long, start long, n int, off int"
+REPEATS = "did long, tag long, start long, n int"
+#: Salts of hot windows: so many tasks first merge what is under one window.
+SALTS = 32
+#: Runs that are handled at once in a task.
+CHUNK = 16_384
 
 
 def symbols_of(unit: str, text: pa.Array):
@@ -41,174 +42,129 @@ def symbols_of(unit: str, text: pa.Array):
 
 
 def anchors(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
+    """The runs of windows. known: the batch holds its anchor at several places; spare: and this is not the first of them."""
+
     def run(batches):
         for b in batches:
             symbols, offsets = symbols_of(unit, b["text"])
-            doc, start, last, off, gram, whole = spans.runs_of(symbols, offsets, length, k)
-            did = b["did"].to_numpy()[doc]
-            loc = (b["tag"].to_numpy().astype(np.int64)[doc] << TAG) | start
-            order = np.lexsort((loc, did, whole, gram))
-            gram, whole, did, loc, n, off = gram[order], whole[order], did[order], loc[order], (last - start + 1)[order], off[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
-            copy = (did != did[first]) | (loc != loc[first])  # of an earlier place in this batch
-            keep = new | copy
-            route = np.where(copy, spans.mix(did.view(np.uint64)), gram)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x[keep]) for x in (route.view(np.int64), gram.view(np.int64), whole.view(np.int64), did, loc, n.astype(np.int32), off.astype(np.int32), copy)],
-                ["route", "gram", "whole", "did", "loc", "n", "off", "copy"],
-            )
+            doc, start, last, off, gram = spans.runs_of(symbols, offsets, length, k)
+            order = np.argsort(gram, kind="stable")
+            gram, start, n, off, doc = gram[order], start[order], (last - start + 1)[order], off[order], doc[order]
+            did, tag = b["did"].to_numpy()[doc], b["tag"].to_numpy()[doc]
+            new = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
+            elsewhere = (did != did[head]) | (tag != tag[head]) | (start != start[head])
+            group = np.cumsum(new) - 1
+            known = (np.bincount(group, weights=elsewhere) > 0)[group] if len(gram) else new
+            keep = new | known  # a row of the same place again says nothing
+            columns = (gram.view(np.int64), did, tag, start, n.astype(np.int32), off.astype(np.int32), known, ~new)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["gram", "did", "tag", "start", "n", "off", "known", "spare"])
 
     return docs.mapInArrow(run, RUNS)
 
 
+def by_place() -> Column:
+    return F.xxhash64("did", "tag", "start")
+
+
 def sift(rows: DataFrame) -> DataFrame:
-    """Copies and open runs; what is alone goes."""
+    """The runs whose anchors occur at several places. Rows of which a batch has told this already are dealt out by their places."""
 
     def run(batches):
-        last = (None, None, None, None)
-        pending = None  # the first run of the last anchor, while it has one region
+        gram0, place0, several0, pending = None, (0, 0, 0), False, None  # of the anchor that the last batch ended in
         for b in batches:
             if not b.num_rows:
                 continue
-            gram, whole, did, loc, n, off, known = (b[c].to_numpy(zero_copy_only=False) for c in ("gram", "whole", "did", "loc", "n", "off", "copy"))
-            out = [(did[known], loc[known], n[known], np.zeros(known.sum(), bool), gram[known], off[known])]
-            gram, whole, did, loc, n, off = (x[~known] for x in (gram, whole, did, loc, n, off))
-            if len(gram):
-                anchor, region = np.ones(len(gram), bool), np.ones(len(gram), bool)
-                anchor[1:] = gram[1:] != gram[:-1]
-                region[1:] = anchor[1:] | (whole[1:] != whole[:-1])
-                if last[0] is not None:
-                    anchor[0] = gram[0] != last[0]
-                    region[0] = anchor[0] or whole[0] != last[1]
-                head = np.maximum.accumulate(np.where(region, np.arange(len(gram)), -1))
-                head_did, head_loc = np.where(head >= 0, did[head], last[2] or 0), np.where(head >= 0, loc[head], last[3] or 0)
-                copy = ~region & ((did != head_did) | (loc != head_loc))
-                more = region & ~anchor
-                group = np.cumsum(anchor)
-                several = np.bincount(group, weights=more, minlength=group[-1] + 1) > 0
-                opened = more | (anchor & several[group])
-                if pending is not None and several[0]:
-                    out.append(tuple(np.array([x]) for x in pending))
-                    pending = None
-                if anchor.any():
-                    i = len(anchor) - 1 - int(np.argmax(anchor[::-1]))
-                    pending = None if several[-1] else (did[i], loc[i], n[i], True, gram[i], off[i])
-                last = (gram[-1], whole[-1], head_did[-1], head_loc[-1])
-                out += [(did[m], loc[m], n[m], np.full(m.sum(), o), gram[m], off[m]) for m, o in ((copy, False), (opened, True))]
-            yield found_batch(out)
-
-    dealt = rows.repartition(parts(rows.sparkSession), "route").sortWithinPartitions("route", "gram", "whole", "did", "loc")
+            gram, did, tag, start, n, off, known = (b[c].to_numpy(zero_copy_only=False) for c in ("gram", "did", "tag", "start", "n", "off", "known"))
+            new = np.append(gram0 is None or gram[0] != gram0, gram[1:] != gram[:-1])
+            head = np.maximum.accumulate(np.where(new, np.arange(len(gram)), -1))
+            elsewhere = np.zeros(len(gram), bool)
+            for x, x0 in zip((did, tag, start), place0, strict=True):
+                elsewhere |= x != np.where(head >= 0, x[head], x0)
+            group = np.cumsum(new)
+            several = np.bincount(group, weights=elsewhere | known, minlength=group[-1] + 1) > 0
+            several[0] |= several0
+            out = [x[several[group]] for x in (gram, did, tag, start, n, off)]
+            if pending is not None and (several[0] or new[0]):
+                if several[0]:
+                    out = [np.append(x, y) for x, y in zip(out, pending, strict=True)]
+                pending = None
+            i = head[-1]
+            if i >= 0:
+                place0, several0 = (did[i], tag[i], start[i]), bool(several[-1])
+                pending = None if several0 else (gram[i], did[i], tag[i], start[i], n[i], off[i])
+            else:
+                several0 = bool(several[-1])
+            gram0 = gram[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "did", "tag", "start", "n", "off"])
+
+    dealt = rows.repartition(parts(rows.sparkSession), F.when(F.col("spare"), by_place()).otherwise(F.col("gram"))).sortWithinPartitions("gram")
     return dealt.mapInArrow(run, FOUND)
 
 
-def joined(found: DataFrame) -> DataFrame:
-    """Copies that touch or overlap in one document become one row."""
-
-    def run(batches):
-        held = None
-        for b in batches:
-            did, loc, n, o, gram, off = (b[c].to_numpy(zero_copy_only=False) for c in ("did", "loc", "n", "open", "gram", "off"))
-            out = [(did[o], loc[o], n[o], np.ones(o.sum(), bool), gram[o], off[o])]
-            did, loc, end = did[~o], loc[~o], loc[~o] + n[~o]
-            if held is not None:
-                did, loc, end = np.append(held[0], did), np.append(held[1], loc), np.append(held[2], end)
-            if len(did):
-                doc = np.cumsum(np.append(False, (did[1:] != did[:-1]) | (loc[1:] >> TAG != loc[:-1] >> TAG)))
-                reach = running_max(end, doc)
-                new = np.ones(len(did), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (loc[1:] > reach[:-1])
-                first = np.flatnonzero(new)
-                did, loc, end = did[first], loc[first], reach[np.append(first[1:] - 1, len(reach) - 1)]
-                held = (did[-1], loc[-1], end[-1])
-                did, loc, end = did[:-1], loc[:-1], end[:-1]
-                out.append(copies(did, loc, end - loc))
-            yield found_batch(out)
-        if held is not None:
-            yield found_batch([copies(*(np.array([x]) for x in (held[0], held[1], held[2] - held[1])))])
-
-    return found.repartition(parts(found.sparkSession), "did").sortWithinPartitions("did", "loc").mapInArrow(run, FOUND)
-
-
-def copies(did: np.ndarray, loc: np.ndarray, n: np.ndarray) -> tuple:
-    """Columns of FOUND for runs of windows that are known to repeat."""
-    return did, loc, n, np.zeros(len(did), bool), np.zeros(len(did), np.int64), np.zeros(len(did), np.int32)
-
-
-def found_batch(out: list[tuple]) -> pa.RecordBatch:
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-    types = (np.int64, np.int64, np.int32, bool, np.int64, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, types, strict=True)], ["did", "loc", "n", "open", "gram", "off"])
-
-
-def running_max(values: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Maximum so far within each group; groups are numbered upwards."""
-    low = values.min()
-    step = values.max() - low + 1
-    if float(step) * (group[-1] + 1) < 2**62:
-        return np.maximum.accumulate(values - low + group * step) - group * step + low
-    return np.concatenate([np.maximum.accumulate(x) for x in np.split(values, np.flatnonzero(np.diff(group)) + 1)])
-
-
-def gathered(rows: DataFrame, name: str) -> DataFrame:
-    """The rows of each document in one array of (start, n, gram, off); a document bounds its length."""
-    return (
-        rows.withColumn("tag", F.shiftright("loc", TAG).cast("int"))
-        .groupBy("did", "tag")
-        .agg(F.collect_list(F.struct(F.col("loc").bitwiseAND(F.lit(POSITION)).alias("start"), "n", "gram", "off")).alias(name))
-    )
+def gathered(rows: DataFrame, *fields: str) -> DataFrame:
+    """The rows of each document in one array; a document bounds its length."""
+    return rows.groupBy("did", "tag").agg(F.collect_list(F.struct(*fields)).alias("runs"))
 
 
 def list_of(column: pa.Array):
-    """Row index and fields (start, n, gram, off) of an array column of gathered(), nulls as empty."""
+    """Row index and fields of an array column of gathered(), nulls as empty."""
     lens = np.nan_to_num(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64)
     flat = column.flatten()
-    return np.repeat(np.arange(len(column)), lens), *(flat.field(i).to_numpy() for i in range(4))
+    return np.repeat(np.arange(len(column)), lens), *(flat.field(i).to_numpy() for i in range(flat.type.num_fields))
 
 
-def windows_that_repeat(open_docs: DataFrame, unit: str, length: int) -> DataFrame:
-    """Open windows that an earlier open window equals, by a grouped minimum of places: for hot anchors."""
+def chunks_of(batch: pa.RecordBatch, unit: str, length: int, single: bool):
+    """The runs of a batch of documents: row, start, n, gram, off, some at a time; with `single`, each window as a run of its own, its gram the window's hash."""
+    row, start, n, gram, off = list_of(batch["runs"])
+    if not single:
+        for lo in range(0, len(row), CHUNK):  # none without runs
+            yield tuple(x[lo : lo + CHUNK] for x in (row, start, n, gram, off))
+        return
+    symbols, offsets = symbols_of(unit, batch["text"])
+    for lo in range(0, len(row), CHUNK // 64):
+        r, s, m = (x[lo : lo + CHUNK // 64] for x in (row, start, n))
+        each = np.repeat(np.arange(len(r)), m)
+        at = np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)
+        h = np.concatenate([span_hashes(symbols, offsets[x] + y, z, length) for x, y, z in zip(r, s, m, strict=True)])
+        yield r[each], s[each] + at, np.ones(len(each), np.int32), h.view(np.int64), np.zeros(len(each), np.int32)
 
-    def run(batches):
-        for b in batches:
-            symbols, offsets = symbols_of(unit, b["text"])
-            row, start, n, gram, _ = list_of(b["runs"])
-            for lo in range(0, len(row), 4096):
-                r, s, m, g = row[lo : lo + 4096], start[lo : lo + 4096], n[lo : lo + 4096], gram[lo : lo + 4096]
-                each = np.repeat(np.arange(len(r)), m)
-                at = np.arange(len(each)) - np.repeat(np.cumsum(m) - m, m)
-                h = np.concatenate([span_hashes(symbols, offsets[x] + y, z, length) for x, y, z in zip(r, s, m, strict=True)])
-                loc = (b["tag"].to_numpy().astype(np.int64)[r[each]] << TAG) | (s[each] + at)
-                yield pa.RecordBatch.from_arrays([pa.array(g[each]), pa.array(h.view(np.int64)), pa.array(b["did"].to_numpy()[r[each]]), pa.array(loc)], ["gram", "h", "did", "loc"])
 
-    w = open_docs.mapInArrow(run, "gram long, h long, did long, loc long")
-    first = w.groupBy("gram", "h").agg(F.min(F.struct("did", "loc")).alias("first"), F.max(F.struct("did", "loc")).alias("last")).filter("first <> last")
-    return w.join(first, ["gram", "h"]).filter("struct(did, loc) <> first").select("did", "loc", F.lit(1).alias("n"), F.lit(False).alias("open"), F.lit(0).cast("long").alias("gram"), F.lit(0).alias("off"))
+def span_hashes(symbols, at: int, n: int, length: int) -> np.ndarray:
+    s = spans.prefix(symbols(at, at + n + length - 1))  # a run has at most `length` windows
+    i = np.arange(n)
+    return spans.span(s, i, i + length)
+
 
+def repeats_batch(did, tag, start, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t)) for x, t in zip((did, tag, start, n), (np.int64, np.int64, np.int64, np.int32), strict=True)], ["did", "tag", "start", "n"])
 
-def span_hashes(symbols, at: int, n: int, length: int) -> np.ndarray:
-    out = []
-    for a in range(at, at + n, spans.SEGMENT):
-        m = min(spans.SEGMENT, at + n - a)
-        s = spans.prefix(symbols(a, a + m + length - 1))
-        i = np.arange(m)
-        out.append(spans.span(s, i, i + length))
-    return np.concatenate(out)
+
+def touching(places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs (did, tag, start, n) in order, those that follow one another in a document made one."""
+    out: list[tuple[int, int, int, int]] = []
+    for did, tag, start, n in sorted(places):
+        if out and out[-1][0] == did and out[-1][1] == tag and start <= out[-1][2] + out[-1][3]:
+            out[-1] = (did, tag, out[-1][2], max(out[-1][3], start + n - out[-1][2]))
+        else:
+            out.append((did, tag, start, n))
+    return out
 
 
-def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, resolver: Callable[[DataFrame], DataFrame], hot: int) -> tuple[DataFrame, DataFrame]:
-    """Documents (did, tag, text) and, for each with repeats, an array `runs` of window runs that start earlier elsewhere.
+def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, resolver: Callable[[DataFrame, int, bool], DataFrame], hot: int) -> tuple[DataFrame, DataFrame]:
+    """Documents (did, tag, text) and, for each with repeats, an array `runs` of (start, n): windows that start earlier elsewhere.
 
-    resolver(open_docs): did, tag, text, runs (open runs) -> columns of FOUND for repeated windows.
+    resolver(docs with runs, number of runs, single) -> columns of REPEATS. single: each window is to travel by itself.
     """
     keyed = doc_key(docs)
-    found = checkpoint(joined(sift(anchors(keyed, unit, length, k))))
-    opened = found.filter("open")
-    crowded = opened.groupBy("gram").count().filter(F.col("count") > hot).select("gram")
-    results = [found.filter("not open"), resolver(keyed.join(gathered(opened.join(crowded, "gram", "left_anti"), "runs"), ["did", "tag"]))]
-    results.append(windows_that_repeat(keyed.join(gathered(opened.join(crowded, "gram", "left_semi"), "runs"), ["did", "tag"]), unit, length))
-    everything = results[0]
-    for x in results[1:]:
-        everything = everything.unionByName(x)
-    return keyed, gathered(everything, "runs")
+    found = checkpoint(sift(anchors(keyed, unit, length, k)))
+    total = found.count()
+    crowded = checkpoint(found.groupBy("gram").count().filter(F.col("count") > hot).select("gram"))
+    fields = ("start", "n", "gram", "off")
+    if crowded.isEmpty():
+        results = resolver(keyed.join(gathered(found, *fields), ["did", "tag"]), total, False)
+    else:
+        few = small(crowded)
+        results = resolver(keyed.join(gathered(found.join(few, "gram", "left_anti"), *fields), ["did", "tag"]), total, False)
+        results = results.unionByName(resolver(keyed.join(gathered(found.join(few, "gram", "left_semi"), *fields), ["did", "tag"]), total, True))
+    return keyed, gathered(results, "start", "n")
