@@ -58,7 +58,7 @@ def run(spark, op, rows, **kw):
     return op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3), **kw)
 
 
-@pytest.mark.parametrize("hot", [2, 20_000])
+@pytest.mark.parametrize("hot", [2, 200_000])
 def test_bytes(spark, hot):
     docs = made(1, 60, (1, 8))
     want = brute(docs, lambda t: (t or "").encode(), 100, as_bytes)
@@ -134,7 +134,7 @@ def test_the_resolver_decides_every_repeat(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     keyed = repeats.doc_key(docs)
-    rows = repeats.anchors(keyed, "byte", 100, 32).drop("known", "spare").distinct()
+    rows = repeats.anchors(keyed, "byte", 100, 32).drop("known", "spare").distinct()  # a row for each run
     several = rows.groupBy("gram").count().filter("count > 1")
     assert repeats.sift(repeats.anchors(keyed, "byte", 100, 32)).distinct().count() == rows.join(several, "gram", "left_semi").count() > 0
 

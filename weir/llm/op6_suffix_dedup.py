@@ -264,10 +264,10 @@ def resolver(length: int, k: int):
     return resolve
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, anchor: int = 32, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, anchor: int = 32, hot: int = 200_000) -> DataFrame:
     """doc_id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans.
 
-    anchor: bytes of an anchor, at most half of length. hot: runs of an anchor beyond which its windows are sent one by
+    anchor: bytes of an anchor, at most half of length. hot: differing regions of an anchor beyond which its windows are sent one by
     one, dealt out by their contents, to the same merge.
     """
     if not 0 < 2 * anchor <= length <= 30_000:

@@ -185,11 +185,11 @@ def resolver(length: int, shard_words: int):
     return resolve
 
 
-def remove_repeats(docs: DataFrame, length: int = 20, anchor: int = 8, shard_words: int = 20_000, hot: int = 2_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 20, anchor: int = 8, shard_words: int = 20_000, hot: int = 8_000) -> DataFrame:
     """doc_id, kept (the remaining words, joined by one space), n_words, n_removed.
 
     anchor: words of an anchor, at most half of length. shard_words: words at which a reference shard is full.
-    hot: runs of an anchor beyond which its windows are sent one by one, dealt out by their contents, to the same automata.
+    hot: differing regions of an anchor beyond which its windows are sent one by one, dealt out by their contents, to the same automata.
     """
     keyed, runs = repeated_windows(docs, "word", length, anchor, resolver(length, shard_words), hot)
 

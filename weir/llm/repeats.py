@@ -4,8 +4,8 @@
    equal anchors, so an anchor that occurs at one place only has no repeated window. Hashes of the anchors are used for this
    filter alone: they tell what can't repeat, never what does.
 2. The regions of all other runs go to the caller's resolver, which compares their contents.
-3. Anchors with over `hot` runs, which one task should not hold, are split by region: each window of theirs travels by itself, dealt out by its
-   own content and first among the rows of a salt, to the same resolver.
+3. Anchors with over `hot` differing regions, which one task should not hold, are split: each window of theirs travels by itself, dealt out by its
+   own content and first among the rows of a salt, to the same resolver. Equal regions are not many rows in a task: a map task sends one for all that it holds.
 
 A place is (did, tag, start): the key of common.doc_key and the start of a window or run.
 """
@@ -20,15 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import checkpoint, doc_key, parts, small, utf8
+from .common import checkpoint, doc_key, parts, small, utf8, written
 
-RUNS = "gram long, did long, tag long, start long, n int, off int, known boolean, spare boolean"
-FOUND = "gram long, did long, tag long, start long, n int, off int"
+RUNS = "gram long, did long, tag long, start long, n int, off int, mark int, known boolean, spare boolean"
+FOUND = "gram long, did long, tag long, start long, n int, off int, mark int"
 REPEATS = "did long, tag long, start long, n int"
 #: Salts of hot windows: so many tasks first merge what is under one window.
 SALTS = 32
 #: Runs that are handled at once in a task.
-CHUNK = 16_384
+CHUNK = 131_072
 
 
 def symbols_of(unit: str, text: pa.Array):
@@ -42,14 +42,14 @@ def symbols_of(unit: str, text: pa.Array):
 
 
 def anchors(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
-    """The runs of windows. known: the batch holds its anchor at several places; spare: and this is not the first of them."""
+    """The runs of windows. mark: bits of the region's hash, to count differing regions by; known: the batch holds its anchor at several places; spare: and this is not the first of them."""
 
     def run(batches):
         for b in batches:
             symbols, offsets = symbols_of(unit, b["text"])
-            doc, start, last, off, gram = spans.runs_of(symbols, offsets, length, k)
+            doc, start, last, off, gram, whole = spans.runs_of(symbols, offsets, length, k)
             order = np.argsort(gram, kind="stable")
-            gram, start, n, off, doc = gram[order], start[order], (last - start + 1)[order], off[order], doc[order]
+            gram, start, n, off, doc, mark = gram[order], start[order], (last - start + 1)[order], off[order], doc[order], (whole >> np.uint64(33))[order]
             did, tag = b["did"].to_numpy()[doc], b["tag"].to_numpy()[doc]
             new = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
             head = np.maximum.accumulate(np.where(new, np.arange(len(gram)), 0))
@@ -57,8 +57,8 @@ def anchors(docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
             group = np.cumsum(new) - 1
             known = (np.bincount(group, weights=elsewhere) > 0)[group] if len(gram) else new
             keep = new | known  # a row of the same place again says nothing
-            columns = (gram.view(np.int64), did, tag, start, n.astype(np.int32), off.astype(np.int32), known, ~new)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["gram", "did", "tag", "start", "n", "off", "known", "spare"])
+            columns = (gram.view(np.int64), did, tag, start, n.astype(np.int32), off.astype(np.int32), mark.astype(np.int32), known, ~new)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], ["gram", "did", "tag", "start", "n", "off", "mark", "known", "spare"])
 
     return docs.mapInArrow(run, RUNS)
 
@@ -75,7 +75,7 @@ def sift(rows: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            gram, did, tag, start, n, off, known = (b[c].to_numpy(zero_copy_only=False) for c in ("gram", "did", "tag", "start", "n", "off", "known"))
+            gram, did, tag, start, n, off, mark, known = (b[c].to_numpy(zero_copy_only=False) for c in ("gram", "did", "tag", "start", "n", "off", "mark", "known"))
             new = np.append(gram0 is None or gram[0] != gram0, gram[1:] != gram[:-1])
             head = np.maximum.accumulate(np.where(new, np.arange(len(gram)), -1))
             elsewhere = np.zeros(len(gram), bool)
@@ -84,7 +84,7 @@ def sift(rows: DataFrame) -> DataFrame:
             group = np.cumsum(new)
             several = np.bincount(group, weights=elsewhere | known, minlength=group[-1] + 1) > 0
             several[0] |= several0
-            out = [x[several[group]] for x in (gram, did, tag, start, n, off)]
+            out = [x[several[group]] for x in (gram, did, tag, start, n, off, mark)]
             if pending is not None and (several[0] or new[0]):
                 if several[0]:
                     out = [np.append(x, y) for x, y in zip(out, pending, strict=True)]
@@ -92,11 +92,11 @@ def sift(rows: DataFrame) -> DataFrame:
             i = head[-1]
             if i >= 0:
                 place0, several0 = (did[i], tag[i], start[i]), bool(several[-1])
-                pending = None if several0 else (gram[i], did[i], tag[i], start[i], n[i], off[i])
+                pending = None if several0 else (gram[i], did[i], tag[i], start[i], n[i], off[i], mark[i])
             else:
                 several0 = bool(several[-1])
             gram0 = gram[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "did", "tag", "start", "n", "off"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["gram", "did", "tag", "start", "n", "off", "mark"])
 
     dealt = rows.repartition(parts(rows.sparkSession), F.when(F.col("spare"), by_place()).otherwise(F.col("gram"))).sortWithinPartitions("gram")
     return dealt.mapInArrow(run, FOUND)
@@ -157,9 +157,11 @@ def repeated_windows(docs: DataFrame, unit: str, length: int, k: int, resolver:
     resolver(docs with runs, number of runs, single) -> columns of REPEATS. single: each window is to travel by itself.
     """
     keyed = doc_key(docs)
-    found = checkpoint(sift(anchors(keyed, unit, length, k)))
+    found = written(sift(anchors(keyed, unit, length, k)))
     total = found.count()
     crowded = checkpoint(found.groupBy("gram").count().filter(F.col("count") > hot).select("gram"))
+    if not crowded.isEmpty():
+        crowded = checkpoint(found.join(small(crowded), "gram", "left_semi").groupBy("gram").agg(F.count_distinct("mark").alias("n")).filter(F.col("n") > hot).select("gram"))
     fields = ("start", "n", "gram", "off")
     if crowded.isEmpty():
         results = resolver(keyed.join(gathered(found, *fields), ["did", "tag"]), total, False)

@@ -58,14 +58,14 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchor_runs(values: np.ndarray, ends: np.ndarray, length: int, k: int):
-    """Runs of windows with one anchor: first and last window start, the anchor's place after the first, its hash.
+    """Runs of windows with one anchor: first and last window start, the anchor's place after the first, its hash, the whole run's hash.
 
     values: symbols of several documents end to end; ends: for each position where its document ends.
     """
     n = len(values)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     s = prefix(values)
     at = np.arange(n - k + 1)
     grams = mix((s[k:] - s[:-k]) * powers()[1][: n - k + 1])
@@ -73,13 +73,13 @@ def anchor_runs(values: np.ndarray, ends: np.ndarray, length: int, k: int):
     least = sliding_min((grams & ~low) | at.astype(np.uint64), length - k + 1)
     p = np.flatnonzero(at[: n - length + 1] + length <= ends[: n - length + 1])
     if not len(p):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     anchor = (least[p] & low).astype(np.int64)
     new = np.ones(len(p), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1)
     first = np.flatnonzero(new)
     start, last = p[first], p[np.append(first[1:] - 1, len(p) - 1)]
-    return start, last, anchor[first] - start, grams[anchor[first]]
+    return start, last, anchor[first] - start, grams[anchor[first]], span(s, start, last + length)
 
 
 def pieces(offsets: np.ndarray, length: int):
@@ -100,7 +100,7 @@ def pieces(offsets: np.ndarray, length: int):
 
 
 def runs_of(symbols, offsets: np.ndarray, length: int, k: int):
-    """anchor_runs over whole documents: document index, first and last window start within it, the anchor's place and hash.
+    """anchor_runs over whole documents: document index, first and last window start within it, the anchor's place, hashes.
 
     symbols(a, b): 64-bit values of positions a to b.
     """
@@ -109,13 +109,13 @@ def runs_of(symbols, offsets: np.ndarray, length: int, k: int):
         if b - a < length:
             continue
         ends = np.repeat(np.minimum(offsets[i + 1 : j + 1], b) - a, np.minimum(offsets[i + 1 : j + 1], b) - np.maximum(offsets[i:j], a))
-        start, last, off, gram = anchor_runs(symbols(a, b), ends, length, k)
+        start, last, off, gram, whole = anchor_runs(symbols(a, b), ends, length, k)
         doc = np.searchsorted(offsets, start + a, "right") - 1
         base = a - offsets[doc]
-        out.append((doc, start + base, last + base, off, gram))
+        out.append((doc, start + base, last + base, off, gram, whole))
     if not out:
         z = np.zeros(0, np.int64)
-        return z, z, z, z, z.astype(np.uint64)
+        return z, z, z, z, z.astype(np.uint64), z.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
