@@ -47,21 +47,98 @@ def test_toxic_terms_of_a_small_language_stay(spark):
 
 def test_toxicity_bounds(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    index = op5.fit(docs, labels, examples=20, features=8, cover=2)
-    assert len(index.at) <= 8 and 0 < len(index.ids) <= 20 + 2 * 8
-    assert index.vectors.any(0).all()  # each term has an example
+    index = op5.fit(docs, labels, examples=20, longest=3000)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert 0 < len(index.ids) <= 20 and all(len(texts[i]) <= 3000 for i in index.ids)
+    assert set(index.at) == {t for i in index.ids for t in op5.terms(texts[i])}  # no term of an example is left out
 
 
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
-    v = np.maximum(rng.normal(size=(500, 12)), 0).astype(np.float32) * (rng.random((500, 12)) < 0.3)
-    v[:, 0] += 1e-3
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    index = op5.Index([f"t{i}" for i in range(12)], np.ones(12, np.float32), np.arange(500), v, rng.integers(0, 2, 500), 7)
-    best, which = index.nearest(v[:50])
-    want = -np.sort(-(v[:50] @ index.vectors.T), axis=1)[:, :7]
-    assert np.allclose(best, want, atol=1e-6)
-    assert np.allclose(np.take_along_axis(v[:50] @ index.vectors.T, which, 1), best, atol=1e-6)
+    n, v = 500, 60
+    dense = rng.integers(1, 5, (n, v)) * (rng.random((n, v)) < 0.1 + 0.4 * (np.arange(n)[:, None] % 5 == np.arange(v) % 5))
+    example, term = np.nonzero(dense)
+    weight = rng.random(v) ** 3 + 0.01
+    index = op5.Index([f"t{i}" for i in range(v)], weight, np.arange(n), rng.integers(0, 2, n), example, term, dense[example, term], 7)
+    full = np.where(dense > 0, 1 + np.log(np.maximum(dense, 1)), 0) * weight
+    full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-300)
+    visited = 0
+    for q in range(60):
+        at = np.flatnonzero(full[q])
+        which, cosine = index.nearest(at, full[q][at])
+        want = full[index.ids] @ full[q]
+        assert np.allclose(cosine, -np.sort(-want)[:7]) and np.allclose(want[which], cosine)
+        visited += len(which)
+    assert visited == 60 * 7
+
+
+def plain_toxicity(docs, labels, order, k=25, prior=5.0):
+    """docs: doc_id -> text, labels: doc_id -> toxic; order: what examples are drawn by. Scores of all docs by dictionaries and full sorts."""
+    import math
+    import re
+    from collections import Counter
+
+    def terms(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        return Counter(words + [w[:4] + "*" for w in words if len(w) > 4] + [w[:5] + "*" for w in words if len(w) > 5])
+
+    train = [i for i in docs if i in labels and not held(i)]
+    n1, n = sum(labels[i] for i in train), len(train)
+    found = {i: terms(t) for i, t in docs.items()}
+    a, m = Counter(), Counter()
+    for i in train:
+        m.update(found[i].keys())
+        a.update(found[i].keys() if labels[i] else ())
+    examples = [i for x in (0, 1) for i in sorted((i for i in train if labels[i] == x and len(docs[i]) <= 20_000), key=order)[:2000]]
+    vocabulary = {t for i in examples for t in found[i]}
+    p1 = n1 / n
+
+    def weight(t):
+        u, w = a[t] + prior * p1, m[t] - a[t] + prior * (1 - p1)
+        return (math.log((1 + n) / (1 + m[t])) + 1) * abs(math.log(u / p1 / (w / (1 - p1)))) / math.sqrt(1 / u + 1 / w)
+
+    weights = {t: weight(t) for t in vocabulary}
+
+    def unit(i):
+        v = {t: (1 + math.log(c)) * weights[t] for t, c in found[i].items() if t in vocabulary}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: unit(i) for i in examples}
+
+    def vote(v, leave=None):
+        cosines = [(sum(x * w[t] for t, x in v.items() if t in w), labels[j]) for j, w in vectors.items() if j != leave]
+        near = sorted((c for c in cosines if c[0] > 0), key=lambda c: -c[0])[:k]
+        total = sum(1 / (1.05 - min(c, 1)) for c, _ in near)
+        return sum(y / (1.05 - min(c, 1)) for c, y in near) / total if near else None
+
+    sizes = Counter(labels[i] for i in examples)
+    own = sorted((x, labels[i], ((n - n1), n1)[labels[i]] / sizes[labels[i]]) for i in examples if (x := vote(vectors[i], i)) is not None)
+    xs = sorted({x for x, _, _ in own})
+    sums = [[x, sum(y * w for v, y, w in own if v == x), sum(w for v, _, w in own if v == x)] for x in xs]
+    # the greatest convex minorant of the cumulated sums is what pooling finds
+    rates, at = [], 0
+    while at < len(sums):
+        best = min(range(at, len(sums)), key=lambda e: (sum(r[1] for r in sums[at : e + 1]) / sum(r[2] for r in sums[at : e + 1]), -e))
+        s, w = sum(r[1] for r in sums[at : best + 1]), sum(r[2] for r in sums[at : best + 1])
+        rates.append((sums[at][0], (s + 0.02) / (w + 0.04)))
+        at = best + 1
+    out = {}
+    for i in docs:
+        v = unit(i)
+        x = vote(v) if v else None
+        out[i] = p1 if x is None else 0.98 * ([r for s, r in rates if s <= x + 1e-12] or [rates[0][1]])[-1] + 0.02 * x
+    return out
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "xxhash64(doc_id) h").collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None}
+    h = {r.doc_id: r.h for r in rows}
+    want = plain_toxicity({r.doc_id: r.text or "" for r in rows}, truth, lambda i: (h[i], i))
+    got = {r.doc_id: r.score for r in op5.op5_toxicity(spark, SF).collect()}
+    # equal cosines of copies at the k-th place may fall either way by rounding
+    assert got.keys() == want.keys() and sum(abs(got[i] - want[i]) > 1e-6 for i in got) <= 0.005 * len(got)
 
 
 def test_toxicity_of_odd_tables(spark):
@@ -69,6 +146,8 @@ def test_toxicity_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = op5.toxicity(docs, none).collect()
     assert len(out) == 4 and all(r.score == 0 and r.predicted == 0 for r in out)
+    toxic = spark.createDataFrame([(2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r.score for r in op5.toxicity(docs, toxic).collect()} == {1.0 if not held(2) else 0.0}
     some = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (2, 1, 0), (None, 1, 1), (9, 1, None)], "doc_id long, quality int, toxic int")
     assert op5.toxicity(docs, some).count() == 4
     assert op5.toxicity(spark.createDataFrame([], DOCS), some).count() == 0

@@ -1,143 +1,174 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with block-max inverted indexes.
 
-Features are words and their beginnings of 4 and 5 characters. Their document frequencies are counted in Spark over all labelled
-training documents; the vocabulary is of terms that occur in at least `support` of them, tell the label mostly (a share of `purity` on one
-side, labels weighed equally) and hardly by chance (a likelihood ratio of at least `least_ratio` against the label's share of all).
-What a term needs does not grow with the input, so a small language's terms stay. At most `features` are kept, half for each label, the
-greatest ratios first. Examples are training documents with a vocabulary term: a sample of at most `examples`, half toxic where there are
-enough (the least by a hash of their doc_id), and besides for each term up to `cover` documents that hold it, so that no term is without an example.
-
-The index holds examples in blocks of like vectors. For each block it keeps the greatest weight of each term; with
-a query's weights these give an upper bound on any cosine in the block, and a block is scored only for queries
-whose k-th best so far is below its bound. The neighbours found are exact. Distance-weighted votes are mapped to rates by a monotone
-step function fitted on the sample's own votes without themselves. A document without any vocabulary term gets the rate of
-such training documents. Evidence is the list of the nearest examples' doc_ids.
-
-Defined results: null text is empty and scores as a document without terms. Without labels every score is 0. Ties of
-similarity go to the example that comes first in the index. Rows that repeat a doc_id get one row each. Other columns are ignored.
+Terms are words and their beginnings of 4 and 5 characters. Examples are training documents: a sample of at most `examples`, half of them
+toxic where there are enough (the least by a hash of their doc_id), none of over `longest` characters. The vocabulary is every term of the
+examples; how many documents of either label hold a term is counted in Spark over all labelled training documents. A term's weight is
+(1 + log tf) x idf x relevance, and vectors have length 1. relevance is the z-score of the term's log odds between the labels, with `prior` pseudo-documents
+in the proportion of the labels; with relevance off it is 1, plain TF-IDF.
+
+The index has for each term a posting list (example, weight) in the order of blocks of like examples, and for each block in it the list's greatest weight there.
+A query's terms give from those maxima an upper bound on any cosine in each block. The blocks of the greatest bounds
+are scored first; then only those whose bound reaches the k-th best cosine. So the neighbours are exact. Distance-weighted votes are
+mapped to rates by a monotone step function fitted on the examples' own votes without themselves. Evidence is the list of the nearest examples' doc_ids.
+
+Defined results: null text is empty; texts without a term of the vocabulary get the training rate of toxic documents. With labels of
+one value only, or none, every score is that value, or 0. Ties of similarity go to the example that comes first in the index. Rows that repeat a doc_id get one row
+each; of training rows that do, the least text counts, as toxic if any label says so. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, held_out, real_id, table, whole_text
 
-WORD = regex.compile(r"\p{L}+")
+WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: Blocks that are scored before the bounds of the others are looked at.
+FIRST = 4
 
 
-def terms(text: str) -> list[str]:
-    """Words, and as separate terms their beginnings."""
-    out = []
-    for w in WORD.findall(text.lower()):
-        out.append(w)
+def terms(text: str) -> Counter:
+    """How often each word and, as separate terms, each beginning of a word occurs."""
+    out = Counter(WORD.findall(text.lower()))
+    for w, c in list(out.items()):
         if len(w) > 4:
-            out.append(w[:4] + "*")
-        if len(w) > 5:
-            out.append(w[:5] + "*")
+            out[w[:4] + "*"] += c
+            if len(w) > 5:
+                out[w[:5] + "*"] += c
     return out
 
 
+def relevance_of(a: np.ndarray, m: np.ndarray, n0: float, n1: float, prior: float) -> np.ndarray:
+    """|z| of each term's log odds; a of the m documents that hold it are toxic."""
+    p1 = n1 / (n0 + n1)
+    u, w = a + prior * p1, m - a + prior * (1 - p1)
+    return np.abs(np.log(u / p1 / (w / (1 - p1)))) / np.sqrt(1 / u + 1 / w)
+
+
+def expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1 ... of each slice, one slice after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Index:
-    """Vocabulary, inverse document frequencies, blocks of examples and their greatest weights."""
+    """Postings of the examples' terms with block maxima."""
 
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, k: int) -> None:
+    def __init__(self, vocabulary: list[str], weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, tf: np.ndarray, k: int) -> None:
+        """weight: of each term without its frequency. example, term, tf: the entries of the examples' vectors."""
         self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.idf, self.k = idf, k
-        order = np.lexsort((ids, *vectors.T[:8], vectors.argmax(1) if len(vocabulary) else np.zeros(len(ids)))) if len(ids) else np.zeros(0, int)
-        self.ids, self.vectors, self.labels = ids[order], vectors[order], labels[order]
-        self.starts = list(range(0, len(ids), BLOCK))
-        self.most = np.array([self.vectors[s : s + BLOCK].max(0) for s in self.starts]).reshape(len(self.starts), len(vocabulary))
-        self.words = {t for t in vocabulary if t[-1] != "*"}
-        self.heads = {n: {t[:n] for t in vocabulary if t[-1] == "*" and len(t) == n + 1} for n in (4, 5)}
-        self.rate_empty, self.steps, self.rates = 0.0, np.zeros(0), np.zeros(0)
-
-    def vector(self, text: str) -> np.ndarray:
-        """Unit vector of (1 + log tf) * idf over the vocabulary; zero if no term occurs."""
-        counts: dict[int, int] = {}
-        for w in set(words := WORD.findall(text.lower())):
-            found = ([w] if w in self.words else []) + [w[:n] + "*" for n in (4, 5) if len(w) > n and w[:n] in self.heads[n]]
-            if found:
-                c = words.count(w)
-                for t in found:
-                    counts[self.at[t]] = counts.get(self.at[t], 0) + c
-        v = np.zeros(len(self.at), np.float32)
-        for i, c in counts.items():
-            v[i] = (1 + np.log(c)) * self.idf[i]
-        size = np.sqrt((v * v).sum())
-        return v / size if size else v
-
-    def nearest(self, queries: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k best cosines and example numbers (-1: none) of each query; leave: an example to pass over."""
-        q, k = len(queries), self.k
-        best, which = np.zeros((q, k), np.float32), np.full((q, k), -1)
-        if not self.starts or not q:
-            return best, which
-        some = queries.any(1)
-        if not some.all():  # without a term there is nothing to search
-            if some.any():
-                best[some], which[some] = self.nearest(queries[some], None if leave is None else leave[some])
-            return best, which
-        bound = queries @ self.most.T
-        for b in np.argsort(-bound.max(0), kind="stable"):
-            live = np.flatnonzero(bound[:, b] + 1e-5 > best[:, -1])  # the bound may be rounded down
-            if not len(live):
+        self.weight, self.k, self.n = weight, k, len(ids)
+        w = (1 + np.log(tf)) * weight[term]
+        size = np.sqrt(np.bincount(example, w * w, self.n))
+        w = w / np.maximum(size[example], 1e-300)
+        # like examples stand together: by the term that is heaviest over the examples, then by the next
+        worth = w * np.bincount(term, minlength=len(vocabulary))[term]
+        heavy = np.lexsort((-worth, example))
+        first = np.searchsorted(example[heavy], np.arange(self.n))
+        lead = np.zeros((2, self.n), np.int64)
+        for i in (0, 1):
+            there = (first + i < len(heavy)) & (np.bincount(example, minlength=self.n) > i)
+            lead[i, there] = term[heavy[first[there] + i]]
+        order = np.lexsort((ids, lead[1], lead[0]))
+        place = np.empty(self.n, np.int64)
+        place[order] = np.arange(self.n)
+        self.ids, self.labels = ids[order], labels[order]
+        example = place[example]
+        by_term = np.lexsort((example, term))
+        self.example, term, self.w = example[by_term].astype(np.int32), term[by_term], w[by_term]
+        new = np.append(True, (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK))[: len(term)]
+        self.begin = np.append(np.flatnonzero(new), len(term))  # of each (term, block) in the postings
+        self.block = self.example[self.begin[:-1]] // BLOCK
+        self.most = np.maximum.reduceat(self.w, self.begin[:-1]) if len(term) else np.zeros(0)
+        self.blocks_of = np.searchsorted(term[self.begin[:-1]], np.arange(len(vocabulary) + 1))
+        self.rate, self.steps, self.rates = 0.0, np.zeros(0), np.zeros(0)
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and weights of a text, of length 1."""
+        known = self.at
+        found = [(i, c) for t, c in terms(text).items() if (i := known.get(t)) is not None]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        i, c = np.array(found, np.int64).T
+        w = (1 + np.log(c)) * self.weight[i]
+        size = np.sqrt((w * w).sum())
+        return (i, w / size) if size > 0 else (i[:0], w[:0])
+
+    def nearest(self, i: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the k nearest examples with a cosine above 0; leave: an example to pass over."""
+        size = self.blocks_of[i + 1] - self.blocks_of[i]
+        lists = expanded(self.blocks_of[i], size)
+        q, block = np.repeat(w, size), self.block[lists]
+        n_blocks = -(-self.n // BLOCK)
+        bound = np.bincount(block, q * self.most[lists], n_blocks)
+        best = np.zeros(0, np.int64), np.zeros(0)
+        ranked = np.argsort(-bound, kind="stable")
+        for some in (ranked[:FIRST], ranked[FIRST:]):
+            least = best[1][self.k - 1] if len(best[1]) >= self.k else 0.0
+            visit = np.zeros(n_blocks, bool)
+            visit[some] = (bound[some] > 0) & (bound[some] + 1e-9 >= least)  # sums may be rounded
+            mine = np.flatnonzero(visit[block])
+            if not len(mine):
                 continue
-            s = self.starts[b]
-            sims = queries[live] @ self.vectors[s : s + BLOCK].T
-            if leave is not None:
-                hit = leave[live] - s
-                inside = np.flatnonzero((hit >= 0) & (hit < sims.shape[1]))
-                sims[inside, hit[inside]] = 0
-            both = np.hstack([best[live], sims])
-            names = np.hstack([which[live], np.broadcast_to(np.arange(s, s + sims.shape[1]), sims.shape)])
-            order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-            best[live], which[live] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-        which[best <= 0] = -1
-        return best, which
-
-    def votes(self, queries: np.ndarray, leave: np.ndarray | None = None):
-        best, which = self.nearest(queries, leave)
-        weight = np.where(which >= 0, 1 / (1.05 - np.minimum(best, 1)), 0)
-        label = np.where(which >= 0, self.labels[which] if len(self.labels) else 0, 0)
-        total = weight.sum(1)
-        return np.divide((weight * label).sum(1), total, out=np.zeros(len(queries)), where=total > 0), total > 0, which
-
-    def calibrate(self, weights: np.ndarray, rate_empty: float, sampled: np.ndarray) -> None:
-        """Pool-adjacent-violators over the sampled examples' own votes; weights undo the sample's balance."""
-        self.rate_empty = rate_empty
-        at = np.flatnonzero(np.isin(self.ids, sampled))
-        vote, some, _ = self.votes(self.vectors[at], at)
-        labels = self.labels[at][some]
-        vote, label, weight = vote[some], labels.astype(float), weights[labels.astype(int)]
+            begin = self.begin[lists[mine]]
+            many = self.begin[lists[mine] + 1] - begin
+            at = expanded(begin, many)
+            cosine = np.bincount(self.example[at], self.w[at] * np.repeat(q[mine], many), self.n)
+            if leave >= 0:
+                cosine[leave] = 0
+            hit = np.flatnonzero(cosine > 0)
+            which, cos = np.append(best[0], hit), np.append(best[1], cosine[hit])
+            order = np.lexsort((which, -cos))[: self.k]
+            best = which[order], cos[order]
+        return best
+
+    def vote(self, which: np.ndarray, cosine: np.ndarray) -> float:
+        weight = 1 / (1.05 - np.minimum(cosine, 1))
+        return float((weight * self.labels[which]).sum() / weight.sum())
+
+    def calibrate(self, rate: float, weights: np.ndarray) -> None:
+        """Pool-adjacent-violators over the examples' own votes; weights, by label, undo the sample's balance."""
+        self.rate = rate
+        owner = np.argsort(self.example, kind="stable")
+        ends = np.searchsorted(self.example[owner], np.arange(self.n + 1))
+        term = np.repeat(np.arange(len(self.blocks_of) - 1), self.begin[self.blocks_of[1:]] - self.begin[self.blocks_of[:-1]])
+        votes = []
+        for e in range(self.n):
+            mine = owner[ends[e] : ends[e + 1]]
+            which, cosine = self.nearest(term[mine], self.w[mine], e)
+            if len(which):
+                votes.append((self.vote(which, cosine), float(self.labels[e]), float(weights[self.labels[e]])))
         pools: list[list[float]] = []  # least vote, sum of labels, weight
-        for i in np.argsort(vote, kind="stable"):
-            pools.append([vote[i], label[i] * weight[i], weight[i]])
+        for v, label, weight in sorted(votes):
+            pools.append([v, label * weight, weight])
             while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]):
-                v, a, b = pools.pop()
+                _, a, b = pools.pop()
                 pools[-1] = [pools[-1][0], pools[-1][1] + a, pools[-1][2] + b]
         self.steps, self.rates = np.array([p[0] for p in pools]), np.array([(p[1] + 0.02) / (p[2] + 0.04) for p in pools])
 
-    def score(self, texts: list[str]):
-        queries = np.array([self.vector(t) for t in texts], np.float32).reshape(len(texts), len(self.at))
-        vote, some, which = self.votes(queries)
-        if len(self.steps):
-            at = np.maximum(np.searchsorted(self.steps, vote, "right") - 1, 0)
-            # a small share of the raw vote keeps the order within a step
-            rated = np.clip(0.98 * self.rates[at] + 0.02 * vote, 0, 1)
-        else:
-            rated = np.full(len(texts), self.rate_empty)
-        return np.where(some, rated, self.rate_empty), which
+    def score(self, text: str) -> tuple[float, list[int]]:
+        """A rate from 0 to 1, and the five nearest examples."""
+        if not len(self.steps):
+            return self.rate, []
+        i, w = self.vector(text)
+        which, cosine = self.nearest(i, w) if len(i) else (i, w)
+        if not len(which):
+            return self.rate, []
+        vote = self.vote(which, cosine)
+        step = max(int(np.searchsorted(self.steps, vote, "right")) - 1, 0)
+        # a small share of the raw vote keeps the order within a step
+        return min(max(0.98 * float(self.rates[step]) + 0.02 * vote, 0.0), 1.0), self.ids[which[:5]].tolist()
 
 
-def vocabulary_of(labelled: DataFrame, n0: float, n1: float, features: int, support: int, purity: float, least_ratio: float) -> list:
-    """Rows of (term, m: documents that hold it), at most `features`."""
+def counted(labelled: DataFrame) -> DataFrame:
+    """term, m: documents that hold it, a: toxic ones among them; over all rows."""
 
     def split(batches):
         sums: dict[str, list[int]] = {}
@@ -147,7 +178,7 @@ def vocabulary_of(labelled: DataFrame, n0: float, n1: float, features: int, supp
 
         for b in batches:
             for toxic, text in zip(b["toxic"].to_pylist(), b["text"].to_pylist(), strict=True):
-                for x in set(terms(text)):
+                for x in terms(text):
                     got = sums.setdefault(x, [0, 0])
                     got[0] += toxic
                     got[1] += 1
@@ -156,72 +187,61 @@ def vocabulary_of(labelled: DataFrame, n0: float, n1: float, features: int, supp
                     sums.clear()
         yield emit()
 
-    n = n0 + n1
-    counted = labelled.select("toxic", "text").mapInArrow(split, "term string, a long, m long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("m").cast("double").alias("m"))
-    a, m, c = F.col("a"), F.col("m"), F.col("m") - F.col("a")
-    share = (a / F.lit(n1)) / (a / F.lit(n1) + c / F.lit(n0))  # of the term's occurrences, were both labels equally frequent
-    ratio = 2 * (F.when(a > 0, a * F.log(a * n / (m * n1))).otherwise(0.0) + F.when(c > 0, c * F.log(c * n / (m * n0))).otherwise(0.0))
-    rated = counted.filter((m >= support) & (m < n)).withColumns({"share": share, "ratio": ratio}).filter((F.col("ratio") >= least_ratio) & ((F.col("share") >= purity) | (F.col("share") <= 1 - purity)))
-    rated = rated.persist(StorageLevel.DISK_ONLY)  # counted once for both labels
-    sides = [rated.filter(s).orderBy(F.desc("ratio"), "term").limit(features // 2).select("term", "m") for s in (F.col("share") >= purity, F.col("share") <= 1 - purity)]
-    out = [r for side in sides for r in side.collect()]
-    rated.unpersist()
-    return out
+    return labelled.select("toxic", "text").mapInArrow(split, "term string, a long, m long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, features: int = 1000, cover: int = 3, support: int = 4, purity: float = 0.9, least_ratio: float = 12.0, k: int = 25) -> Index:
-    """The index, from labelled rows of the training folds. At most `examples` + `cover` x `features` vectors reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, longest: int = 20_000, prior: float = 5.0, relevance: bool = True, k: int = 25) -> Index:
+    """The index, from labelled rows of the training folds. The driver gets the vectors of at most `examples` texts of at most `longest` characters, and a row for each term of theirs."""
     here = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     truth = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labelled = here.join(truth, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).persist(StorageLevel.DISK_ONLY)
     totals = dict(labelled.groupBy("toxic").count().collect())
     n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
-    df = {r.term: r.m for r in vocabulary_of(labelled, n0, n1, features, support, purity, least_ratio)} if n1 and n0 else {}
-    vocabulary = sorted(df)
-    idf = np.array([np.log((1 + n0 + n1) / (1 + df[t])) + 1 for t in vocabulary], np.float32)
-    blank = Index(vocabulary, idf, np.zeros(0, np.int64), np.zeros((0, len(vocabulary)), np.float32), np.zeros(0, np.int64), k)
+    none = np.zeros(0, np.int64)
+    if not n1 or not n0:
+        labelled.unpersist()
+        index = Index([], np.zeros(0), none, none, none, none, none, k)
+        index.rate = 1.0 if n1 else 0.0
+        return index
 
     def weigh(batches):
         for b in batches:
-            vectors = [blank.vector(t) for t in b["text"].to_pylist()]
-            at = [np.flatnonzero(v).astype(np.int32) for v in vectors]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array(at, pa.list_(pa.int32())), pa.array([v[i] for v, i in zip(vectors, at, strict=True)], pa.list_(pa.float32()))], ["doc_id", "toxic", "at", "w"])
-
-    vectors = labelled.mapInArrow(weigh, "doc_id long, toxic int, at array<int>, w array<float>").persist(StorageLevel.DISK_ONLY)
-    sizes = {(r.toxic, r.some): r["count"] for r in vectors.groupBy("toxic", (F.size("at") > 0).alias("some")).count().collect()}
-    some = vectors.filter(F.size("at") > 0).withColumn("h", F.xxhash64("doc_id"))
-    drawn = [r.doc_id for x in (0, 1) for r in some.filter(F.col("toxic") == x).orderBy("h", "doc_id").limit(examples // 2).select("doc_id").collect()]
-    held = some.select("doc_id", "h", F.explode("at").alias("term")).groupBy("term", F.pmod("h", F.lit(cover)).alias("part")).agg(F.min(F.struct("h", "doc_id")).alias("least"))
-    covering = [r.doc_id for r in held.select("least.doc_id").distinct().collect()]  # one of each part of the ids for each term
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in sorted({*drawn, *covering})], "doc_id long")
-    rows = some.join(F.broadcast(wanted), "doc_id", "left_semi").collect()
-    vectors.unpersist()
+            found = [terms(t) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "tf"])
+
+    fitting = labelled.filter(F.length("text") <= longest)
+    sides = [fitting.filter(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples // 2) for x in (0, 1)]
+    drawn = sides[0].unionByName(sides[1]).mapInArrow(weigh, "doc_id long, toxic int, terms array<string>, tf array<int>").persist(StorageLevel.DISK_ONLY)
+    got = drawn.toArrow().sort_by("doc_id").combine_chunks()
+    wanted = drawn.select(F.explode("terms").alias("term")).distinct()
+    stats = counted(labelled).join(wanted, "term", "left_semi").toArrow().sort_by("term").combine_chunks()
+    drawn.unpersist()
     labelled.unpersist()
-    ids, toxic = np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], np.int64)
-    dense = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, r in enumerate(rows):
-        dense[i, r["at"]] = r.w
-    index = Index(vocabulary, idf, ids, dense, toxic, k)
-    sampled = toxic[np.isin(ids, drawn)]
-    weights = np.array([sizes.get((x, True), 0) / max((sampled == x).sum(), 1) for x in (0, 1)])
-    none = [sizes.get((x, False), 0) for x in (0, 1)]
-    index.calibrate(weights, none[1] / sum(none) if sum(none) else 0.0, np.array(drawn, np.int64))
+    a, m = (stats[c].to_numpy().astype(float) for c in ("a", "m"))
+    vocabulary = stats["term"].to_pylist()
+    weight = (np.log((1 + n0 + n1) / (1 + m)) + 1) * (relevance_of(a, m, n0, n1, prior) if relevance else 1.0)
+    lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.string()))
+    sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    number = pa.compute.index_in(lists.flatten(), value_set=stats["term"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    tf = got["tf"].combine_chunks().flatten().to_numpy() if got.num_rows else none
+    ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
+    index = Index(vocabulary, weight, ids, toxic, np.repeat(np.arange(len(ids)), sizes), number, tf, k)
+    index.calibrate(n1 / (n0 + n1), np.array([n0, n1]) / np.maximum(np.bincount(toxic, minlength=2), 1))
     return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from the threshold on), evidence (doc_ids of the nearest examples)."""
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **kw))  # bounded: (examples + cover x features) x features
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **kw))  # bounded by examples x longest
 
     def run(batches):
         ix = index.value
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
-                texts = b["text"].slice(lo, 1024).to_pylist()
-                score, which = ix.score(texts)
-                evidence = [ix.ids[w[w >= 0][:5]].tolist() if len(ix.ids) else [] for w in which]
+                found = [ix.score(t) for t in b["text"].slice(lo, 1024).to_pylist()]
+                score = np.array([x[0] for x in found])
                 yield pa.RecordBatch.from_arrays(
-                    [b["did"].slice(lo, 1024), b["held_out"].slice(lo, 1024), pa.array(score.astype(float)), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
+                    [b["did"].slice(lo, 1024), b["held_out"].slice(lo, 1024), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([x[1] for x in found], pa.list_(pa.int64()))],
                     ["did", "held_out", "score", "predicted", "evidence"],
                 )
 
