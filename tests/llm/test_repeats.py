@@ -58,7 +58,7 @@ def run(spark, op, rows, **kw):
     return op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, kept string").repartition(3), **kw)
 
 
-@pytest.mark.parametrize("hot", [2, 200_000])
+@pytest.mark.parametrize("hot", [2, 100_000])
 def test_bytes(spark, hot):
     docs = made(1, 60, (1, 8))
     want = brute(docs, lambda t: (t or "").encode(), 100, as_bytes)
@@ -134,9 +134,19 @@ def test_the_resolver_decides_every_repeat(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     keyed = repeats.doc_key(docs)
-    rows = repeats.anchors(keyed, "byte", 100, 32).drop("known", "spare").distinct()  # a row for each run
+    rows = repeats.anchors(keyed, "byte", 100, 32).drop("known", "spare", "load").distinct()  # a row for each run
     several = rows.groupBy("gram").count().filter("count > 1")
-    assert repeats.sift(repeats.anchors(keyed, "byte", 100, 32)).distinct().count() == rows.join(several, "gram", "left_semi").count() > 0
+    assert repeats.sift(repeats.anchors(keyed, "byte", 100, 32), 100).filter("n > 0").distinct().count() == rows.join(several, "gram", "left_semi").count() > 0
+
+
+def test_crowded_anchors_beyond_the_broadcast_are_joined(spark, monkeypatch):
+    from weir.llm import repeats
+
+    monkeypatch.setattr(repeats, "CROWDED", 1)
+    docs = made(6, 40, (1, 8))
+    want = {k: (n, r, s) for k, (n, r, _, s) in brute(docs, words, 20, as_words).items()}
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in run(spark, op7, [(*d, "x") for d in docs], hot=2).collect()}
+    assert got == want
 
 
 def test_whole_table(spark, sf):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, parts, table, utf8
-from .repeats import REPEATS, SALTS, by_place, chunks_of, list_of, repeated_windows, repeats_batch, touching
+from .repeats import REPEATS, SALTS, Share, by_place, chunks_of, list_of, repeated_windows, repeats_batch, touching
 
 #: left: bytes of the left context, or SAME if it is that of the row before.
 HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("n", "<u2"), ("did", "<i8"), ("tag", "<i8"), ("start", "<i8")])
@@ -198,12 +198,12 @@ def resolver(length: int, k: int):
         types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["bucket", "salt", "run", "did", "tag", "start", "n"])
 
-    def send(buckets: int, single: bool):
+    def send(buckets: int, share: Share):
         def run(batches):
             for b in batches:
                 data, offsets = utf8(b["text"])
                 did, tag = b["did"].to_pylist(), b["tag"].to_pylist()
-                for row, start, n, gram, off in chunks_of(b, "byte", length, single):
+                for row, start, n, gram, off in chunks_of(b, "byte", length, share):
                     runs: dict[int, list] = {}
                     begin = offsets[row] + start
                     for r, s, m, g, x, y, z in zip(row.tolist(), start.tolist(), n.tolist(), (gram % buckets).tolist(), begin.tolist(), (begin + off).tolist(), (begin + n - 1 + length).tolist(), strict=True):
@@ -252,23 +252,23 @@ def resolver(length: int, k: int):
 
         return run
 
-    def resolve(docs: DataFrame, total: int, single: bool) -> DataFrame:
+    def resolve(docs: DataFrame, share: Share) -> DataFrame:
         n = parts(docs.sparkSession)
-        buckets = max(4 * n, -(-total * (length - k if single else 1) // BUCKET))
-        sent = docs.mapInArrow(send(buckets, single), SENT)
+        buckets = max(4 * n, -(-share.total // BUCKET))
+        sent = docs.mapInArrow(send(buckets, share), SENT)
         place = F.when(F.col("bucket").isNull(), by_place())
-        if single:
+        if share.single:
             sent = sent.repartition(n, F.coalesce(place, F.xxhash64("bucket", "salt"))).sortWithinPartitions("bucket", "salt").mapInArrow(meet(False), SENT)
         return sent.repartition(n, F.coalesce(place, F.col("bucket"))).sortWithinPartitions("bucket").mapInArrow(meet(True), REPEATS)
 
     return resolve
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, anchor: int = 32, hot: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, anchor: int = 32, hot: int = 100_000) -> DataFrame:
     """doc_id, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans.
 
-    anchor: bytes of an anchor, at most half of length. hot: differing regions of an anchor beyond which its windows are sent one by
-    one, dealt out by their contents, to the same merge.
+    anchor: bytes of an anchor, at most half of length. hot: regions of an anchor, counted once for each map task's batch, beyond which its
+    windows are sent one by one, dealt out by their contents, to the same merge.
     """
     if not 0 < 2 * anchor <= length <= 30_000:
         raise ValueError("length must be at most 30,000 and at least twice the anchor")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import spans
 from .common import NULL_ID, parts, table, utf8
-from .repeats import REPEATS, SALTS, by_place, chunks_of, list_of, repeated_windows, repeats_batch, touching
+from .repeats import REPEATS, SALTS, Share, by_place, chunks_of, list_of, repeated_windows, repeats_batch, touching
 
 SENT = "gram long, salt int, words binary, " + REPEATS
 
@@ -111,13 +111,13 @@ def resolver(length: int, shard_words: int):
                 copied.append(x[3:])
         return sent_batch(kept, touching(copied))
 
-    def send(single: bool):
+    def send(share: Share):
         def run(batches):
             for b in batches:
                 data, offsets = utf8(b["text"])
                 starts, ends, at = spans.word_bounds(data, offsets)
                 did, tag = b["did"].to_pylist(), b["tag"].to_pylist()
-                for row, start, n, gram, _ in chunks_of(b, "word", length, single):
+                for row, start, n, gram, _ in chunks_of(b, "word", length, share):
                     first = at[row] + start
                     lo, hi = starts[first].tolist(), ends[first + n + length - 2].tolist()
                     salt = (did[row[0]] ^ tag[row[0]]) % SALTS
@@ -174,11 +174,11 @@ def resolver(length: int, shard_words: int):
                     held += len(words)
             yield repeats_batch(*(zip(*out, strict=True) if out else ((),) * 4))
 
-    def resolve(docs: DataFrame, total: int, single: bool) -> DataFrame:
+    def resolve(docs: DataFrame, share: Share) -> DataFrame:
         n = parts(docs.sparkSession)
-        sent = docs.mapInArrow(send(single), SENT)
+        sent = docs.mapInArrow(send(share), SENT)
         place = F.when(F.col("words").isNull(), by_place())
-        if single:
+        if share.single:
             sent = sent.repartition(n, F.coalesce(place, F.xxhash64("gram", "salt"))).sortWithinPartitions("gram", "salt").mapInArrow(merge, SENT)
         return sent.repartition(n, F.coalesce(place, F.col("gram"))).sortWithinPartitions("gram", "did", "tag", "start").mapInArrow(meet, REPEATS)
 
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, anchor: int = 8, shard_wor
     """doc_id, kept (the remaining words, joined by one space), n_words, n_removed.
 
     anchor: words of an anchor, at most half of length. shard_words: words at which a reference shard is full.
-    hot: differing regions of an anchor beyond which its windows are sent one by one, dealt out by their contents, to the same automata.
+    hot: regions of an anchor, counted once for each map task's batch, beyond which its windows are sent one by one, dealt out by their contents, to the same automata.
     """
     keyed, runs = repeated_windows(docs, "word", length, anchor, resolver(length, shard_words), hot)
 
