@@ -72,7 +72,7 @@ def test_block_max_search_is_exact():
     assert visited == 60 * 7
 
 
-def plain_toxicity(docs, labels, order, k=25, prior=5.0):
+def plain_toxicity(docs, labels, order, k=9, prior=5.0):
     """docs: doc_id -> text, labels: doc_id -> toxic; order: what examples are drawn by. Scores of all docs by dictionaries and full sorts."""
     import math
     import re
@@ -93,16 +93,17 @@ def plain_toxicity(docs, labels, order, k=25, prior=5.0):
     vocabulary = {t for i in examples for t in found[i]}
     p1 = n1 / n
 
-    def weight(t):
-        u, w = a[t] + prior * p1, m[t] - a[t] + prior * (1 - p1)
-        return (math.log((1 + n) / (1 + m[t])) + 1) * abs(math.log(u / p1 / (w / (1 - p1)))) / math.sqrt(1 / u + 1 / w)
+    def weight(a, m):
+        u, w = a + prior * p1, m - a + prior * (1 - p1)
+        return (math.log((1 + n) / (1 + m)) + 1) * abs(math.log(u / p1 / (w / (1 - p1)))) / math.sqrt(1 / u + 1 / w) if m else 0.0
 
-    weights = {t: weight(t) for t in vocabulary}
+    weights = {t: weight(a[t], m[t]) for t in vocabulary}
 
-    def unit(i):
-        v = {t: (1 + math.log(c)) * weights[t] for t, c in found[i].items() if t in vocabulary}
+    def unit(i, out=False):
+        """out: with weights from the counts without this document."""
+        v = {t: (1 + math.log(c)) * (weight(a[t] - labels[i], m[t] - 1) if out else weights[t]) for t, c in found[i].items() if t in vocabulary}
         size = math.sqrt(sum(x * x for x in v.values()))
-        return {t: x / size for t, x in v.items()}
+        return {t: x / size for t, x in v.items() if x}
 
     vectors = {i: unit(i) for i in examples}
 
@@ -113,7 +114,7 @@ def plain_toxicity(docs, labels, order, k=25, prior=5.0):
         return sum(y / (1.05 - min(c, 1)) for c, y in near) / total if near else None
 
     sizes = Counter(labels[i] for i in examples)
-    own = sorted((x, labels[i], ((n - n1), n1)[labels[i]] / sizes[labels[i]]) for i in examples if (x := vote(vectors[i], i)) is not None)
+    own = sorted((x, labels[i], ((n - n1), n1)[labels[i]] / sizes[labels[i]]) for i in examples if (x := vote(unit(i, True), i)) is not None)
     xs = sorted({x for x, _, _ in own})
     sums = [[x, sum(y * w for v, y, w in own if v == x), sum(w for v, _, w in own if v == x)] for x in xs]
     # the greatest convex minorant of the cumulated sums is what pooling finds

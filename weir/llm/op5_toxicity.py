@@ -30,19 +30,24 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, held_out, real_id, table, whole_text
 
 WORD = re.compile(r"[^\W\d_]+")
-BLOCK = 64
-#: Blocks that are scored before the bounds of the others are looked at.
-FIRST = 4
+#: Examples of a block.
+BLOCK = 512
+#: Words whose terms a worker remembers; beyond it, it starts anew.
+MEMORY = 500_000
 
 
-def terms(text: str) -> Counter:
+def terms_of(word: str) -> tuple[str, ...]:
+    if len(word) > 5:
+        return word, word[:4] + "*", word[:5] + "*"
+    return (word, word[:4] + "*") if len(word) > 4 else (word,)
+
+
+def terms(text: str) -> dict[str, int]:
     """How often each word and, as separate terms, each beginning of a word occurs."""
-    out = Counter(WORD.findall(text.lower()))
-    for w, c in list(out.items()):
-        if len(w) > 4:
-            out[w[:4] + "*"] += c
-            if len(w) > 5:
-                out[w[:5] + "*"] += c
+    out: dict[str, int] = {}
+    for w, c in Counter(WORD.findall(text.lower())).items():
+        for t in terms_of(w):
+            out[t] = out.get(t, 0) + c
     return out
 
 
@@ -53,11 +58,6 @@ def relevance_of(a: np.ndarray, m: np.ndarray, n0: float, n1: float, prior: floa
     return np.abs(np.log(u / p1 / (w / (1 - p1)))) / np.sqrt(1 / u + 1 / w)
 
 
-def expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers start, start + 1 ... of each slice, one slice after another."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-
-
 class Index:
     """Postings of the examples' terms with block maxima."""
 
@@ -77,26 +77,35 @@ class Index:
             there = (first + i < len(heavy)) & (np.bincount(example, minlength=self.n) > i)
             lead[i, there] = term[heavy[first[there] + i]]
         order = np.lexsort((ids, lead[1], lead[0]))
-        place = np.empty(self.n, np.int64)
+        self.place = place = np.empty(self.n, np.int64)
         place[order] = np.arange(self.n)
         self.ids, self.labels = ids[order], labels[order]
         example = place[example]
         by_term = np.lexsort((example, term))
-        self.example, term, self.w = example[by_term].astype(np.int32), term[by_term], w[by_term]
-        new = np.append(True, (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK))[: len(term)]
+        example, term, w = example[by_term], term[by_term], w[by_term].astype(np.float32)
+        self.postings = np.stack([example.astype(np.int32), w.view(np.int32)], 1).reshape(-1).view(np.int64)  # together, so that a list is one slice
+        new = np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))[: len(term)]
         self.begin = np.append(np.flatnonzero(new), len(term))  # of each (term, block) in the postings
-        self.block = self.example[self.begin[:-1]] // BLOCK
-        self.most = np.maximum.reduceat(self.w, self.begin[:-1]) if len(term) else np.zeros(0)
+        self.block = example[self.begin[:-1]] // BLOCK
+        self.most = np.maximum.reduceat(w, self.begin[:-1]).astype(float) if len(term) else np.zeros(0)
         self.blocks_of = np.searchsorted(term[self.begin[:-1]], np.arange(len(vocabulary) + 1))
+        self.known: dict[str, tuple[int, ...]] = {}
         self.rate, self.steps, self.rates = 0.0, np.zeros(0), np.zeros(0)
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of a text, of length 1."""
-        known = self.at
-        found = [(i, c) for t, c in terms(text).items() if (i := known.get(t)) is not None]
+        known, found = self.known, {}
+        for word, c in Counter(WORD.findall(text.lower())).items():
+            numbers = known.get(word)
+            if numbers is None:
+                if len(known) >= MEMORY:
+                    known.clear()
+                numbers = known[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
+            for i in numbers:
+                found[i] = found.get(i, 0) + c
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        i, c = np.array(found, np.int64).T
+        i, c = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         w = (1 + np.log(c)) * self.weight[i]
         size = np.sqrt((w * w).sum())
         return (i, w / size) if size > 0 else (i[:0], w[:0])
@@ -104,26 +113,29 @@ class Index:
     def nearest(self, i: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples with a cosine above 0; leave: an example to pass over."""
         size = self.blocks_of[i + 1] - self.blocks_of[i]
-        lists = expanded(self.blocks_of[i], size)
-        q, block = np.repeat(w, size), self.block[lists]
+        lists = np.repeat(self.blocks_of[i] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        q, term, block = np.repeat(w, size), np.repeat(i, size), self.block[lists]
         n_blocks = -(-self.n // BLOCK)
         bound = np.bincount(block, q * self.most[lists], n_blocks)
         best = np.zeros(0, np.int64), np.zeros(0)
         ranked = np.argsort(-bound, kind="stable")
-        for some in (ranked[:FIRST], ranked[FIRST:]):
+        for some in (ranked[:1], ranked[1:]):
             least = best[1][self.k - 1] if len(best[1]) >= self.k else 0.0
             visit = np.zeros(n_blocks, bool)
-            visit[some] = (bound[some] > 0) & (bound[some] + 1e-9 >= least)  # sums may be rounded
+            visit[some] = (bound[some] > 0) & (bound[some] + 1e-6 >= least)  # sums may be rounded
             mine = np.flatnonzero(visit[block])
             if not len(mine):
                 continue
-            begin = self.begin[lists[mine]]
-            many = self.begin[lists[mine] + 1] - begin
-            at = expanded(begin, many)
-            cosine = np.bincount(self.example[at], self.w[at] * np.repeat(q[mine], many), self.n)
+            here = lists[mine]
+            first = np.flatnonzero(np.append(True, (here[1:] != here[:-1] + 1) | (term[mine[1:]] != term[mine[:-1]])))  # blocks of a term that follow one another are one slice
+            begin, end = self.begin[here[first]], self.begin[here[np.append(first[1:], len(here)) - 1] + 1]
+            found = np.concatenate([self.postings[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]).view(np.int32)
+            cosine = np.bincount(found[::2], found[1::2].view(np.float32) * np.repeat(q[mine[first]], end - begin), self.n)
             if leave >= 0:
                 cosine[leave] = 0
-            hit = np.flatnonzero(cosine > 0)
+            if len(cosine) > self.k:
+                least = max(least, np.partition(cosine, -self.k)[-self.k])
+            hit = np.flatnonzero((cosine > 0) & (cosine >= least))
             which, cos = np.append(best[0], hit), np.append(best[1], cosine[hit])
             order = np.lexsort((which, -cos))[: self.k]
             best = which[order], cos[order]
@@ -133,18 +145,22 @@ class Index:
         weight = 1 / (1.05 - np.minimum(cosine, 1))
         return float((weight * self.labels[which]).sum() / weight.sum())
 
-    def calibrate(self, rate: float, weights: np.ndarray) -> None:
-        """Pool-adjacent-violators over the examples' own votes; weights, by label, undo the sample's balance."""
+    def calibrate(self, rate: float, weights: np.ndarray, example: np.ndarray, term: np.ndarray, tf: np.ndarray, without: tuple[np.ndarray, np.ndarray]) -> None:
+        """Pool-adjacent-violators over the examples' own votes, as if they were not among the training documents.
+
+        weights, by label, undo the sample's balance; without: by the example's label, the terms' weights from counts without it.
+        """
         self.rate = rate
-        owner = np.argsort(self.example, kind="stable")
-        ends = np.searchsorted(self.example[owner], np.arange(self.n + 1))
-        term = np.repeat(np.arange(len(self.blocks_of) - 1), self.begin[self.blocks_of[1:]] - self.begin[self.blocks_of[:-1]])
+        ends = np.searchsorted(example, np.arange(self.n + 1))
         votes = []
         for e in range(self.n):
-            mine = owner[ends[e] : ends[e + 1]]
-            which, cosine = self.nearest(term[mine], self.w[mine], e)
+            i = term[ends[e] : ends[e + 1]]
+            label = self.labels[self.place[e]]
+            w = (1 + np.log(tf[ends[e] : ends[e + 1]])) * without[label][i]
+            size = np.sqrt((w * w).sum())
+            which, cosine = self.nearest(i[w > 0], w[w > 0] / size, self.place[e]) if size > 0 else (i[:0], w[:0])
             if len(which):
-                votes.append((self.vote(which, cosine), float(self.labels[e]), float(weights[self.labels[e]])))
+                votes.append((self.vote(which, cosine), float(label), float(weights[label])))
         pools: list[list[float]] = []  # least vote, sum of labels, weight
         for v, label, weight in sorted(votes):
             pools.append([v, label * weight, weight])
@@ -190,7 +206,7 @@ def counted(labelled: DataFrame) -> DataFrame:
     return labelled.select("toxic", "text").mapInArrow(split, "term string, a long, m long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, longest: int = 20_000, prior: float = 5.0, relevance: bool = True, k: int = 25) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, longest: int = 20_000, prior: float = 5.0, relevance: bool = True, k: int = 9) -> Index:
     """The index, from labelled rows of the training folds. The driver gets the vectors of at most `examples` texts of at most `longest` characters, and a row for each term of theirs."""
     here = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     truth = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -219,14 +235,20 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, longest: int =
     labelled.unpersist()
     a, m = (stats[c].to_numpy().astype(float) for c in ("a", "m"))
     vocabulary = stats["term"].to_pylist()
-    weight = (np.log((1 + n0 + n1) / (1 + m)) + 1) * (relevance_of(a, m, n0, n1, prior) if relevance else 1.0)
+
+    def weight(a, m):
+        w = (np.log((1 + n0 + n1) / (1 + m)) + 1) * (relevance_of(a, m, n0, n1, prior) if relevance else 1.0)
+        return np.where(m > 0, w, 0.0)
+
     lists = got["terms"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.string()))
     sizes = np.nan_to_num(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
     number = pa.compute.index_in(lists.flatten(), value_set=stats["term"]).to_numpy(zero_copy_only=False).astype(np.int64)
     tf = got["tf"].combine_chunks().flatten().to_numpy() if got.num_rows else none
     ids, toxic = got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64)
-    index = Index(vocabulary, weight, ids, toxic, np.repeat(np.arange(len(ids)), sizes), number, tf, k)
-    index.calibrate(n1 / (n0 + n1), np.array([n0, n1]) / np.maximum(np.bincount(toxic, minlength=2), 1))
+    entries = np.repeat(np.arange(len(ids)), sizes), number, tf
+    index = Index(vocabulary, weight(a, m), ids, toxic, *entries, k)
+    # a term that no example of a label holds is not asked for that label's weights
+    index.calibrate(n1 / (n0 + n1), np.array([n0, n1]) / np.maximum(np.bincount(toxic, minlength=2), 1), *entries, (weight(a, np.maximum(m - 1, a)), weight(np.maximum(a - 1, 0), m - 1)))
     return index
 
 
