@@ -69,6 +69,33 @@ def test_redaction(spark):
         assert got[i] == (want, len(want) if merged else -1)
 
 
+def test_many_secrets_and_reserved_names(spark):
+    """50,000 spans in a text, beyond ASCII, and columns of every name that the operator uses."""
+    import time
+
+    texts = [" é🎉".join(f"password=abcdef{i}" for i in range(50_000)), "token=abcdefgh " * 300, "no secrets", None]
+    names = "doc_id long, text string, key string, _key string, kinds string, spans string, _spans string, n_chars long, `a b` string, _merged string, low string"
+    docs = spark.createDataFrame([(i, t, "k", "k", "k", "s", "s", -1, "x", "m", "l") for i, t in enumerate(texts)], names)
+    began = time.time()
+    got = {r.doc_id: r for r in op2.scan(docs).collect()}
+    assert all([tuple(s) for s in got[i]._spans] == plain_spans(t or "") for i, t in enumerate(texts))
+    assert all(r.key == r._key == r.kinds == "k" and r.spans == "s" and r["a b"] == "x" and r._merged == "m" for r in got.values())
+    cut = {r.doc_id: r for r in op2.redact(docs).collect()}
+    assert cut[0].text == " é🎉".join(["[SECRET]"] * 50_000) and cut[0].n_chars == len(cut[0].text) and cut[1].text == "[SECRET] " * 300
+    assert cut[2].text == "no secrets" and cut[2].n_chars == -1 and cut[3].text is None and cut[0]._spans == "s"
+    assert op2.redact(docs).columns == docs.columns and time.time() - began < 90
+
+
+def test_running_folds(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [([rng.randint(-9, 9) for _ in range(n)],) for n in (1, 2, 3, 4, 5, 16, 17, 99, 100, 101)]
+    out = spark.createDataFrame(rows, "a array<int>").select("a", op2.running_sum(F.col("a")).alias("s"), op2.running_max(F.col("a")).alias("m")).collect()
+    for r in out:
+        assert r.s == [sum(r.a[: i + 1]) for i in range(len(r.a))] and r.m == [max(r.a[: i + 1]) for i in range(len(r.a))]
+
+
 def test_secret_oracle(spark):
     sf = "/root/testdata/sf0.01"  # the smaller table holds no secrets
     con = duckdb.connect()
