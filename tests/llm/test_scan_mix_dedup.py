@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import pytest
 import xxhash
 
 from weir.llm import op2_secret_scan as op2
@@ -181,7 +182,8 @@ def test_simhash(spark, sf):
     assert out.sparkSession.createDataFrame([], DOCS) is not None and op4.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_dense_and_chained_fingerprints(spark):
+@pytest.mark.parametrize("pieces", [3, 5, 6])
+def test_dense_and_chained_fingerprints(spark, pieces):
     rng = random.Random(5)
     fps = set()
     for _ in range(6):
@@ -194,7 +196,7 @@ def test_dense_and_chained_fingerprints(spark):
     fps |= {hub ^ 1 << a ^ 1 << b for a in range(12) for b in range(12)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {r.fp: r.component for r in op4.linked(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    got = {r.fp: r.component for r in op4.linked(spark.createDataFrame([(f,) for f in signed], "fp long"), pieces=pieces).collect()}
     want = plain_classes(list(zip(signed, fps)))
     groups = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == c) for c in set(labels))
     assert groups([got[f] for f in signed]) == groups(want)
@@ -203,7 +205,16 @@ def test_dense_and_chained_fingerprints(spark):
 def test_null_and_repeated_ids(spark):
     rows = [(None, "one two three four five", "x"), (7, "one two three four five", "x"), (7, "one two three four five", "x")]
     out = op4.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
-    assert len(out) == 3 and {r.component_id for r in out} == {None} and NULL_ID < 0
+    assert sorted(map(str, ((r.doc_id, r.component_id) for r in out))) == ["(7, 7)", "(7, 7)", "(None, 7)"] and NULL_ID < 0
+    lone = op4.near_duplicates(spark.createDataFrame([(None, "six words that no other has", "x"), *rows], "doc_id long, text string, fp string")).collect()
+    assert sorted(str(r.component_id) for r in lone) == ["7", "7", "7", "None"]
+
+
+def test_simhash_of_a_very_long_text(spark):
+    rng = random.Random(9)
+    text = " ".join(rng.choice(("alpha", "Beta", "gamma", "delta", "EPSILON", "é")) for _ in range(120_000))
+    out = op4.near_duplicates(spark.createDataFrame([(1, text, "x"), (2, text + " end", "x")], "doc_id long, text string, key string")).collect()
+    assert {r.doc_id: r.fingerprint for r in out} == {1: f"{plain_simhash(text):016x}", 2: f"{plain_simhash(text + ' end'):016x}"}
 
 
 def test_components(spark):
