@@ -109,39 +109,81 @@ def test_secret_oracle(spark):
 def test_raking_meets_its_marginals():
     rng = random.Random(3)
     cells = {(a, b, c): rng.random() for a in "xyz" for b in "uv" for c in "pq"}
-    targets = [{"x": 0.5, "y": 0.3, "z": 0.2}, {"u": 0.9, "v": 0.1}, {"p": 0.4, "q": 0.6}]
-    raked = op3.rake(cells, targets, 500, 1e-12)
-    for d, t in enumerate(targets):
-        for name, share in t.items():
-            assert abs(sum(v for k, v in raked.items() if k[d] == name) - share) < 1e-6
-    # the interaction of the cells stays: raking only scales rows, columns and layers
-    odds = lambda m: m["x", "u", "p"] * m["y", "v", "p"] / (m["x", "v", "p"] * m["y", "u", "p"])
-    assert abs(odds(raked) / odds(cells) - 1) < 1e-6
-    p = op3.probabilities(cells, raked, 0.3)
-    assert abs(sum(p[k] * cells[k] for k in cells) - 0.3 * sum(cells.values())) < 1e-6 and max(p.values()) <= 1
-
-
-def test_mixing(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    targets = op3.Targets(source={"src0": 0.3, "other": 0.7}, lang={"en": 0.5, "other": 0.5}, topic={"general": 1.0}, rate=0.05)  # low enough for every cell to give its share
-    rows = op3.mixed(docs, targets, {}).collect()
-    tokens = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs.collect()}
-    assert len(rows) == len(tokens) and all(r._tokens == tokens[r.doc_id] for r in rows)
-    total = sum(tokens.values())
-    expected = sum(r._probability * r._tokens for r in rows)
-    assert abs(expected / total - 0.05) < 1e-6
-    assert abs(sum(r._probability * r._tokens for r in rows if r._source == "src0") / expected - 0.3) < 0.02
+    targets = [{"x": 0.5, "y": 0.3, "z": 0.2}, {"u": 0.6, "v": 0.4}, {"p": 0.4, "q": 0.6}]
+    total = sum(cells.values())
+    for rate in (0.05, 0.4):
+        p, wanted, reached = op3.rake(cells, targets, rate, 5000, 1e-12)
+        for d, t in enumerate(targets):
+            for name, share in t.items():
+                assert abs(sum(p[k] * v for k, v in cells.items() if k[d] == name) / total - share * rate) < 1e-6
+                assert wanted[d][name] == pytest.approx(share) and reached[d][name] == pytest.approx(share, abs=1e-6)
+        assert max(p.values()) <= 1 + 1e-12
+        free = {k: v for k, v in p.items() if v < 1 - 1e-9}
+        # the interaction of the cells stays where no bound is met: raking only scales rows, columns and layers
+        corners = [("x", "u", "p"), ("y", "v", "p"), ("x", "v", "p"), ("y", "u", "p")]
+        if all(k in free for k in corners):
+            assert p[corners[0]] * p[corners[1]] == pytest.approx(p[corners[2]] * p[corners[3]])
+    # at a high rate cells are bounded, and the others make up for them
+    p, _, reached = op3.rake({("a", "s", "t"): 1.0, ("a", "r", "t"): 3.0, ("b", "s", "t"): 4.0, ("b", "r", "t"): 2.0}, [{"a": 0.6, "b": 0.4}, {"s": 0.5, "r": 0.5}, {"t": 1.0}], 0.6, 5000, 1e-12)
+    assert max(p.values()) <= 1 and reached[0]["a"] == pytest.approx(0.6, abs=1e-6) and reached[1]["s"] == pytest.approx(0.5, abs=1e-6)
+
+
+def test_scale_and_tempered():
+    import numpy as np
+
+    w, most = np.array([1.0, 2.0, 3.0]), np.array([1.5, 2.0, 30.0])
+    for want in (0.5, 3.0, 6.0, 10.0, 33.0):
+        assert np.minimum(w * op3.scale(w, most, want), most).sum() == pytest.approx(want)
+    assert np.minimum(w * op3.scale(w, most, 99.0), most).sum() == pytest.approx(33.5)
+    t = op3.tempered({"a": 0.9, "b": 0.09, "c": 0.01, "d": 0.0}, 0.3, 0.5)
+    assert sum(t.values()) == pytest.approx(1) and t["c"] == pytest.approx(0.02) and t["b"] == pytest.approx(0.18) and "d" not in t
+
+
+def test_mixing(spark):
+    """Default targets on the whole table against plain counts; wanted shares are reached."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op3.op3_mixing(spark, sf).collect()
+    n = {i: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for i, r in docs.items()}
+    assert len(rows) == len(docs) and all(r.n_tokens == n[r.doc_id] and r.lang == docs[r.doc_id].lang and r.source == docs[r.doc_id].source for r in rows)
+    total = sum(n.values())
+    expected = sum(r.probability * r.n_tokens for r in rows)
+    assert abs(expected / total - 0.5) < 1e-3
+    for d in op3.DIMENSIONS:
+        shares = {}
+        for r in rows:
+            shares.setdefault(r[d], [0.0, 0.0])
+            shares[r[d]][0] += r.n_tokens / total
+            shares[r[d]][1] += r.probability * r.n_tokens / expected
+        wants = {k: min(v[0] / 0.5, 1.0) for k, v in shares.items()}
+        for r in rows:
+            assert r[f"reached_{d}"] == pytest.approx(shares[r[d]][1], abs=1e-6) or not r.n_tokens
+            assert r[f"wanted_{d}"] is None or (r[f"wanted_{d}"] <= wants[r[d]] + 1e-9 and abs(r[f"wanted_{d}"] - r[f"reached_{d}"]) < 1e-3)
     for r in rows:
         u = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:8], 16) / 2**32
-        assert r._drawn == (u < r._probability)
+        assert r.drawn == (u < r.probability)
+    assert len({r.topic for r in rows}) > 3
+
+
+def test_mixing_to_given_targets(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    targets = op3.Targets(source={"src0": 0.3, "other": 0.7}, lang={"en": 0.5, "other": 0.5}, topic={"other": 1.0}, rate=0.05)
+    rows = op3.mixed(docs, targets).collect()
+    expected = sum(r._probability * r._tokens for r in rows)
+    assert abs(sum(r._probability * r._tokens for r in rows if r._source == "src0") / expected - 0.3) < 1e-6
 
 
 def test_mixing_of_odd_rows(spark):
     rows = [(None, None, None, None, "k", "x"), (1, "", "en", "src0", None, None), (1, "two words", "en", "src0", None, None), (2, "three plain words", "xx", "yy", None, None)]
     out = op3.mixed(spark.createDataFrame(rows, DOCS)).collect()
-    assert len(out) == 4 and all(0 <= r._probability <= 1 for r in out)
+    assert len(out) == 4 and all(0 <= r._probability <= 1 for r in out) and {r._x for r in out} == {"x", None}
     assert op3.mixed(spark.createDataFrame([], DOCS)).count() == 0
     assert op3.mixed(spark.createDataFrame([(1, "", None, None, None, None)], DOCS)).count() == 1
+    clash = spark.createDataFrame([(1, "a b", "en", "s", "old", 9, "s", 1.0)], "doc_id long, text string, lang string, source string, _source string, _tokens int, s string, p double")
+    got = op3.mixed(clash)
+    assert len(set(got.columns)) == len(got.columns) and got.first()._tokens == 2 and got.first()._source == "s" and got.first().s == "s"
+    long = spark.createDataFrame([(1, "word " * 100_000, "en", "s", None, None), (2, "x" * 300_000, "en", "s", None, None)], DOCS)
+    assert {r.doc_id: r._tokens for r in op3.mixed(long).collect()} == {1: 100_000, 2: 1}
 
 
 def plain_simhash(text):

@@ -25,7 +25,7 @@ from .repeats import REPEATS, SALTS, Share, by_place, chunks_of, list_of, repeat
 HEAD = np.dtype([("lcp", "<u2"), ("rest", "<u2"), ("left", "<u2"), ("n", "<u2"), ("did", "<i8"), ("tag", "<i8"), ("start", "<i8")])
 SAME = 0xFFFF
 #: Rows that a bucket of the merge should hold.
-BUCKET = 20_000
+BUCKET = 10_000
 SENT = "bucket long, salt int, run binary, " + REPEATS
 
 

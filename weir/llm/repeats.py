@@ -31,7 +31,7 @@ SALTS = 32
 #: Crowded anchors up to which they are broadcast as 8 bytes each; beyond it, runs are joined with them.
 CROWDED = 500_000
 #: Runs that are handled at once in a task.
-CHUNK = 131_072
+CHUNK = 32_768
 
 
 def symbols_of(unit: str, text: pa.Array):
