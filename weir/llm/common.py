@@ -39,16 +39,33 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df as a table in the shared folder, smaller than a checkpoint; the table is removed when the driver's JVM ends."""
+def written(df: DataFrame, path: str | None = None, keep: bool = False) -> DataFrame:
+    """df as a table in the shared folder, smaller than a checkpoint; unless kept, the table is removed when the driver's JVM ends."""
     spark = df.sparkSession
     path = path or f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if not keep:
+        system, place = file_system(spark, path)
+        system.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Spark's own access to a path of any store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = file_system(spark, path)
+    return system.exists(place)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    system, place = file_system(spark, path)
+    system.delete(place, True)
+
+
 def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

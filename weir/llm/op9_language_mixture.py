@@ -2,12 +2,14 @@
 
 Each language has a trigram distribution over hashed code-point trigrams of its training texts (all of them,
 counted in Spark). A document is a mixture of languages: expectation-maximisation estimates the proportions from
-the trigrams' likelihoods. The language set grows from the best single language as long as the likelihood gains
-more than a penalty for each further language. The prediction is the language of the largest proportion; the score
+the trigrams' likelihoods, iterated until no proportion moves by more than a tolerance. The language set grows from the best single language, by
+the one with the largest proportion among those left, as long as the likelihood gains
+more than a penalty for each further language; nothing else bounds it. The prediction is the language of the largest proportion; the score
 is that proportion times its posterior against the others as single languages.
 
 Defined results: a text without a letter, null or empty is `und` with score 0; so is every text if nothing was
-learned. Ties go to the language that sorts first. Rows that repeat a doc_id, or have none, get one row each. Other columns are ignored.
+learned. Ties go to the language that sorts first. Rows that repeat a doc_id, or have none, get one row each. Other columns pass through, whatever their
+names; columns named like the added ones are replaced. A text has at most BUCKETS distinct trigrams, however long it is.
 """
 
 from __future__ import annotations
@@ -18,13 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import held_out, table, whole_text
+from .common import fresh, held_out, table, whole_text
 
 #: Most languages that a model may hold: it is kept on the driver and broadcast, LANGUAGES x BUCKETS numbers at most.
 LANGUAGES = 256
 BUCKETS = 1 << 15
 UNDETERMINED = "und"
+#: Numbers (languages x trigrams) that are inferred at once; a single text may have more.
+AT_ONCE = 2_000_000
 
 
 @cache
@@ -73,52 +78,75 @@ def learn(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarra
     return [r.lang for r in got], p / p.sum(1, keepdims=True)
 
 
-def proportions(like: np.ndarray, counts: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def proportions(like: np.ndarray, counts: np.ndarray, doc: np.ndarray, n_docs: int, allowed: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """EM over many documents at once: proportions (languages x documents) and log-likelihoods.
 
-    like: likelihood of each (document, trigram) entry by language; doc: its document, ascending; allowed: mask.
+    like: likelihood of each (document, trigram) entry by language; doc: its document, ascending; allowed: mask. A document is done when no
+    proportion of its moves by more than the tolerance.
     """
     pi = allowed / np.maximum(allowed.sum(0), 1)
     starts = np.searchsorted(doc, np.arange(n_docs))
     total = np.maximum(np.add.reduceat(counts, starts), 1)
-    for _ in range(rounds):
-        part = pi[:, doc] * like
-        part *= counts / part.sum(0)
-        pi = np.add.reduceat(part, starts, axis=1) / total
+    live = np.arange(n_docs)
+    some, n, at, first = like, counts, doc, starts
+    while len(live):
+        part = pi[:, live][:, at] * some
+        part *= n / part.sum(0)
+        new = np.add.reduceat(part, first, axis=1) / total[live]
+        moved = np.abs(new - pi[:, live]).max(0) > tolerance
+        pi[:, live] = new
+        if moved.sum() <= 0.7 * len(live):  # the others go on alone
+            mine = moved[at]
+            some, n, at = some[:, mine], n[mine], (np.cumsum(moved) - 1)[at[mine]]
+            live = live[moved]
+            first = np.searchsorted(at, np.arange(len(live)))
     return pi, np.add.reduceat(np.log((pi[:, doc] * like).sum(0)) * counts, starts)
 
 
-def infer(texts: list[str], p: np.ndarray, penalty: float = 4.0, most: int = LANGUAGES, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def infer(texts: list[str], p: np.ndarray, penalty: float = 4.0, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """For each text the index of its main language (-1: none) and the score."""
-    entries = [np.unique(trigrams(t), return_counts=True) for t in texts]
-    live = np.array([i for i, (b, _) in enumerate(entries) if len(b)], int)
     best, score = np.full(len(texts), -1), np.zeros(len(texts))
-    if not len(live) or not len(p):
-        return best, score
-    n_lang, n = len(p), len(live)
-    doc = np.repeat(np.arange(n), [len(entries[i][0]) for i in live])
-    counts = np.concatenate([entries[i][1] for i in live]).astype(float)
-    like = p[:, np.concatenate([entries[i][0] for i in live])]
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        b, n = np.unique(trigrams(t), return_counts=True)
+        if len(b) and len(p):
+            if held and (size + len(b)) * len(p) > AT_ONCE:
+                settle(held, p, penalty, tolerance, best, score)
+                held, size = [], 0
+            held.append((i, b, n))
+            size += len(b)
+    if held:
+        settle(held, p, penalty, tolerance, best, score)
+    return best, score
+
+
+def settle(held: list[tuple[int, np.ndarray, np.ndarray]], p: np.ndarray, penalty: float, tolerance: float, best: np.ndarray, score: np.ndarray) -> None:
+    """infer() for texts given by place, distinct buckets and counts; writes into best and score."""
+    live = np.array([i for i, _, _ in held])
+    n_lang, n = len(p), len(held)
+    doc = np.repeat(np.arange(n), [len(b) for _, b, _ in held])
+    counts = np.concatenate([c for _, _, c in held]).astype(float)
+    like = p[:, np.concatenate([b for _, b, _ in held])]
     starts = np.searchsorted(doc, np.arange(n))
     single = np.add.reduceat(np.log(like) * counts, starts, axis=1)
     main = single.argmax(0)
     ll = single[main, np.arange(n)]
-    weight = np.exp(single - ll)
-    posterior = 1 / weight.sum(0)
+    posterior = 1 / np.exp(single - ll).sum(0)
     chosen = np.zeros((n_lang, n))
     chosen[main, np.arange(n)] = 1
     pi = chosen.copy()
-    full, full_ll = proportions(like, counts, doc, n, np.ones((n_lang, n)), rounds)
+    full, full_ll = proportions(like, counts, doc, n, np.ones((n_lang, n)), tolerance)
     price = penalty * np.log1p(np.add.reduceat(counts, starts))
-    trying = np.flatnonzero(full_ll - ll > price)
-    for _ in range(1, min(most, n_lang)):
+    trying = np.flatnonzero(full_ll - ll > price)  # no set has a greater likelihood than all languages
+    for _ in range(1, n_lang):
         if not len(trying):
             break
         wider = chosen[:, trying].copy()
         left = np.where(wider > 0, -1, full[:, trying])
         wider[left.argmax(0), np.arange(len(trying))] = 1
         mine = np.isin(doc, trying)
-        got, got_ll = proportions(like[:, mine], counts[mine], np.searchsorted(trying, doc[mine]), len(trying), wider, rounds)
+        got, got_ll = proportions(like[:, mine], counts[mine], np.searchsorted(trying, doc[mine]), len(trying), wider, tolerance)
         better = got_ll - ll[trying] > price[trying]
         kept = trying[better]
         chosen[:, kept], pi[:, kept], ll[kept] = wider[:, better], got[:, better], got_ll[better]
@@ -126,28 +154,26 @@ def infer(texts: list[str], p: np.ndarray, penalty: float = 4.0, most: int = LAN
     top = pi.argmax(0)
     best[live] = top
     score[live] = np.clip(pi[top, np.arange(n)] * np.where(chosen.sum(0) > 1, 1, posterior), 0, 1)
-    return best, score
 
 
-def identified(docs: DataFrame, smoothing: float = 0.5, penalty: float = 4.0, most: int = LANGUAGES, rounds: int = 8) -> DataFrame:
+def identified(docs: DataFrame, smoothing: float = 0.5, penalty: float = 4.0, tolerance: float = 1e-3) -> DataFrame:
     """docs with _held_out, _lang_pred, _score; learned from docs itself."""
     langs, p = learn(docs, smoothing)
     model = docs.sparkSession.sparkContext.broadcast(p)  # at most LANGUAGES x BUCKETS
+    (text,) = fresh(docs, "text")
+    kept = [c for c in docs.columns if c.lower() not in ("_held_out", "_lang_pred", "_score")]
+    rows = docs.select(*["`" + c.replace("`", "``") + "`" for c in kept], held_out().alias("_held_out"), whole_text().alias(text))
+    schema = StructType([*rows.drop(text).schema.fields, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
 
     def run(batches):
         for b in batches:
-            texts = b["_text"]
             for lo in range(0, b.num_rows, 128):
-                best, score = infer(texts.slice(lo, 128).to_pylist(), model.value, penalty, most, rounds)
-                names = pa.array([langs[i] if i >= 0 else UNDETERMINED for i in best], pa.string())
                 part = b.slice(lo, 128)
-                yield pa.RecordBatch.from_arrays([*(c for n, c in zip(part.schema.names, part.columns, strict=True) if n != "_text"), names, pa.array(score)], out_names)
+                best, score = infer(part.column(part.num_columns - 1).to_pylist(), model.value, penalty, tolerance)
+                names = pa.array([langs[i] if i >= 0 else UNDETERMINED for i in best], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], names, pa.array(score)], schema.names)
 
-    kept = [*docs.columns, "_held_out"]
-    out_names = [*kept, "_lang_pred", "_score"]
-    rows = docs.withColumn("_held_out", held_out()).withColumn("_text", whole_text())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_text").schema.fields)
-    return rows.mapInArrow(run, schema + ", _lang_pred string, _score double")
+    return rows.mapInArrow(run, schema)
 
 
 def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
