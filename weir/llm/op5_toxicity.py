@@ -13,7 +13,7 @@ mapped to rates by a monotone step function fitted on the examples' own votes wi
 
 Defined results: null text is empty; texts without a term of the vocabulary get the training rate of toxic documents. With labels of
 one value only, or none, every score is that value, or 0. Ties of similarity go to the example that comes first in the index. Rows that repeat a doc_id get one row
-each; of training rows that do, the least text counts, as toxic if any label says so. Other columns are ignored.
+each, and count each as a training document, toxic if any label of the doc_id says so. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,15 +23,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, held_out, real_id, table, whole_text
+from .common import NULL_ID, checkpoint, held_out, real_id, small, table, whole_text
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Examples of a block.
-BLOCK = 512
+BLOCK = 128
+#: Terms of queries that are searched for at once; a single query may have more.
+AT_ONCE = 20_000
 #: Words whose terms a worker remembers; beyond it, it starts anew.
 MEMORY = 500_000
 
@@ -58,6 +59,11 @@ def relevance_of(a: np.ndarray, m: np.ndarray, n0: float, n1: float, prior: floa
     return np.abs(np.log(u / p1 / (w / (1 - p1)))) / np.sqrt(1 / u + 1 / w)
 
 
+def expanded(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1 ... of each slice, one slice after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 class Index:
     """Postings of the examples' terms with block maxima."""
 
@@ -82,12 +88,11 @@ class Index:
         self.ids, self.labels = ids[order], labels[order]
         example = place[example]
         by_term = np.lexsort((example, term))
-        example, term, w = example[by_term], term[by_term], w[by_term].astype(np.float32)
-        self.postings = np.stack([example.astype(np.int32), w.view(np.int32)], 1).reshape(-1).view(np.int64)  # together, so that a list is one slice
-        new = np.append(True, (term[1:] != term[:-1]) | (example[1:] // BLOCK != example[:-1] // BLOCK))[: len(term)]
+        self.example, term, self.w = example[by_term], term[by_term], w[by_term]
+        new = np.append(True, (term[1:] != term[:-1]) | (self.example[1:] // BLOCK != self.example[:-1] // BLOCK))[: len(term)]
         self.begin = np.append(np.flatnonzero(new), len(term))  # of each (term, block) in the postings
-        self.block = example[self.begin[:-1]] // BLOCK
-        self.most = np.maximum.reduceat(w, self.begin[:-1]).astype(float) if len(term) else np.zeros(0)
+        self.block = self.example[self.begin[:-1]] // BLOCK
+        self.most = np.maximum.reduceat(self.w, self.begin[:-1]) if len(term) else np.zeros(0)
         self.blocks_of = np.searchsorted(term[self.begin[:-1]], np.arange(len(vocabulary) + 1))
         self.known: dict[str, tuple[int, ...]] = {}
         self.rate, self.steps, self.rates = 0.0, np.zeros(0), np.zeros(0)
@@ -106,44 +111,66 @@ class Index:
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
         i, c = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-        w = (1 + np.log(c)) * self.weight[i]
-        size = np.sqrt((w * w).sum())
-        return (i, w / size) if size > 0 else (i[:0], w[:0])
+        return self.unit(i, (1 + np.log(c)) * self.weight[i])
 
-    def nearest(self, i: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the k nearest examples with a cosine above 0; leave: an example to pass over."""
+    @staticmethod
+    def unit(i: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without zeros and of length 1."""
+        size = np.sqrt((w * w).sum())
+        return (i[w > 0], w[w > 0] / size) if size > 0 else (i[:0], w[:0])
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], leave: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query (terms, weights) the k nearest examples with a cosine above 0: query numbers, example numbers and cosines, the nearest first; leave: for each query an example to pass over."""
+        found, base, size = [], 0, 0
+        for n in range(len(queries)):
+            size += len(queries[n][0])
+            if n + 1 == len(queries) or size + len(queries[n + 1][0]) > AT_ONCE:
+                owner, which, cosine = self._nearest(queries[base : n + 1], leave[base : n + 1] if leave is not None else None)
+                found.append((owner + base, which, cosine))
+                base, size = n + 1, 0
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _nearest(self, queries, leave):
+        n, n_blocks = len(queries), max(-(-self.n // BLOCK), 1)
+        i, w = (np.concatenate([q[x] for q in queries]) for x in (0, 1))
+        owner = np.repeat(np.arange(n), [len(q[0]) for q in queries])
         size = self.blocks_of[i + 1] - self.blocks_of[i]
-        lists = np.repeat(self.blocks_of[i] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        q, term, block = np.repeat(w, size), np.repeat(i, size), self.block[lists]
-        n_blocks = -(-self.n // BLOCK)
-        bound = np.bincount(block, q * self.most[lists], n_blocks)
-        best = np.zeros(0, np.int64), np.zeros(0)
-        ranked = np.argsort(-bound, kind="stable")
-        for some in (ranked[:1], ranked[1:]):
-            least = best[1][self.k - 1] if len(best[1]) >= self.k else 0.0
-            visit = np.zeros(n_blocks, bool)
-            visit[some] = (bound[some] > 0) & (bound[some] + 1e-6 >= least)  # sums may be rounded
-            mine = np.flatnonzero(visit[block])
-            if not len(mine):
-                continue
-            here = lists[mine]
-            first = np.flatnonzero(np.append(True, (here[1:] != here[:-1] + 1) | (term[mine[1:]] != term[mine[:-1]])))  # blocks of a term that follow one another are one slice
-            begin, end = self.begin[here[first]], self.begin[here[np.append(first[1:], len(here)) - 1] + 1]
-            found = np.concatenate([self.postings[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]).view(np.int32)
-            cosine = np.bincount(found[::2], found[1::2].view(np.float32) * np.repeat(q[mine[first]], end - begin), self.n)
-            if leave >= 0:
-                cosine[leave] = 0
-            if len(cosine) > self.k:
-                least = max(least, np.partition(cosine, -self.k)[-self.k])
-            hit = np.flatnonzero((cosine > 0) & (cosine >= least))
-            which, cos = np.append(best[0], hit), np.append(best[1], cosine[hit])
-            order = np.lexsort((which, -cos))[: self.k]
-            best = which[order], cos[order]
-        return best
-
-    def vote(self, which: np.ndarray, cosine: np.ndarray) -> float:
+        lists = expanded(self.blocks_of[i], size)
+        q, cell = np.repeat(w, size), np.repeat(owner * n_blocks, size) + self.block[lists]
+        bound = np.bincount(cell, q * self.most[lists], n * n_blocks).reshape(n, n_blocks)
+
+        def scored(visit: np.ndarray) -> np.ndarray:
+            """The parts of the cosines that come from the blocks to visit, which are the whole cosines of their examples."""
+            mine = np.flatnonzero(visit.reshape(-1)[cell])
+            begin = self.begin[lists[mine]]
+            many = self.begin[lists[mine] + 1] - begin
+            at = expanded(begin, many)
+            return np.bincount(np.repeat(cell[mine] // n_blocks * self.n, many) + self.example[at], np.repeat(q[mine], many) * self.w[at], n * self.n).reshape(n, self.n)
+
+        def kth(cosine: np.ndarray) -> np.ndarray:
+            return np.partition(cosine, -self.k, axis=1)[:, -self.k] if self.n > self.k else np.zeros(n)
+
+        best = np.zeros((n, n_blocks), bool)
+        best[np.arange(n), bound.argmax(1)] = True
+        cosine = scored(best)
+        if leave is not None:
+            cosine[np.arange(n), leave] = 0
+        cosine += scored(~best & (bound > 0) & (bound + 1e-6 >= kth(cosine)[:, None]))  # sums may be rounded
+        if leave is not None:
+            cosine[np.arange(n), leave] = 0
+        row, which = np.nonzero((cosine > 0) & (cosine >= kth(cosine)[:, None]))
+        got = cosine[row, which]
+        order = np.lexsort((which, -got, row))
+        row, which, got = row[order], which[order], got[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < self.k
+        return row[keep], which[keep], got[keep]
+
+    def votes(self, queries, leave=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each query the share of weight that votes toxic (nan without a neighbour); and the neighbours."""
+        row, which, cosine = self.nearest(queries, leave)
         weight = 1 / (1.05 - np.minimum(cosine, 1))
-        return float((weight * self.labels[which]).sum() / weight.sum())
+        total = np.bincount(row, weight, len(queries))
+        return np.divide(np.bincount(row, weight * self.labels[which], len(queries)), total, out=np.full(len(queries), np.nan), where=total > 0), row, which
 
     def calibrate(self, rate: float, weights: np.ndarray, example: np.ndarray, term: np.ndarray, tf: np.ndarray, without: tuple[np.ndarray, np.ndarray]) -> None:
         """Pool-adjacent-violators over the examples' own votes, as if they were not among the training documents.
@@ -152,15 +179,13 @@ class Index:
         """
         self.rate = rate
         ends = np.searchsorted(example, np.arange(self.n + 1))
-        votes = []
+        labels, queries = self.labels[self.place], []
         for e in range(self.n):
             i = term[ends[e] : ends[e + 1]]
-            label = self.labels[self.place[e]]
-            w = (1 + np.log(tf[ends[e] : ends[e + 1]])) * without[label][i]
-            size = np.sqrt((w * w).sum())
-            which, cosine = self.nearest(i[w > 0], w[w > 0] / size, self.place[e]) if size > 0 else (i[:0], w[:0])
-            if len(which):
-                votes.append((self.vote(which, cosine), float(label), float(weights[label])))
+            w = (1 + np.log(tf[ends[e] : ends[e + 1]])) * without[labels[e]][i]
+            queries.append(self.unit(i, w))
+        vote = self.votes(queries, self.place.tolist())[0]
+        votes = [(float(v), float(y), float(weights[y])) for v, y in zip(vote, labels, strict=True) if v == v]
         pools: list[list[float]] = []  # least vote, sum of labels, weight
         for v, label, weight in sorted(votes):
             pools.append([v, label * weight, weight])
@@ -169,18 +194,16 @@ class Index:
                 pools[-1] = [pools[-1][0], pools[-1][1] + a, pools[-1][2] + b]
         self.steps, self.rates = np.array([p[0] for p in pools]), np.array([(p[1] + 0.02) / (p[2] + 0.04) for p in pools])
 
-    def score(self, text: str) -> tuple[float, list[int]]:
-        """A rate from 0 to 1, and the five nearest examples."""
+    def score(self, texts: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+        """A rate from 0 to 1 for each text, and its five nearest examples."""
         if not len(self.steps):
-            return self.rate, []
-        i, w = self.vector(text)
-        which, cosine = self.nearest(i, w) if len(i) else (i, w)
-        if not len(which):
-            return self.rate, []
-        vote = self.vote(which, cosine)
-        step = max(int(np.searchsorted(self.steps, vote, "right")) - 1, 0)
+            return np.full(len(texts), self.rate), [[] for _ in texts]
+        vote, row, which = self.votes([self.vector(t) for t in texts])
+        step = np.maximum(np.searchsorted(self.steps, vote, "right") - 1, 0)
         # a small share of the raw vote keeps the order within a step
-        return min(max(0.98 * float(self.rates[step]) + 0.02 * vote, 0.0), 1.0), self.ids[which[:5]].tolist()
+        rated = np.clip(0.98 * self.rates[np.minimum(step, len(self.rates) - 1)] + 0.02 * vote, 0, 1)
+        ends = np.searchsorted(row, np.arange(len(texts) + 1))
+        return np.where(np.isnan(vote), self.rate, rated), [self.ids[which[a : min(a + 5, b)]].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def counted(labelled: DataFrame) -> DataFrame:
@@ -206,16 +229,15 @@ def counted(labelled: DataFrame) -> DataFrame:
     return labelled.select("toxic", "text").mapInArrow(split, "term string, a long, m long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("m").alias("m"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, longest: int = 20_000, prior: float = 5.0, relevance: bool = True, k: int = 9) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 600, longest: int = 20_000, prior: float = 5.0, relevance: bool = True, k: int = 9) -> Index:
     """The index, from labelled rows of the training folds. The driver gets the vectors of at most `examples` texts of at most `longest` characters, and a row for each term of theirs."""
     here = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     truth = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = here.join(truth, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).persist(StorageLevel.DISK_ONLY)
+    labelled = here.join(small(checkpoint(truth)), "doc_id")  # read anew for each use: no text is shuffled or kept if the labels are few enough to broadcast
     totals = dict(labelled.groupBy("toxic").count().collect())
     n1, n0 = float(totals.get(1, 0)), float(totals.get(0, 0))
     none = np.zeros(0, np.int64)
     if not n1 or not n0:
-        labelled.unpersist()
         index = Index([], np.zeros(0), none, none, none, none, none, k)
         index.rate = 1.0 if n1 else 0.0
         return index
@@ -226,13 +248,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 4000, longest: int =
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["toxic"], pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "tf"])
 
     fitting = labelled.filter(F.length("text") <= longest)
-    sides = [fitting.filter(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples // 2) for x in (0, 1)]
-    drawn = sides[0].unionByName(sides[1]).mapInArrow(weigh, "doc_id long, toxic int, terms array<string>, tf array<int>").persist(StorageLevel.DISK_ONLY)
+    sides = [fitting.filter(F.col("toxic") == x).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(examples // 2) for x in (0, 1)]
+    drawn = checkpoint(sides[0].unionByName(sides[1]).mapInArrow(weigh, "doc_id long, toxic int, terms array<string>, tf array<int>"))
     got = drawn.toArrow().sort_by("doc_id").combine_chunks()
     wanted = drawn.select(F.explode("terms").alias("term")).distinct()
     stats = counted(labelled).join(wanted, "term", "left_semi").toArrow().sort_by("term").combine_chunks()
-    drawn.unpersist()
-    labelled.unpersist()
     a, m = (stats[c].to_numpy().astype(float) for c in ("a", "m"))
     vocabulary = stats["term"].to_pylist()
 
@@ -260,10 +280,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **kw) -
         ix = index.value
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
-                found = [ix.score(t) for t in b["text"].slice(lo, 1024).to_pylist()]
-                score = np.array([x[0] for x in found])
+                score, evidence = ix.score(b["text"].slice(lo, 1024).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [b["did"].slice(lo, 1024), b["held_out"].slice(lo, 1024), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([x[1] for x in found], pa.list_(pa.int64()))],
+                    [b["did"].slice(lo, 1024), b["held_out"].slice(lo, 1024), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
                     ["did", "held_out", "score", "predicted", "evidence"],
                 )
 
