@@ -104,9 +104,11 @@ def patch(c: Column, with_: Column) -> Column:
     return _joined(F.concat(kept, F.filter(new, lambda e: ~F.coalesce(F.is_variant_null(e["value"]), F.lit(True)))))
 
 
-def group_array(c: Column) -> Column:
-    """Aggregate to a JSON array, nulls included, in the values' order."""
-    return F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(quote(c))), ","), F.lit("]"))
+def group_array(c: Column, where: Column | None = None, order: Column | None = None) -> Column:
+    """Aggregate to a JSON array, nulls included, in the values' order or that of an expression; where: of the rows that meet a condition."""
+    pair = F.struct((order if order is not None else quote(c)).alias("o"), quote(c).alias("v"))
+    rows = F.collect_list(pair if where is None else F.when(where, pair))
+    return F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(rows), lambda p: p["v"]), ","), F.lit("]"))
 
 
 def group_object(key: Column, value: Column) -> Column:

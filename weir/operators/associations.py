@@ -11,10 +11,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .schema import plural, singular
+from .schema import SchemaError, plural, singular
 
 if TYPE_CHECKING:
     from .request import Request
@@ -31,6 +31,7 @@ class Association:
     pivot: Association | None = None  # origin to pivot
     target: Association | None = None  # pivot to destination
     on: Callable[[DataFrame, DataFrame], Column] | None = None
+    most: int | None = None  # rows of each origin, the first in the destination's order
 
     # refinement, before the join
     def _with(self, f: Callable[[Request], Request]) -> Association:
@@ -50,6 +51,25 @@ class Association:
     def order(self, *keys) -> Association:
         return self._with(lambda r: r.order(*keys))
 
+    def distinct(self) -> Association:
+        return self._with(lambda r: r.distinct())
+
+    def group(self, *columns) -> Association:
+        """The destination's rows grouped before the join; select aggregates and the key columns."""
+        return self._with(lambda r: r.group(*columns))
+
+    def having(self, condition) -> Association:
+        return self._with(lambda r: r.having(condition))
+
+    def limit(self, n: int) -> Association:
+        """At most n rows of each origin, the first in the association's order."""
+        return replace(self, most=n)
+
+    @property
+    def present(self) -> Column:
+        """Whether a row was found, where the association is joined optionally."""
+        return F.col(self.key).isNotNull()
+
     def including_required(self, a: Association) -> Association:
         return self._with(lambda r: r.including_required(a))
 
@@ -68,6 +88,13 @@ class Association:
     def same_path(self, other: Association) -> bool:
         return (self.origin, self.destination.table, self.left, self.right) == (other.origin, other.destination.table, other.left, other.right)
 
+    def population(self) -> tuple:
+        """What rows it leads to: equal for equal paths with the same conditions, limits and refinements."""
+        r = self.destination
+        own = (self.origin, r.table, self.left, self.right, self.most, self.on, tuple(map(id, r.filters)), tuple(map(id, r.conditions)), tuple(map(id, r.groups or ())), r.bounds, r.is_distinct, id(r.source) if r.source is not None else None)
+        joins = tuple((k, j.how, j.association.population()) for k, j in r.joins.items())
+        return (*own, joins, self.pivot and self.pivot.population(), self.target and self.target.population())
+
     def narrowed(self, other: Association) -> Association:
         """With the other's filters as well."""
         out = self
@@ -77,33 +104,53 @@ class Association:
         return out
 
     # lowering
+    @property
+    def orders(self):
+        return (self.target or self).destination.orders
+
     def rows(self) -> DataFrame:
-        """_k0 ...: values that the origin's columns must equal; _row: the destination's row."""
+        """_k0 ...: values that the origin's columns must equal; _row: the destination's row; _order: what the destination is ordered by."""
         if self.pivot is not None and self.target is not None:
-            middle = self.pivot.rows()
+            middle = self.pivot.rows().drop("_order")
             far = self.target.rows()
             n = len(self.target.left)
-            far = far.select(*[F.col(f"_k{i}").alias(f"_f{i}") for i in range(n)], F.col("_row").alias("_far"))
+            far = far.select(*[F.col(f"_k{i}").alias(f"_f{i}") for i in range(n)], F.col("_row").alias("_far"), "_order")
             on = [F.col(f"_row.{c}") == F.col(f"_f{i}") for i, c in enumerate(self.target.left)]
-            return middle.join(far, on).select(*[F.col(f"_k{i}") for i in range(len(self.left))], F.col("_far").alias("_row"))
-        d = replace(self.destination, orders=()).to_df()
-        hidden = [c for c in self.right if c not in d.columns]
-        if hidden:  # keys that a narrower selection left out still join
-            d = replace(self.destination, orders=(), added=(*self.destination.added, *[F.col(c).alias(f"_h_{c}") for c in hidden])).to_df()
-        shown = [F.col(c) for c in d.columns if not c.startswith("_h_")]
-        return d.select(*[F.col(c if c not in hidden else f"_h_{c}").alias(f"_k{i}") for i, c in enumerate(self.right)], F.struct(*shown).alias("_row"))
+            return self._limited(middle.join(far, on).select(*[F.col(f"_k{i}") for i in range(len(self.left))], F.col("_far").alias("_row"), "_order"))
+        r = replace(self.destination, orders=())
+        orders = [s.expression.alias(f"_h_o{i}") for i, s in enumerate(self.destination.orders)] if r.groups is None and not r.is_distinct else []
+        names = r.to_df().columns
+        hidden = [c for c in self.right if c not in names]  # keys that a narrower selection left out still join
+        if hidden or orders:
+            r = replace(r, added=(*r.added, *[F.col(c).alias(f"_h_{c}") for c in hidden], *orders))
+        d = r.to_df()
+        if self.destination.orders and not orders:  # what a grouping or distinct rows are ordered by is among their columns
+            d = d.withColumns({f"_h_o{i}": s.expression for i, s in enumerate(self.destination.orders)})
+        shown = [F.col(c) for c in names]
+        order = [F.col(f"_h_o{i}").alias(f"o{i}") for i in range(len(self.destination.orders))] or [F.lit(None).cast("int").alias("none")]
+        return self._limited(d.select(*[F.col(c if c not in hidden else f"_h_{c}").alias(f"_k{i}") for i, c in enumerate(self.right)], F.struct(*shown).alias("_row"), F.struct(*order).alias("_order")))
+
+    def _limited(self, rows: DataFrame) -> DataFrame:
+        if self.most is None:
+            return rows
+        keys = [c for c in rows.columns if c.startswith("_k")]
+        sorts = [replace(s, expression=F.col(f"_order.o{i}")).column() for i, s in enumerate(self.orders)] or [F.lit(0)]
+        ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*sorts)))
+        return ranked.filter(F.col("_n") <= self.most).drop("_n")
 
     def attach(self, df: DataFrame, key: str, how: str) -> DataFrame:
+        """df with the row in the column `key`, and in _order_<key> what it is ordered by."""
         if self.on is not None:
-            d = self.destination.to_df()
-            packed = d.select(F.struct(*d.columns).alias(key))
+            d = replace(self.destination, orders=()).to_df()
+            order = [s.expression.alias(f"o{i}") for i, s in enumerate(self.orders)] or [F.lit(None).cast("int").alias("none")]
+            packed = d.select(F.struct(*d.columns).alias(key), F.struct(*order).alias(f"_order_{key}"))
             return df.join(packed, self.on(df, packed), how)
-        rows = self.rows().withColumnRenamed("_row", key)
+        rows = self.rows().withColumnsRenamed({"_row": key, "_order": f"_order_{key}"})
         on = [df[c] == rows[f"_k{i}"] for i, c in enumerate(self.left)]
         return df.join(rows, on, how).drop(*[f"_k{i}" for i in range(len(self.left))])
 
     def semi(self, df: DataFrame, how: str) -> DataFrame:
-        rows = self.rows().drop("_row")
+        rows = self.rows().drop("_row", "_order")
         return df.join(rows, [df[c] == rows[f"_k{i}"] for i, c in enumerate(self.left)], how)
 
     def of(self, origins: DataFrame) -> Request:
@@ -121,12 +168,8 @@ class Association:
         rows = self.rows()
         keys = [f"_k{i}" for i in range(len(self.left))]
         rows = rows.dropna(subset=keys)
-        orders = self.destination.orders
-        marks = []
-        for i, s in enumerate(orders):
-            rows = rows.withColumn(f"_o{i}", field_of(s.expression))
-            marks.append((f"_o{i}", s))
-        packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[m for m, _ in marks], "_row")).alias("_all"))
+        marks = [(f"o{i}", s) for i, s in enumerate(self.orders)]
+        packed = rows.groupBy(*keys).agg(F.collect_list(F.struct(*[F.col(f"_order.{m}").alias(m) for m, _ in marks], "_row")).alias("_all"))
         if marks:
 
             def compare(a, b):
@@ -187,11 +230,6 @@ class Association:
         return self._of("total", lambda c: F.sum(c.cast("double")), column, 0.0)
 
 
-def field_of(expression: Column, key: str = "_row") -> Column:
-    """The same expression over the fields of a struct column, for a plain column name."""
-    return F.col(f"{key}.{expression._jc.toString()}") if hasattr(expression, "_jc") else expression
-
-
 @dataclass(frozen=True)
 class AggregateExpression:
     """An expression over association aggregates; equal needs are computed once."""
@@ -263,11 +301,17 @@ class AggregateExpression:
 
     @staticmethod
     def prepare(df: DataFrame, expressions: list[AggregateExpression]) -> DataFrame:
-        """df with a column for each need: one grouping and one left join for each association key."""
+        """df with a column for each need: one grouping and one left join for each association key.
+
+        One key means one population: differing ones under one key are refused, as their columns would have one name. Association.for_key tells them apart.
+        """
         by_key: dict[str, tuple[Association, dict]] = {}
         for e in expressions:
             for a, name, f, default in e.needs:
-                by_key.setdefault(a.key, (a, {}))[1][name] = (f, default)
+                first, wanted = by_key.setdefault(a.key, (a, {}))
+                if first.population() != a.population():
+                    raise SchemaError(f"aggregates of differing rows under the association key {a.key}: give one of them a key of its own")
+                wanted[name] = (f, default)
         for a, wanted in by_key.values():
             keys = [f"_k{i}" for i in range(len(a.left))]
             grouped = a.rows().groupBy(*keys).agg(*[f().alias(n) for n, (f, _) in wanted.items()])

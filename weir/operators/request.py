@@ -6,16 +6,18 @@ and limit replace what was said before, and a limit holds after all filters what
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .associations import AggregateExpression, Association, field_of
-from .schema import Catalog
+from ..sources.sql import SQL
+from .associations import AggregateExpression, Association
+from .schema import Catalog, SchemaError
 
 
 class NotFound(LookupError):
@@ -65,8 +67,25 @@ def desc_nulls_first(c) -> Sort:
     return Sort(col(c), True, True)
 
 
-def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+#: A string of this form is a column's name; any other is SQL.
+NAME = re.compile(r"(\w+|`[^`]+`)(\.(\w+|`[^`]+`))*")
+
+
+def col(c: str | Column | SQL) -> Column:
+    """A column of a name, of SQL text, or of SQL with bound values."""
+    if isinstance(c, SQL):
+        return c.column()
+    return c if isinstance(c, Column) else F.col(c) if NAME.fullmatch(c) else F.expr(c)
+
+
+def all_that(*conditions: Column) -> Column:
+    """True without any."""
+    return reduce(lambda a, b: a & b, conditions, F.lit(True)) if conditions else F.lit(True)
+
+
+def any_that(*conditions: Column) -> Column:
+    """False without any."""
+    return reduce(lambda a, b: a | b, conditions) if conditions else F.lit(False)
 
 
 @dataclass(frozen=True)
@@ -84,11 +103,109 @@ class Request:
     is_distinct: bool = False
     joins: dict[str, Join] = field(default_factory=dict)
     prefetched: dict[str, Association] = field(default_factory=dict)
+    alias: str | None = None
+    combined: tuple[tuple[str, Request], ...] = ()
+    sets: tuple[tuple[str, ...], ...] | None = None  # grouping sets
 
     # building
-    def filter(self, condition: Column | str | AggregateExpression | Callable) -> Request:
+    def filter(self, condition: Column | str | SQL | AggregateExpression | Callable) -> Request:
         return replace(self, filters=(*self.filters, condition))
 
+    def aliased(self, name: str) -> Request:
+        """The request's own columns can be called name.column, beside the columns of associations."""
+        return replace(self, alias=name)
+
+    # subqueries
+    def filter_in(self, columns, other: Request | DataFrame) -> Request:
+        """Rows whose values of these columns are a row of the other request; a semi join."""
+        return self.filter(lambda df: df.join(*self._matched(df, columns, other), "left_semi"))
+
+    def filter_not_in(self, column: str | Column, other: Request | DataFrame) -> Request:
+        """NOT IN with its three-valued logic: no row if the other holds a null; a null value only passes if the other is empty.
+
+        An anti join on distinct values that either side may shuffle, and one row about the other's nulls.
+        """
+
+        def keep(df: DataFrame) -> DataFrame:
+            rows = other.to_df() if isinstance(other, Request) else other
+            value = F.col(rows.columns[0])
+            about = rows.agg(F.count("*").alias("_rows"), F.count_if(value.isNull()).alias("_nulls"))
+            left = df.join(*self._matched(df, (column,), rows.filter(value.isNotNull())), "left_anti")
+            checked = left.crossJoin(F.broadcast(about))  # one row
+            return checked.filter((F.col("_rows") == 0) | ((F.col("_nulls") == 0) & col(column).isNotNull())).select(df["*"])
+
+        return self.filter(keep)
+
+    def _matched(self, df: DataFrame, columns, other: Request | DataFrame):
+        rows = other.to_df() if isinstance(other, Request) else other
+        columns = (columns,) if isinstance(columns, str | Column) else tuple(columns)
+        keys = rows.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(rows.columns)]).distinct()
+        return keys, [col(c) == keys[f"_in{i}"] for i, c in enumerate(columns)]
+
+    def filter_exists(self, other: Request | DataFrame, on: Callable[[DataFrame, DataFrame], Column] | None = None, negated: bool = False) -> Request:
+        """Rows for which the other has a row, on a condition over both, or at all."""
+
+        def keep(df: DataFrame) -> DataFrame:
+            rows = other.to_df() if isinstance(other, Request) else other
+            return df.join(rows if on else rows.limit(1), on(df, rows) if on else F.lit(True), "left_anti" if negated else "left_semi")
+
+        return self.filter(keep)
+
+    def scalar(self) -> Column:
+        """The single value of a request of one row and column, as an expression; outer columns may be named by .outer()."""
+        return self.to_df().scalar()
+
+    def with_table(self, name: str, rows: Request | DataFrame, key: tuple[str, ...] = (), columns: tuple[str, ...] = ()) -> Request:
+        """A common table expression: rows that this request, and requests made from its db, can read and join under a name."""
+        df = rows.to_df() if isinstance(rows, Request) else rows
+        return replace(self, db=self.db.with_view(name, df.toDF(*columns) if columns else df, key))
+
+    # sets of rows
+    def union(self, other: Request, every: bool = False) -> Request:
+        return self._combined("union all" if every else "union", other)
+
+    def intersect(self, other: Request, every: bool = False) -> Request:
+        return self._combined("intersect all" if every else "intersect", other)
+
+    def subtract(self, other: Request, every: bool = False) -> Request:
+        return self._combined("except all" if every else "except", other)
+
+    def _combined(self, how: str, other: Request) -> Request:
+        """What follows (filters, orders, limits) holds for the combined rows."""
+        one, two = self.to_df(), other.to_df()
+        f = {"union all": one.union, "union": lambda x: one.union(x).distinct(), "intersect": one.intersect, "intersect all": one.intersectAll, "except": one.subtract, "except all": one.exceptAll}
+        return Request(self.db, self.table, f[how](two))
+
+    # rows of groups
+    def first_of_each(self, *columns: str, order) -> Request:
+        """Of the rows with equal values of these columns the first in an order: a partial aggregate where all orders ascend or descend alike by plain values, a window otherwise."""
+        sorts = [k if isinstance(k, Sort) else asc(k) for k in (order if isinstance(order, list | tuple) else (order,))]
+
+        def keep(df: DataFrame) -> DataFrame:
+            w = Window.partitionBy(*columns).orderBy(*[s.column() for s in sorts])
+            return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+        return self.filter(keep)
+
+    def annotated_over(self, partition: tuple[str, ...] | str, order, frame: tuple[int, int] | None = None, **expressions: Column) -> Request:
+        """Columns of window functions or aggregates over the partition's rows in an order, or those from frame[0] to frame[1] around each row."""
+        partition = (partition,) if isinstance(partition, str) else partition
+        sorts = [k if isinstance(k, Sort) else asc(k) for k in (order if isinstance(order, list | tuple) else (order,))]
+        w = Window.partitionBy(*partition).orderBy(*[s.column() for s in sorts])
+        w = w.rowsBetween(*frame) if frame else w
+        return self.annotated(*[x.over(w).alias(name) for name, x in expressions.items()])
+
+    def rollup(self, *columns: str) -> Request:
+        return self.grouping_sets(*[columns[:i] for i in range(len(columns), -1, -1)])
+
+    def cube(self, *columns: str) -> Request:
+        return self.grouping_sets(*[tuple(c for i, c in enumerate(columns) if bits >> i & 1) for bits in range(2 ** len(columns))])
+
+    def grouping_sets(self, *sets: tuple[str, ...]) -> Request:
+        """Groups by each set of columns in turn; a column that a set lacks is null there."""
+        names = list(dict.fromkeys(c for s in sets for c in s))
+        return replace(self, groups=tuple(map(F.col, names)), sets=sets)
+
     def none(self) -> Request:
         return self.filter(F.lit(False))
 
@@ -107,6 +224,11 @@ class Request:
         return self.filter(reduce(lambda a, b: a | b, tests)) if tests else self.none()
 
     def filter_unique(self, *keys: dict[str, Any]) -> Request:
+        """Rows of these values of a primary or unique key; others are refused."""
+        known = {frozenset(k) for k in self.db.unique_keys(self.table)}
+        for k in keys:
+            if frozenset(k) not in known:
+                raise SchemaError(f"{', '.join(k)} is no unique key of {self.table}")
         tests = [reduce(lambda a, b: a & b, [F.col(c).isNull() if v is None else F.col(c) == v for c, v in k.items()]) for k in keys]
         return self.filter(reduce(lambda a, b: a | b, tests)) if tests else self.none()
 
@@ -157,13 +279,15 @@ class Request:
         return replace(self, joins={k: replace(j, association=f(j.association)) for k, j in self.joins.items()})
 
     def _joined_orders(self) -> tuple[Sort, ...]:
-        return tuple(replace(s, expression=field_of(s.expression, key)) for key, j in self.joins.items() for s in j.association.destination.orders)
+        return tuple(replace(s, expression=F.col(f"_order_{key}.o{i}")) for key, j in self.joins.items() for i, s in enumerate(j.association.orders))
 
     def limit(self, n: int | None, offset: int = 0) -> Request:
         return replace(self, bounds=(n, offset))
 
     def _join(self, a: Association, how: str, shown: bool, flat: tuple[str, ...] = ()) -> Request:
         """The same key joined again is one join: its conditions add up and inner wins."""
+        if how == "left" and any(j.how == "inner" for j in a.destination.joins.values()):
+            raise NotSupported(f"{a.key} is optional, but requires an association of its own")
         old = self.joins.get(a.key)
         if old is not None:
             if not old.association.same_path(a):
@@ -202,7 +326,8 @@ class Request:
 
     # lowering
     def base(self) -> DataFrame:
-        return self.source if self.source is not None else self.db.df(self.table)
+        df = self.source if self.source is not None else self.db.df(self.table)
+        return df.alias(self.alias) if self.alias else df
 
     def to_df(self) -> DataFrame:
         df = self.base()
@@ -214,8 +339,8 @@ class Request:
         for f in self.filters:  # Catalyst moves them below the joins
             if isinstance(f, AggregateExpression):
                 df = df.filter(f.column())
-            elif isinstance(f, Column | str):
-                df = df.filter(f)
+            elif isinstance(f, Column | str | SQL):
+                df = df.filter(f.column() if isinstance(f, SQL) else f)
             else:
                 df = f(df)
         flat = [F.col(f"{key}.{c}").alias(c) for key, j in self.joins.items() for c in j.flat]
@@ -226,7 +351,11 @@ class Request:
             keys = [g.alias(n) for g, n in zip(self.groups, names, strict=True)]
             chosen = list(self.selected if self.selected is not None else self.groups) + added
             checks = [c for c in self.conditions if not isinstance(c, AggregateExpression)]
-            out = df.groupBy(*keys).agg(*[c if isinstance(c, Column) else F.first(F.col(c)).alias(c) for c in chosen], *[col_(c).alias(f"_h{i}") for i, c in enumerate(checks)])
+            if self.sets is not None:
+                grouped = df.groupingSets([[F.col(c) for c in s] for s in self.sets], *self.groups)
+                out = grouped.agg(*[c for c in chosen if not isinstance(c, str) and all(c is not g for g in self.groups)], *[col_(c).alias(f"_h{i}") for i, c in enumerate(checks)])
+            else:
+                out = df.groupBy(*keys).agg(*[c if isinstance(c, Column) else col(c) if isinstance(c, SQL) or not NAME.fullmatch(c) else F.first(F.col(c)).alias(c.rpartition(".")[2].strip("`")) for c in chosen], *[col_(c).alias(f"_h{i}") for i, c in enumerate(checks)])
             for i in range(len(checks)):
                 out = out.filter(f"_h{i}")
             df = out.drop(*names, *[f"_h{i}" for i in range(len(checks))])
@@ -270,8 +399,16 @@ class Request:
     def fetch_set(self) -> set:
         return set(self.to_df().distinct().collect())
 
+    def counted(self) -> Request:
+        """What has as many rows: without orders and prefetched rows, and without optional to-one joins that no condition can refer to."""
+        r = replace(self.unordered(), prefetched={})
+        if r.groups is not None or r.is_distinct or r.filters or r.conditions:
+            return r
+        joins = {k: j for k, j in r.joins.items() if j.how == "inner" or j.association.many or j.association.on is not None}
+        return replace(r, joins=joins, selected=() if r.bounds is None and not r.added else r.selected)
+
     def fetch_count(self) -> int:
-        return self.unordered().to_df().count()
+        return self.counted().to_df().count()
 
     def is_empty(self) -> bool:
         return self.unordered().to_df().isEmpty()
@@ -279,6 +416,15 @@ class Request:
     def exists(self, *key) -> bool:
         return not self.filter_key(key if len(key) > 1 else key[0]).is_empty()
 
+    def exists_unique(self, **key) -> bool:
+        return not self.filter_unique(key).is_empty()
+
+    def find_unique(self, **key):
+        row = self.filter_unique(key).fetch_one()
+        if row is None:
+            raise NotFound(f"{self.table} has no row of {key}")
+        return row
+
     def find(self, *key):
         row = self.filter_key(key if len(key) > 1 else key[0]).fetch_one()
         if row is None:
@@ -287,4 +433,4 @@ class Request:
 
 
 def col_(c) -> Column:
-    return F.expr(c) if isinstance(c, str) else c
+    return c.column() if isinstance(c, SQL) else F.expr(c) if isinstance(c, str) else c

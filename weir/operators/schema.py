@@ -30,17 +30,20 @@ class ForeignKey:
 
 @dataclass(frozen=True)
 class TableMeta:
-    """pk: primary key columns, empty if the table has none."""
+    """pk: primary key columns, empty if the table has none. unique: further keys, in which nulls are distinct. required: columns without nulls besides the
+    primary key's. checks: by name, SQL that no row may make false. defaults: by column, SQL for a value that a new row lacks."""
 
     name: str
     pk: tuple[str, ...] = ()
     fks: tuple[ForeignKey, ...] = ()
     unique: tuple[tuple[str, ...], ...] = ()
-    columns: tuple[str, ...] = field(default=())
+    required: tuple[str, ...] = ()
+    checks: dict[str, str] = field(default_factory=dict)
+    defaults: dict[str, str] = field(default_factory=dict)
 
 
-def _meta(name, pk=(), **fks):
-    return TableMeta(name, tuple(pk), tuple(ForeignKey((c,), t, (to,)) for c, (t, to) in fks.items()))
+def _meta(name, pk=(), unique=(), **fks):
+    return TableMeta(name, tuple(pk), tuple(ForeignKey((c,), t, (to,)) for c, (t, to) in fks.items()), unique)
 
 
 #: Keys of the driver's tables; the files themselves hold none.
@@ -48,8 +51,8 @@ METAS = {
     m.name: m
     for m in (
         _meta("region", ["r_regionkey"]),
-        _meta("nation", ["n_nationkey"], n_regionkey=("region", "r_regionkey")),
-        _meta("customer", ["c_custkey"], c_nationkey=("nation", "n_nationkey")),
+        _meta("nation", ["n_nationkey"], (("n_name",),), n_regionkey=("region", "r_regionkey")),
+        _meta("customer", ["c_custkey"], (("c_name",),), c_nationkey=("nation", "n_nationkey")),
         _meta("supplier", ["s_suppkey"], s_nationkey=("nation", "n_nationkey")),
         _meta("part", ["p_partkey"]),
         _meta("orders", ["o_orderkey"], o_custkey=("customer", "c_custkey")),
@@ -94,6 +97,20 @@ class Catalog:
         """Another catalog with these tables in the place of those of the same names."""
         return Catalog(self.spark, self.folder, self.tables | tables, self.metas)
 
+    def created(self, name: str, schema: str, meta: TableMeta | None = None) -> Catalog:
+        """With an empty table of these columns (a DDL string)."""
+        if name in self.tables:
+            raise SchemaError(f"there is a table {name}")
+        return Catalog(self.spark, self.folder, self.tables | {name: self.spark.createDataFrame([], schema)}, self.metas | {name: meta or TableMeta(name)})
+
+    def dropped(self, name: str) -> Catalog:
+        """Without the table; others must not refer to it."""
+        children = sorted(m.name for m in self.metas.values() if m.name != name and any(fk.table == name for fk in m.fks))
+        if children:
+            raise SchemaError(f"{', '.join(children)} refer to {name}")
+        rest = lambda d: {k: v for k, v in d.items() if k != name}
+        return Catalog(self.spark, self.folder, rest(self.tables), rest(self.metas))
+
     def with_view(self, name: str, df: DataFrame, key: tuple[str, ...] = ()) -> Catalog:
         """A named query with the key that its rows have; it is read like a table."""
         return Catalog(self.spark, self.folder, self.tables | {name: df}, self.metas | {name: TableMeta(name, key)})

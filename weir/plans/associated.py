@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators.associations import associated_on, belongs_to, has_many, has_one, through
 from ..operators.request import Request, desc
+from ..operators.schema import Catalog, ForeignKey, TableMeta
 from .catalog import query
 
 
@@ -61,11 +62,49 @@ def join_through(db):
     return customer.including_required(items).to_df().select("c_custkey", "items.l_partkey").distinct()
 
 
-@query("SELECT a.n_name AS name, b.n_name AS other FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query("SELECT a.s_suppkey AS one, b.s_suppkey AS other FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal")
 def join_self_on_condition(db):
-    (nation,) = requests(db, "nation")
-    a = associated_on(nation, nation, "other", lambda df, o: (df["n_regionkey"] == o["other"]["n_regionkey"]) & (df["n_nationkey"] < o["other"]["n_nationkey"]))
-    return nation.including_required(a).to_df().select(F.col("n_name").alias("name"), F.col("other.n_name").alias("other"))
+    (supplier,) = requests(db, "supplier")
+    a = associated_on(supplier, supplier, "other", lambda df, o: (df["s_nationkey"] == o["other"]["s_nationkey"]) & (df["s_acctbal"] < o["other"]["s_acctbal"]))
+    return supplier.aliased("mine").including_required(a).to_df().select(F.col("s_suppkey").alias("one"), F.col("other.s_suppkey").alias("other"))
+
+
+@query("SELECT s.s_suppkey, c.c_custkey FROM supplier s JOIN customer c ON c.c_nationkey = s.s_nationkey WHERE s.s_acctbal > c.c_acctbal + 9000")
+def join_aliased(db):
+    """A condition over the request's alias and the association's key."""
+    supplier, customer = requests(db, "supplier", "customer")
+    near = associated_on(supplier, customer, "c", lambda df, o: df["s_nationkey"] == o["c"]["c_nationkey"])
+    r = supplier.aliased("s").including_required(near).filter("s.s_acctbal > c.c_acctbal + 9000")
+    return r.select("s.s_suppkey", "c.c_custkey").to_df().drop("c")
+
+
+@query("SELECT doc_id, quality IS NOT NULL AS labelled FROM documents LEFT JOIN labels USING (doc_id)")
+def join_row_exists(db):
+    documents, labels = requests(db, "documents", "labels")
+    label = has_one(documents, labels)
+    return documents.joining_optional(label).select("doc_id", label.present.alias("labelled")).to_df()
+
+
+@query("SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 0")
+def join_one_through(db):
+    customer, nation, region = requests(db, "customer", "nation", "region")
+    home = through(belongs_to(customer, nation), belongs_to(nation, region))
+    return customer.filter("c_acctbal > 0").annotated_with_required(home, "r_name").select("c_custkey").to_df()
+
+
+@query("SELECT c_custkey, n, most FROM customer JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY o_custkey HAVING count(*) > 12) ON o_custkey = c_custkey")
+def join_grouped(db):
+    """The association's rows are grouped, and their groups filtered, before the join."""
+    customer, orders = requests(db, "customer", "orders")
+    busy = has_many(customer, orders, key="busy").group("o_custkey").select("o_custkey", F.count("*").alias("n"), F.max("o_totalprice").alias("most")).having("count(*) > 12")
+    return customer.annotated_with_required(busy, "n", "most").select("c_custkey").to_df()
+
+
+@query("SELECT p_partkey, s FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey")
+def join_distinct(db):
+    part, lineitem = requests(db, "part", "lineitem")
+    makers = has_many(part, lineitem, key="makers").filter("l_quantity > 45").select("l_partkey", F.col("l_suppkey").alias("s")).distinct()
+    return part.annotated_with_required(makers, "s").select("p_partkey").to_df()
 
 
 @query("SELECT n_nationkey, coalesce(string_agg(s_name, ',' ORDER BY s_acctbal DESC, s_suppkey), '') AS names FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY n_nationkey")
@@ -75,6 +114,27 @@ def prefetch_ordered(db):
     return df.select("n_nationkey", F.array_join(F.transform("suppliers", lambda s: s["s_name"]), ",").alias("names"))
 
 
+@query("SELECT c_custkey, coalesce((SELECT string_agg(o_orderkey, ',' ORDER BY abs(o_totalprice - 100000), o_orderkey) FROM (SELECT * FROM orders WHERE o_custkey = c_custkey ORDER BY abs(o_totalprice - 100000), o_orderkey LIMIT 3)), '') AS nearest FROM customer")
+def prefetch_limited(db):
+    """At most three rows of each parent, in the order of an expression."""
+    customer, orders = requests(db, "customer", "orders")
+    some = has_many(customer, orders).order(F.abs(F.col("o_totalprice") - 100000), "o_orderkey").limit(3)
+    df = customer.including_all(some).to_df()
+    return df.select("c_custkey", F.array_join(F.transform("orders", lambda o: o["o_orderkey"].cast("string")), ",").alias("nearest"))
+
+
+@query("SELECT conv_id, turn, length(text) AS n, CASE WHEN turn > 0 THEN 1 ELSE 0 END AS before FROM conversations")
+def prefetch_composite_key(db):
+    """An association over two columns: the turn before each turn."""
+    c = db.df("conversations")
+    later = c.select("conv_id", "turn", (F.col("turn") - 1).alias("previous"), "text")
+    metas = {"later": TableMeta("later", ("conv_id", "turn"), (ForeignKey(("conv_id", "previous"), "conversations", ("conv_id", "turn")),)), "conversations": db.meta("conversations")}
+    both = Catalog(db.spark, tables={"later": later, "conversations": c.select("conv_id", "turn")}, metas=metas)
+    one = belongs_to(Request(both, "later"), Request(both, "conversations"), key="earlier")
+    df = Request(both, "later").including_all(one).to_df()
+    return df.select("conv_id", "turn", F.length("text").alias("n"), F.size("earlier").alias("before"))
+
+
 @query("SELECT r_regionkey, count(c_custkey) AS n FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 8000 GROUP BY r_regionkey")
 def prefetch_through(db):
     region, nation, customer = requests(db, "region", "nation", "customer")
@@ -97,6 +157,20 @@ def aggregate_values(db):
     return nation.select("n_nationkey", c.average("c_acctbal").map(lambda x: F.round(x, 4)), c.min("c_acctbal"), c.max("c_acctbal"), c.sum("c_acctbal").map(two).for_key("balance"), s.total("s_acctbal").map(two)).to_df()
 
 
+@query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000) AS dear, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS \"orderCount\" FROM customer")
+def aggregate_two_populations(db):
+    """Differing rows of one table, each under a key of its own."""
+    customer, orders = requests(db, "customer", "orders")
+    o = has_many(customer, orders)
+    return customer.select("c_custkey", o.filter("o_totalprice > 150000").for_key("dearOrders").count.for_key("dear"), o.count).to_df()
+
+
+@query("SELECT p_partkey, coalesce(hi, -1) AS most FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS hi FROM lineitem WHERE l_discount > 0.09 GROUP BY l_partkey) ON l_partkey = p_partkey")
+def aggregate_if_null(db):
+    part, lineitem = requests(db, "part", "lineitem")
+    return part.select("p_partkey", has_many(part, lineitem, key="items").filter("l_discount > 0.09").max("l_quantity").if_null(-1).for_key("most")).to_df()
+
+
 @query("SELECT c_custkey FROM customer JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n > 8 AND m > 200000")
 def aggregate_having(db):
     customer, orders = requests(db, "customer", "orders")
@@ -131,8 +205,6 @@ def anti_join(db):
 
 @query("SELECT l_orderkey, l_partkey, missing FROM (SELECT l_orderkey, l_partkey, 'part' AS missing FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2))")
 def foreign_key_violations(db):
-    from ..operators.schema import Catalog, ForeignKey, TableMeta
-
     metas = {"lineitem": TableMeta("lineitem", (), (ForeignKey(("l_partkey",), "part", ("p_partkey",)),))}
     small = Catalog(db.spark, tables={"lineitem": db.df("lineitem"), "part": db.df("part").filter("p_size > 2")}, metas=metas)
     return small.violations("lineitem").select("l_orderkey", "l_partkey", "missing")
@@ -140,10 +212,12 @@ def foreign_key_violations(db):
 
 @query("SELECT o_orderkey, n_name AS supplier_nation, sum(l_quantity) AS quantity FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN nation ON s_nationkey = n_nationkey GROUP BY o_orderkey, n_name")
 def join_star(db):
-    o, c, li, s, n = (db.df(t) for t in ("orders", "customer", "lineitem", "supplier", "nation"))
-    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(li, F.col("l_orderkey") == F.col("o_orderkey"))
-    j = j.join(s, (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("o_orderkey", F.col("n_name").alias("supplier_nation")).agg(F.sum("l_quantity").alias("quantity"))
+    lines, orders, customer, supplier, nation = requests(db, "lineitem", "orders", "customer", "supplier", "nation")
+    order = belongs_to(lines, orders, key="o").including_required(belongs_to(orders, customer, key="c"))
+    maker = belongs_to(lines, supplier, key="s").including_required(belongs_to(supplier, nation, key="n"))
+    r = lines.joining_required(order).joining_required(maker).filter("s.s_nationkey = o.c.c_nationkey")
+    grouped = r.group("o.o_orderkey", "s.n.n_name").select("o.o_orderkey", "s.n.n_name", F.sum("l_quantity").alias("quantity"))
+    return grouped.to_df().withColumnRenamed("n_name", "supplier_nation")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

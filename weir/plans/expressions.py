@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import dialect as D
 from ..functions import json as J
 from ..functions import search as S
+from ..functions.text_index import TextIndex, Tokenizer
 from ..operators.request import Request, desc
 from .catalog import query
 
@@ -57,9 +58,17 @@ def json_extract(db):
     return db.df("events").select("event_id", J.is_valid(p).alias("ok"), J.extract(p, "$.k").alias("k"), (J.extract(p, "$.k").cast("long") + 1).alias("k1"), J.extract(p, "$.none").alias("missing"))
 
 
-@query("SELECT n_nationkey, '[' || n_nationkey || ',\"' || n_name || '\",null]' AS a, '{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\",\"none\":null}' AS o FROM nation")
+@query("""SELECT p_partkey, '[' || p_partkey || ',"' || p_name || '",null]' AS a, '{"id":' || p_partkey || ',"name":"' || p_name || '","none":null}' AS o FROM part""")
 def json_build(db):
-    return db.df("nation").select("n_nationkey", J.array(F.col("n_nationkey"), F.col("n_name"), F.lit(None)).alias("a"), J.object_(id=F.col("n_nationkey"), name=F.col("n_name"), none=F.lit(None)).alias("o"))
+    c = F.col
+    return db.df("part").select("p_partkey", J.array(c("p_partkey"), c("p_name"), F.lit(None)).alias("a"), J.object_(id=c("p_partkey"), name=c("p_name"), none=F.lit(None)).alias("o"))
+
+
+@query("""SELECT event_id, '[' || (props ->> '$.k') || ',null]' AS many, (props ->> '$.k') AS k, '"' || event_type || '"' AS t, '{"k":' || (props ->> '$.k') || '}' AS small FROM events""")
+def json_forms(db):
+    p = F.col("props")
+    tagged = J.set_(p, "t", F.col("event_type"))
+    return db.df("events").select("event_id", J.extract_many(p, "$.k", "$.none").alias("many"), J.represent(p, "$.k").alias("k"), J.represent(tagged, "$.t").alias("t"), J.minified(p).alias("small"))
 
 
 @query("SELECT event_id, '{\"k\":' || (props ->> '$.k') || ',\"t\":\"' || event_type || '\"}' AS added, '{\"k\":\"' || event_type || '\"}' AS put, '{}' AS gone, '{\"z\":1}' AS patched FROM events")
@@ -75,36 +84,48 @@ def json_types(db):
     return db.df("events").select("event_id", J.type_name(p, "$.k").alias("k"), J.type_name(p).alias("o"), J.array_length(two).cast("long").alias("n"), J.array_length(p).cast("long").alias("none"))
 
 
-@query("SELECT n_regionkey, '[' || string_agg('\"' || n_name || '\"', ',' ORDER BY n_name) || ']' AS names, '{' || string_agg('\"' || n_nationkey || '\":\"' || n_name || '\"', ',' ORDER BY '\"' || n_nationkey || '\":\"' || n_name || '\"') || '}' AS by_key FROM nation GROUP BY n_regionkey")
+@query("""SELECT user_id, '[' || string_agg('"' || event_type || '"', ',' ORDER BY ts, event_id) || ']' AS kinds, coalesce('[' || string_agg(event_id, ',' ORDER BY event_id::VARCHAR) FILTER (value > 50) || ']', '[]') AS dear,
+'{' || string_agg('"' || event_id || '":"' || event_type || '"', ',' ORDER BY '"' || event_id || '":"' || event_type || '"') || '}' AS by_id FROM events GROUP BY user_id""")
 def json_group(db):
-    return db.df("nation").groupBy("n_regionkey").agg(J.group_array(F.col("n_name")).alias("names"), J.group_object(F.col("n_nationkey"), F.col("n_name")).alias("by_key"))
+    c = F.col
+    kinds = J.group_array(c("event_type"), order=F.struct("ts", "event_id"))
+    return Request(db, "events").group("user_id").select("user_id", kinds.alias("kinds"), J.group_array(c("event_id"), where=c("value") > 50).alias("dear"), J.group_object(c("event_id"), c("event_type")).alias("by_id")).to_df()
 
 
 TOKENS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}]+'), lambda t: t <> '')"
 
 
-def _tokens():
-    return F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
+#: Lower-case tokens whose letters keep their marks.
+KEPT = Tokenizer(diacritics="keep")
+
+
+def _index(db):
+    return TextIndex.stored(db.df("documents"), "doc_id", ("text",), KEPT)
 
 
 @query(f"SELECT doc_id, list_has_any({TOKENS}, ['idiot', 'license', 'thation']) AS any_word, list_has_all({TOKENS}, ['the', 'and', 'of']) AS all_words FROM documents")
 def search_words(db):
-    return db.df("documents").select("doc_id", S.any_of(_tokens(), ["idiot", "license", "thation"]).alias("any_word"), S.all_of(_tokens(), ["the", "and", "of"]).alias("all_words"))
+    """Flags for all documents, from the postings of six words."""
+    index = _index(db)
+    flag = lambda keys, name: keys.withColumn(name, F.lit(True))
+    found = flag(index.any_of(["idiot", "license", "thation"]), "any_word").join(flag(index.all_of(["the", "and", "of"]), "all_words"), "doc_id", "full")
+    out = db.df("documents").select("doc_id").join(found, "doc_id", "left")
+    return out.select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("any_word", "all_words")])
 
 
 @query(f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' all rights reserved ')")
 def search_phrase(db):
-    return db.df("documents").filter(S.phrase(_tokens(), ["all", "rights", "reserved"])).select("doc_id")
+    return _index(db).phrase(["all", "rights", "reserved"])
 
 
 @query(f"SELECT doc_id FROM documents WHERE {TOKENS}[1:2] = ['the', 'and']")
 def search_first_phrase(db):
-    return db.df("documents").filter(S.first_phrase(_tokens(), ["the", "and"])).select("doc_id")
+    return _index(db).phrase(["the", "and"], first=True)
 
 
 @query(f"SELECT doc_id FROM documents WHERE len(list_filter({TOKENS}, lambda t: starts_with(t, 'licens'))) > 0 AND len(list_filter({TOKENS}, lambda t: starts_with(t, 'gen'))) > 0")
 def search_prefixes(db):
-    return db.df("documents").filter(S.all_prefixes(_tokens(), ["licens", "gen"])).select("doc_id")
+    return _index(db).all_prefixes(["licens", "gen"])
 
 
 @query(f"""WITH t AS (SELECT doc_id, {TOKENS} AS k FROM documents), f AS (SELECT doc_id, len(k) AS n, len(list_filter(k, lambda x: x = 'license')) AS f0, len(list_filter(k, lambda x: x = 'stupid')) AS f1 FROM t),
@@ -112,7 +133,54 @@ s AS (SELECT count(*) AS d, avg(n) AS a, count(*) FILTER (f0 > 0) AS d0, count(*
 i AS (SELECT *, CASE WHEN ln((d - d0 + 0.5) / (d0 + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - d0 + 0.5) / (d0 + 0.5)) END AS i0, CASE WHEN ln((d - d1 + 0.5) / (d1 + 0.5)) <= 0 THEN 1e-6 ELSE ln((d - d1 + 0.5) / (d1 + 0.5)) END AS i1 FROM s)
 SELECT doc_id, round(-(i0 * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * n / a)) + i1 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * n / a))), 6) AS rank FROM f, i WHERE f0 > 0 OR f1 > 0""")
 def search_ranked(db):
-    return S.bm25(db.df("documents").select("doc_id", "text"), "doc_id", _tokens(), ["license", "stupid"]).select("doc_id", F.round("rank", 6).alias("rank"))
+    return _index(db).ranked(["license", "stupid"]).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {TOKENS} AS k FROM documents) WHERE len(list_filter(range(1, len(k) + 1), lambda i: k[i] = 'licensed' AND list_contains(k[greatest(i - 3, 1):i + 3], 'under'))) > 0")
+def search_near(db):
+    return _index(db).near("licensed", "under", 2)
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'fr' AND false")
+def search_nothing(db):
+    """No pattern finds nothing."""
+    return _index(db).any_of(None)
+
+
+@query(f"SELECT page_id, list_contains({TOKENS.replace('text', 'url')}, 'example') AS in_url FROM pages WHERE list_has_any(list_concat({TOKENS.replace('text', 'url')}, {TOKENS.replace('text', 'html')}), ['example', 'title'])")
+def search_columns(db):
+    """An index of two columns, searched in both and in one."""
+    index = TextIndex.stored(db.df("pages"), "page_id", ("url", "html"), KEPT)
+    found = index.any_of(["example", "title"])
+    mine = index.within("url").any_of(["example"]).withColumn("in_url", F.lit(True))
+    return found.join(mine, "page_id", "left").select("page_id", F.coalesce("in_url", F.lit(False)).alias("in_url"))
+
+
+@query("SELECT doc_id, len(k) AS n FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9\\x{80}-\\x{10FFFF}]+'), lambda t: t <> '') AS k FROM documents)")
+def search_ascii_tokens(db):
+    return db.df("documents").select("doc_id", F.size(Tokenizer("ascii").tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, len(k) AS n FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}.@]+'), lambda t: t <> '') AS k FROM documents)")
+def search_token_options(db):
+    """Letters, points and at-signs make tokens; digits do not."""
+    options = Tokenizer(diacritics="keep", categories=("L",), token_characters=".@")
+    return db.df("documents").select("doc_id", F.size(options.tokens(F.col("text"))).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE list_has_any({TOKENS}, ['idiot', 'moron', 'fool'])")
+def search_synonyms(db):
+    """Two words are stored as a third as well."""
+    synonyms = Tokenizer(diacritics="keep", synonyms={"idiot": ("fool",), "moron": ("fool",)})
+    return TextIndex.stored(db.df("documents"), "doc_id", ("text",), synonyms).any_of(["fool"])
+
+
+@query(f"SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 AND list_contains({TOKENS}, 'license') OR doc_id % 7 = 1")
+def search_updated(db):
+    """An index that follows its content: documents deleted and rewritten."""
+    d = db.df("documents")
+    now = _index(db).updated(d.filter("doc_id % 7 = 1").withColumn("text", F.concat("text", F.lit(" license"))), d.filter("doc_id % 7 = 0"))
+    return now.any_of(["license"])
 
 
 @query(f"SELECT doc_id, len(k) AS n, md5(array_to_string(k, ' ')) AS digest FROM (SELECT doc_id, {TOKENS.replace('lower(text)', 'strip_accents(lower(text))')} AS k FROM documents)")
@@ -124,8 +192,7 @@ def search_tokens(db):
 @query()
 def search_stemmed(db):
     """Documents by the stem of a word; the tests hold it against an embedded database's index."""
-    wanted = [S.stem("licensed")]
-    return db.df("documents").filter(S.any_of(S.stems(S.unicode_tokens(F.col("text"))), wanted)).select("doc_id")
+    return TextIndex.stored(db.df("documents"), "doc_id", ("text",), Tokenizer(stem=True)).any_of(["licensed"])
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer ORDER BY lower(c_mktsegment), c_custkey LIMIT 40")
@@ -186,3 +253,27 @@ def json_merge_patch(db):
 def json_binary(db):
     stored = db.df("events").select("event_id", J.binary(J.set_at(F.col("props"), "$.t", F.col("event_type"))).alias("v"))
     return stored.select("event_id", J.binary_extract(F.col("v"), "$.k", "long").alias("k"), J.binary_extract(F.col("v"), "$.t", "string").alias("t"))
+
+
+@query("SELECT p_partkey, list_aggregate(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS titled, hex(p_brand) AS bytes, round(p_retailprice, 1) AS about, trim(p_name, 'P') AS bare, nullif(p_size, 7) AS size, printf('%05d', p_partkey) AS padded FROM part")
+def text_forms(db):
+    c = F.col
+    return db.df("part").select("p_partkey", D.capitalized(c("p_type")).alias("titled"), F.hex("p_brand").alias("bytes"), F.round("p_retailprice", 1).alias("about"), F.btrim("p_name", F.lit("P")).alias("bare"), F.nullif(c("p_size"), F.lit(7)).alias("size"), F.format_string("%05d", "p_partkey").alias("padded"))
+
+
+@query("SELECT event_id, ts + INTERVAL 2 HOUR AS east, ts - INTERVAL 2 HOUR AS back FROM events")
+def date_zones(db):
+    t = F.col("ts").cast("timestamp")
+    return db.df("events").select("event_id", D.to_local(t, "+02:00").cast("timestamp_ntz").alias("east"), D.to_utc(t, "+02:00").cast("timestamp_ntz").alias("back"))
+
+
+@query("SELECT count(DISTINCT x) AS dates, count(*) AS n FROM (SELECT current_date AS x FROM orders)")
+def current_moment(db):
+    """The moment is one for a whole query."""
+    return db.df("orders").select(F.current_timestamp().alias("x")).agg(F.count_distinct("x").alias("dates"), F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE rtrim(c_mktsegment || '  ') = 'BUILDING'")
+def filter_trimmed(db):
+    """Equality that passes over blanks at the end."""
+    return db.df("customer").filter(F.collate(F.concat("c_mktsegment", F.lit("  ")), "UTF8_BINARY_RTRIM") == F.lit("BUILDING")).select("c_custkey")

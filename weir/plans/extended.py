@@ -2,29 +2,66 @@
 
 from dataclasses import replace
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
+from ..operators import aggregates as A
+from ..operators import joins as J
 from ..operators.associations import belongs_to, has_one
-from ..operators.mutations import Mutable, delete_cascading
-from ..operators.request import Request
-from ..operators.schema import Catalog
+from ..operators.mutations import Mutable, delete_cascading, to
+from ..operators.request import Request, desc
+from ..operators.schema import Catalog, TableMeta
 from ..streaming import observe as O
 from .catalog import query
 
 
-@query("SELECT * FROM nation WHERE n_nationkey < 20 UNION ALL SELECT n_nationkey, 'NEW ' || n_name, n_regionkey FROM nation WHERE n_nationkey >= 20")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'NEW ' || p_name ELSE p_name END AS p_name FROM part")
 def insert_ignore(db):
-    n = db.df("nation")
-    old = Mutable(n.filter("n_nationkey < 20"), ("n_nationkey",))
-    return old.insert(n.withColumn("n_name", F.concat(F.lit("NEW "), "n_name")), "ignore")[0].df
+    p = db.df("part").select("p_partkey", "p_name")
+    old = Mutable(p.filter("p_partkey % 3 <> 0"), ("p_partkey",))
+    return old.insert(p.withColumn("p_name", F.concat(F.lit("NEW "), "p_name")), "ignore")[0].df
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN 'NEW ' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'NEW ' || p_name ELSE p_name END AS p_name FROM part")
 def insert_replace(db):
-    n = db.df("nation")
-    rows = n.filter("n_nationkey >= 10").withColumn("n_name", F.concat(F.lit("NEW "), "n_name"))
-    return Mutable(n.filter("n_nationkey < 20"), ("n_nationkey",)).insert(rows, "replace")[0].df
+    p = db.df("part").select("p_partkey", "p_name")
+    rows = p.filter("p_partkey % 2 = 0").withColumn("p_name", F.concat(F.lit("NEW "), "p_name"))
+    return Mutable(p.filter("p_partkey % 3 <> 0 OR p_partkey % 2 = 1"), ("p_partkey",)).insert(rows, "replace")[0].df
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY o_custkey")
+def insert_conflicting_rows(db):
+    """New rows that repeat a key: ignore keeps the first in an order, replace the last."""
+    o = db.df("orders").select("o_custkey", "o_orderkey")
+    none = Mutable(o.limit(0), ("o_custkey",))
+    first = none.insert(o, "ignore", order=F.col("o_orderkey"))[0].df.withColumnRenamed("o_orderkey", "first")
+    return first.join(none.insert(o, "replace", order=F.col("o_orderkey"))[0].df.withColumnRenamed("o_orderkey", "last"), "o_custkey")
+
+
+@query("SELECT c_custkey, c_acctbal + coalesce(p, 0) AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS p FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def upsert_repeated_keys(db):
+    """Of the new rows of a key the last in an order counts, once."""
+    rows = db.df("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    old = Mutable(db.df("customer").select("c_custkey", "c_acctbal"), ("c_custkey",))
+    return old.upsert(rows, {"c_acctbal": F.col("old.c_acctbal") + F.col("new.o_totalprice")}, order=F.col("o_orderkey"))[0].df
+
+
+@query("SELECT p_partkey, 'none' AS p_brand, 7 AS p_size FROM part WHERE p_partkey % 10 = 0")
+def insert_returning(db):
+    """Inserted rows with the table's defaults filled in, under its rules."""
+    p = db.df("part").select("p_partkey", "p_brand", "p_size")
+    meta = TableMeta("part", ("p_partkey",), required=("p_brand",), checks={"size": "p_size > 0"}, defaults={"p_brand": "'none'", "p_size": "7"})
+    return Mutable(p.filter("p_partkey % 10 <> 0"), ("p_partkey",), meta=meta).insert(p.filter("p_partkey % 10 = 0").select("p_partkey"))[1]
+
+
+@query("SELECT p_partkey, (p_size * 3 + 1) // 2 AS p_size, p_retailprice / 2 - 1 AS p_retailprice FROM part")
+def update_assigned(db):
+    """Assignment operators, one after another."""
+    p = Mutable(db.df("part").select("p_partkey", "p_size", "p_retailprice"), ("p_partkey",))
+    every = F.lit(True)
+    for change in (to("p_size").times(3), to("p_size").plus(1), to("p_size").over(2), to("p_retailprice").over(2.0), to("p_retailprice").minus(1)):
+        p = p.update(every, **change)[0]
+    return p.df
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal + coalesce(t, 0) AS c_acctbal, c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -62,40 +99,50 @@ def changed_rows(db):
     return old.changes(new.df)
 
 
-@query("SELECT c_custkey, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS title FROM customer")
+@query("SELECT c_custkey, list_sum(list_transform(string_split(c_custkey::VARCHAR || c_nationkey::VARCHAR, ''), lambda d, i: d::INT * (i % 3 + 1)))::BIGINT % 10 AS digit FROM customer")
 def user_function(db):
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    """A check digit over two columns, which no built-in function gives."""
 
-    title = pandas_udf(lambda s: s.str.capitalize(), "string")
-    assert pd is not None
-    return db.df("customer").select("c_custkey", title("c_mktsegment").alias("title"))
+    def check(*parts):
+        return sum(int(d) * (i % 3 + 1) for i, d in enumerate("".join(map(str, parts)), 1)) % 10
 
+    digit = A.user_function(check, LongType())
+    return db.df("customer").select("c_custkey", digit("c_custkey", "c_nationkey").alias("digit"))
 
-@query("SELECT n_regionkey, sum(length(n_name))::BIGINT AS letters FROM nation GROUP BY n_regionkey")
-def user_aggregate(db):
-    from pyspark.sql.functions import pandas_udf
 
-    letters = pandas_udf(lambda s: int(s.str.len().sum()), "long", F.PandasUDFType.GROUPED_AGG)
-    return db.df("nation").groupBy("n_regionkey").agg(letters("n_name").alias("letters"))
+@query("SELECT user_id, list_sort(list_distinct(list(value)))[-2] AS second FROM events GROUP BY user_id")
+def user_aggregate(db):
+    """The second greatest distinct value of a group, from states of two values."""
+    top = lambda values: sorted({v for v in values if v is not None})[-2:]
+    second = A.Aggregate(list, lambda s, v: top([*s, v]), lambda a, b: top([*a, *b]), lambda s: s[0] if len(s) == 2 else None)
+    return A.aggregated(db.df("events"), ("user_id",), ("value",), second, "second", DoubleType())
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
 def top_of_group(db):
-    o = db.df("orders")
-    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct(F.col("o_totalprice"), -F.col("o_orderkey"))).alias("b")
-    return o.groupBy("o_custkey").agg(best).select("o_custkey", "b.o_orderkey", "b.o_totalprice")
+    return Request(db, "orders").first_of_each("o_custkey", order=[desc("o_totalprice"), "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice").to_df()
 
 
 @query("SELECT event_id, user_id, row_number() OVER w AS n, lag(event_type) OVER w AS before, round(sum(value) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS recent FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def row_windows(db):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return db.df("events").select("event_id", "user_id", F.row_number().over(w).cast("long").alias("n"), F.lag("event_type").over(w).alias("before"), F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 4).alias("recent"))
+    r = Request(db, "events").select("event_id", "user_id").annotated_over("user_id", ("ts", "event_id"), n=F.row_number(), before=F.lag("event_type"))
+    df = r.annotated_over("user_id", ("ts", "event_id"), (-2, 0), recent=F.sum("value")).to_df()
+    return df.withColumns({"n": F.col("n").cast("long"), "recent": F.round("recent", 4)})
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def grouping_cube(db):
-    return db.df("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return Request(db, "lineitem").cube("l_returnflag", "l_linestatus").select(F.count("*").alias("n")).to_df()
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority) HAVING count(*) > 5")
+def grouping_rollup(db):
+    return Request(db, "orders").rollup("o_orderstatus", "o_orderpriority").select(F.count("*").alias("n")).having("count(*) > 5").to_df()
+
+
+@query("SELECT c_mktsegment, c_nationkey, round(sum(c_acctbal), 2) AS s FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+def grouping_sets(db):
+    return Request(db, "customer").grouping_sets(("c_mktsegment",), ("c_nationkey",), ()).select(F.round(F.sum("c_acctbal"), 2).alias("s")).to_df()
 
 
 @query("SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 9000) FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 9900) ON s_nationkey = c_nationkey")
@@ -104,6 +151,29 @@ def full_join(db):
     return s.join(c, F.col("s_nationkey") == F.col("c_nationkey"), "full").select("s_suppkey", "c_custkey")
 
 
+@query("SELECT a.event_id, b.event_id AS latest FROM (SELECT * FROM events WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ALL) b ON a.user_id = b.user_id AND a.ts >= b.ts")
+def join_as_of(db):
+    """The user's last click before each purchase."""
+    e = db.df("events")
+    clicks = e.filter("event_type = 'click'").select("user_id", "ts", "event_id")
+    out = J.as_of(e.filter("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "ts", "ts", {"user_id": "user_id"})
+    return out.select("event_id", F.col("latest.event_id").alias("latest"))
+
+
+@query("SELECT o_orderkey, p_partkey FROM orders JOIN (SELECT p_partkey, p_retailprice * 100 AS lo, p_retailprice * 100 + p_size AS hi FROM part) ON o_totalprice BETWEEN lo AND hi")
+def join_range(db):
+    ranges = db.df("part").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + F.col("p_size")).alias("hi"))
+    return J.in_range(db.df("orders").select("o_orderkey", "o_totalprice"), ranges, "o_totalprice", "lo", "hi", 50.0).select("o_orderkey", "p_partkey")
+
+
+@query("SELECT a.p_partkey AS one, b.s_suppkey AS other FROM part a JOIN supplier b ON a.p_size * 100 <= b.s_acctbal + 30 AND b.s_acctbal <= a.p_size * 100 + 20 WHERE a.p_partkey % 4 = 0")
+def join_overlapping(db):
+    c = F.col
+    parts = db.df("part").filter("p_partkey % 4 = 0").select("p_partkey", (c("p_size") * 100).cast("double").alias("a"), (c("p_size") * 100 + 20).cast("double").alias("b"))
+    suppliers = db.df("supplier").select("s_suppkey", c("s_acctbal").alias("x"), (c("s_acctbal") + 30).alias("y"))
+    return J.overlapping(parts, suppliers, ("a", "b"), ("x", "y"), 40.0).select(c("p_partkey").alias("one"), c("s_suppkey").alias("other"))
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(db):
     return O.tumbling(db.df("events"), "ts", "6 hours", "event_type")

@@ -3,14 +3,16 @@
 from pyspark.sql import functions as F
 
 from ..functions import dialect as D
-from ..operators.request import Request, asc_nulls_last, desc, desc_nulls_first
-from ..sources.sql import SQL, dumped
+from ..operators import aggregates as A
+from ..operators.associations import has_one
+from ..operators.request import Request, all_that, any_that, asc_nulls_last, desc, desc_nulls_first
+from ..sources.sql import SQL, dumped, dumped_tables, name
 from .catalog import query
 
 
-@query("SELECT * FROM nation")
+@query("SELECT * FROM orders")
 def scan_all(db):
-    return Request(db, "nation").all().to_df()
+    return Request(db, "orders").all().to_df()
 
 
 @query("SELECT * FROM customer WHERE false")
@@ -24,9 +26,26 @@ def raw_sql_arguments(db):
     return text.run(db.spark, t=db.df("orders"))
 
 
-@query("SELECT n_name AS name, n_nationkey * 10 + n_regionkey AS code FROM nation")
+@query("SELECT c_name AS name, c_custkey * 10 + c_nationkey AS code FROM customer")
 def project_expressions(db):
-    return Request(db, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 10 + F.col("n_regionkey")).alias("code")).to_df()
+    return Request(db, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") * 10 + F.col("c_nationkey")).alias("code")).to_df()
+
+
+@query("SELECT o_orderkey + 1 AS next, o_totalprice * 2 AS twice, upper(o_orderstatus) || '!' AS state FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_totalprice % 1000, o_orderkey LIMIT 60")
+def raw_sql_parts(db):
+    """Raw SQL, with and without bound values, in the selection, the filter and the order."""
+    r = Request(db, "orders").select("o_orderkey + 1 AS next", SQL("o_totalprice * :k AS twice", {"k": 2})).annotated(SQL("upper(o_orderstatus) || :end AS state", {"end": "!"}))
+    return r.filter(name("o_orderpriority") + SQL(" IN :wanted", {"wanted": ["1-URGENT", "2-HIGH"]})).order(SQL("o_totalprice % :m", {"m": 1000}), "o_orderkey").limit(60).to_df()
+
+
+@query("SELECT year(o_orderdate)::INT AS y, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 10")
+def group_raw_sql(db):
+    return Request(db, "orders").group("year(o_orderdate)").select("first(year(o_orderdate)) AS y", "count(*) AS n").having(SQL("count(*) > :n", {"n": 10})).to_df()
+
+
+@query("SELECT conv_id, turn, count(*) AS n, max(length(text)) AS longest FROM conversations GROUP BY conv_id, turn")
+def group_by_key(db):
+    return Request(db, "conversations").group_by_key().select("conv_id", "turn", F.count("*").alias("n"), F.max(F.length("text")).alias("longest")).to_df()
 
 
 @query("SELECT c_custkey FROM customer")
@@ -65,9 +84,10 @@ def filter_compound_keys(db):
     return Request(db, "conversations").filter_key((1, 0), (2, 1)).to_df()
 
 
-@query("SELECT * FROM nation WHERE n_name = 'NATION_7' OR (n_regionkey = 2 AND n_nationkey = 2)")
+@query("SELECT * FROM customer WHERE c_name IN (SELECT c_name FROM customer WHERE c_custkey IN (7, 11)) OR c_custkey = 5")
 def filter_unique_keys(db):
-    return Request(db, "nation").filter_unique({"n_name": "NATION_7"}, {"n_regionkey": 2, "n_nationkey": 2}).to_df()
+    names = [r.c_name for r in Request(db, "customer").filter_key(7, 11).fetch_all()]
+    return Request(db, "customer").filter_unique(*[{"c_name": n} for n in names], {"c_custkey": 5}).to_df()
 
 
 @query("SELECT event_id, n IS NULL AS no_value, n IS NOT DISTINCT FROM NULL AS same, n = 'view' AS is_view FROM (SELECT event_id, nullif(event_type, 'click') AS n FROM events)")
@@ -84,21 +104,46 @@ def filter_ranges(db):
 
 @query("SELECT p_partkey, p_type FROM part WHERE p_type IN (SELECT p_type FROM part WHERE p_size > 49)")
 def filter_in_subquery(db):
-    big = Request(db, "part").filter(F.col("p_size") > 49).select("p_type").to_df()
-    return Request(db, "part").select("p_partkey", "p_type").filter(lambda df: df.join(big.distinct(), "p_type", "left_semi").select(*df.columns)).to_df()
+    big = Request(db, "part").filter(F.col("p_size") > 49).select("p_type")
+    return Request(db, "part").select("p_partkey", "p_type").filter_in("p_type", big).to_df()
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def filter_not_in(db):
-    db.df("customer").createOrReplaceTempView("weir_customer")
-    db.df("orders").createOrReplaceTempView("weir_orders")
-    return db.spark.sql("SELECT c_custkey FROM weir_customer WHERE c_custkey NOT IN (SELECT o_custkey FROM weir_orders WHERE o_totalprice > 150000)")
+    rich = Request(db, "orders").filter("o_totalprice > 150000").select("o_custkey")
+    return Request(db, "customer").select("c_custkey").filter_not_in("c_custkey", rich).to_df()
+
+
+@query("SELECT event_id FROM events WHERE nullif(event_type, 'view') NOT IN (SELECT nullif(event_type, 'error') FROM events WHERE value > 1e12) UNION ALL SELECT event_id + 10000000 FROM events WHERE event_type NOT IN (SELECT nullif(event_type, 'error') FROM events)")
+def filter_not_in_nulls(db):
+    """Nulls on either side: an empty list passes all rows, a list with a null none."""
+    e = Request(db, "events")
+    empty = e.filter("value > 1e12").select(F.nullif(F.col("event_type"), F.lit("error")).alias("t"))
+    holed = e.select(F.nullif(F.col("event_type"), F.lit("error")).alias("t"))
+    one = e.select("event_id").filter_not_in(F.nullif(F.col("event_type"), F.lit("view")), empty)
+    return one.union(e.select("event_id + 10000000 AS event_id").filter_not_in("event_type", holed), every=True).to_df()
 
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
 def filter_exists(db):
-    big = db.df("orders").filter(F.col("o_totalprice") > 250000)
-    return db.df("customer").alias("c").where(big.where(F.col("o_custkey") == F.col("c.c_custkey").outer()).exists()).select("c_custkey", "c_name")
+    big = Request(db, "orders").filter(F.col("o_totalprice") > 250000)
+    return Request(db, "customer").select("c_custkey", "c_name").filter_exists(big, lambda c, o: c["c_custkey"] == o["o_custkey"]).to_df()
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND EXISTS (SELECT 1 FROM orders WHERE o_totalprice < 0) IS FALSE")
+def filter_exists_not(db):
+    orders = Request(db, "orders")
+    r = Request(db, "customer").select("c_custkey").filter_exists(orders, lambda c, o: c["c_custkey"] == o["o_custkey"], negated=True)
+    return r.filter_exists(orders.filter("o_totalprice < 0"), negated=True).to_df()
+
+
+@query("SELECT s_suppkey, l_n FROM supplier JOIN (SELECT l_suppkey, l_linenumber, count(*) AS l_n FROM lineitem GROUP BY ALL) ON l_suppkey = s_suppkey WHERE (s_suppkey, l_linenumber) IN (SELECT l_suppkey, min(l_linenumber) FROM lineitem GROUP BY l_suppkey)")
+def filter_in_rows(db):
+    """Pairs of values in the rows of a request."""
+    lines = Request(db, "lineitem")
+    counts = lines.group("l_suppkey", "l_linenumber").select("l_suppkey", "l_linenumber", F.count("*").alias("l_n"))
+    least = lines.group("l_suppkey").select("l_suppkey", F.min("l_linenumber").alias("l"))
+    return Request(db, "counts", counts.to_df()).filter_in(("l_suppkey", "l_linenumber"), least).select(F.col("l_suppkey").alias("s_suppkey"), "l_n").to_df()
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_suppkey, l_linenumber) IN ((1, 1), (2, 3), (3, 2))")
@@ -113,10 +158,24 @@ def filter_like(db):
     return Request(db, "part").select("p_partkey", "p_name").filter(D.like(F.col("p_name"), "%A_1%") | D.like(F.col("p_brand"), "bRAND#1%")).to_df()
 
 
-@query("SELECT n_nationkey FROM nation WHERE lower(n_name) = 'nation_3' OR lower(n_name) = 'nation_14'")
+@query("SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building' OR lower(c_mktsegment) = 'machinery'")
 def filter_collated(db):
-    name = F.collate(F.col("n_name"), "UTF8_LCASE")
-    return Request(db, "nation").select("n_nationkey").filter((name == F.lit("nation_3")) | (name == F.lit("NATION_14"))).to_df()
+    segment = F.collate(F.col("c_mktsegment"), "UTF8_LCASE")
+    return Request(db, "customer").select("c_custkey").filter((segment == F.lit("Building")) | (segment == F.lit("machinery"))).to_df()
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'view' AND value > 20 AND user_id < 100 OR event_type = 'error' OR user_id = 3")
+def filter_many_conditions(db):
+    """Any number of conditions, none included."""
+    c = F.col
+    every = all_that(c("event_type") != "view", c("value") > 20, c("user_id") < 100, all_that())
+    return Request(db, "events").select("event_id").filter(any_that(every, c("event_type") == "error", c("user_id") == 3, any_that())).to_df()
+
+
+@query("SELECT event_id FROM events WHERE (value > 50) = true AND ((event_type = 'view') = false)")
+def filter_booleans(db):
+    c = F.col
+    return Request(db, "events").select("event_id").filter((c("value") > 50) == F.lit(True)).filter((c("event_type") == "view") == F.lit(False)).to_df()
 
 
 @query("SELECT event_id FROM events WHERE NOT (event_type = 'view' OR (event_type = 'click' AND value > 10))")
@@ -191,14 +250,31 @@ def aggregate_filter(db):
     return db.df("events").groupBy("user_id").agg(F.round(D.where(F.avg, c("value"), c("event_type") == "purchase"), 6).alias("bought"), D.where(F.count, F.lit(1), c("event_type") == "error").alias("errors"))
 
 
-@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+@query("SELECT o_custkey, string_agg(o_orderpriority, ';' ORDER BY o_orderkey) AS priorities, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) FILTER (o_totalprice > 100000) AS dear FROM orders GROUP BY o_custkey")
 def aggregate_concat(db):
-    return db.df("nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
+    c = F.col
+    text = [A.concatenated(c("o_orderpriority"), c("o_orderkey"), ";").alias("priorities"), A.concatenated(c("o_orderpriority"), where=c("o_totalprice") > 100000).alias("dear")]
+    return Request(db, "orders").group("o_custkey").select("o_custkey", *text).to_df()
+
+
+@query("SELECT user_id, md5(array_to_string(list(event_type ORDER BY ts DESC, event_id DESC), ',')) AS kinds FROM events GROUP BY user_id")
+def aggregate_ordered(db):
+    kinds = A.ordered_array(F.col("event_type"), F.struct("ts", "event_id"), descending=True)
+    return Request(db, "events").group("user_id").select("user_id", F.md5(F.array_join(kinds, ",")).alias("kinds")).to_df()
+
+
+@query("SELECT true AS distinct_close, true AS median_close")
+def aggregate_sketches(db):
+    """Sketches against the exact values of the same table, within their errors."""
+    c = F.col("l_extendedprice")
+    r = db.df("lineitem").agg(A.about_distinct(c, 0.02).alias("d"), F.count_distinct(c).alias("e"), A.about_quantile(c, 0.5).alias("m"), F.percentile(c, 0.49).alias("lo"), F.percentile(c, 0.51).alias("hi"))
+    return r.select((F.abs(F.col("d") - F.col("e")) <= 0.1 * F.col("e")).alias("distinct_close"), F.col("m").between(F.col("lo"), F.col("hi")).alias("median_close"))
 
 
 @query("SELECT o_custkey, max(o_totalprice) AS most, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS at FROM orders GROUP BY o_custkey")
 def aggregate_bare_column(db):
-    return db.df("orders").groupBy("o_custkey").agg(F.max("o_totalprice").alias("most"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("at"))
+    c = F.col
+    return Request(db, "orders").group("o_custkey").select("o_custkey", F.max("o_totalprice").alias("most"), A.of_greatest(c("o_orderkey"), c("o_totalprice"), c("o_orderkey")).alias("at")).to_df()
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
@@ -208,23 +284,41 @@ def count_of_distinct(db):
 
 @query("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union(db):
-    return db.df("customer").select(F.col("c_nationkey").alias("k")).union(db.df("supplier").select("s_nationkey")).distinct()
+    return Request(db, "customer").select(F.col("c_nationkey").alias("k")).union(Request(db, "supplier").select("s_nationkey")).to_df()
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 0")
+def set_union_all(db):
+    return Request(db, "customer").select(F.col("c_nationkey").alias("k")).union(Request(db, "supplier").filter("s_acctbal > 0").select("s_nationkey"), every=True).to_df()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def set_intersect_all(db):
+    return Request(db, "customer").select(F.col("c_nationkey").alias("k")).intersect(Request(db, "supplier").select("s_nationkey"), every=True).to_df()
+
+
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT o_custkey FROM orders WHERE o_totalprice > 150000")
+def set_except_all(db):
+    keys = Request(db, "orders").select(F.col("o_custkey").alias("k"))
+    return keys.subtract(Request(db, "orders").filter("o_totalprice > 150000").select("o_custkey"), every=True).to_df()
 
 
 @query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_intersect(db):
-    return db.df("customer").select(F.col("c_nationkey").alias("k")).intersect(db.df("supplier").filter("s_acctbal > 5000").select("s_nationkey"))
+    return Request(db, "customer").select(F.col("c_nationkey").alias("k")).intersect(Request(db, "supplier").filter("s_acctbal > 5000").select("s_nationkey")).to_df()
 
 
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000")
 def set_except(db):
-    return db.df("customer").select(F.col("c_custkey").alias("k")).subtract(db.df("orders").filter("o_totalprice > 150000").select("o_custkey"))
+    return Request(db, "customer").select(F.col("c_custkey").alias("k")).subtract(Request(db, "orders").filter("o_totalprice > 150000").select("o_custkey")).to_df()
 
 
 @query("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) SELECT c_name, round(t, 2) AS t FROM customer JOIN big ON c_custkey = o_custkey WHERE t > 1000000")
 def cte_joined(db):
-    big = db.df("orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"))
-    return db.df("customer").join(big, F.col("c_custkey") == F.col("o_custkey")).filter("t > 1000000").select("c_name", F.round("t", 2).alias("t"))
+    totals = Request(db, "orders").group("o_custkey").select("o_custkey", F.sum("o_totalprice").alias("t"))
+    customer = Request(db, "customer").with_table("big", totals, ("c_custkey",), ("c_custkey", "t"))
+    big = has_one(customer, Request(customer.db, "big"), "c_custkey", key="big").filter("t > 1000000")
+    return customer.annotated_with_required(big, "t").select("c_name").to_df().select("c_name", F.round("t", 2).alias("t"))
 
 
 @query("WITH RECURSIVE days(d) AS (SELECT 0 UNION ALL SELECT d + 1 FROM days WHERE d < 29) SELECT d, count(event_id) AS n FROM days LEFT JOIN events ON date_diff('day', DATE '2024-01-01', ts::DATE) = d GROUP BY d")
@@ -235,21 +329,28 @@ def cte_recursive(db):
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 def scalar_subquery(db):
-    o = db.df("orders")
-    return o.filter(F.col("o_totalprice") > o.agg(F.avg("o_totalprice") * 1.5).scalar()).select("o_orderkey")
+    mean = Request(db, "orders").group().select((F.avg("o_totalprice") * 1.5).alias("m"))
+    return Request(db, "orders").select("o_orderkey").filter(F.col("o_totalprice") > mean.scalar()).to_df()
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier s WHERE s_acctbal > (SELECT avg(x.s_acctbal) FROM supplier x WHERE x.s_nationkey = s.s_nationkey)")
 def correlated_subquery(db):
-    mean = db.df("supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("mean"))
-    return db.df("supplier").join(mean, "s_nationkey").filter("s_acctbal > mean").select("s_suppkey", "s_acctbal")
+    others = Request(db, "supplier").aliased("x").filter(F.col("x.s_nationkey") == F.col("s.s_nationkey").outer()).select(F.avg("x.s_acctbal").alias("m"))
+    return Request(db, "supplier").aliased("s").select("s_suppkey", "s_acctbal").filter(F.col("s.s_acctbal") > others.scalar()).to_df()
 
 
-@query("SELECT r_regionkey || ',''' || r_name || '''' AS line FROM region")
+@query("SELECT o_orderkey || ',''' || o_orderstatus || ''',''' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ''',NULL,X''6869''' AS line FROM orders")
 def dump_quoted(db):
-    return dumped(Request(db, "region").order_by_key().to_df(), "quote")
+    r = Request(db, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", F.lit(None).cast("string").alias("nothing"), F.lit(b"hi").alias("blob"))
+    return dumped(r.order_by_key().to_df(), "quote")
+
+
+@query("SELECT 'customer' AS \"table\", c_custkey || '|''' || c_name || '''' AS line FROM customer UNION ALL SELECT 'part', p_partkey || '|''' || p_name || '''' FROM part")
+def dump_tables(db):
+    small = db.with_tables(customer=db.df("customer").select("c_custkey", "c_name"), part=db.df("part").select("p_partkey", "p_name"))
+    return dumped_tables(small, "customer", "part", style="debug")
 
 
-@query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\",\"n_regionkey\":' || n_regionkey || '}' AS line FROM nation")
+@query("SELECT '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}' AS line FROM customer")
 def dump_json(db):
-    return dumped(Request(db, "nation").to_df(), "json")
+    return dumped(Request(db, "customer").select("c_custkey", "c_name", "c_nationkey").to_df(), "json")
