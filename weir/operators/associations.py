@@ -91,7 +91,8 @@ class Association:
     def population(self) -> tuple:
         """What rows it leads to: equal for equal paths with the same conditions, limits and refinements."""
         r = self.destination
-        own = (self.origin, r.table, self.left, self.right, self.most, self.on, tuple(map(id, r.filters)), tuple(map(id, r.conditions)), tuple(map(id, r.groups or ())), r.bounds, r.is_distinct, id(r.source) if r.source is not None else None)
+        same = lambda conditions: tuple(c if isinstance(c, str) else id(c) for c in conditions)  # noqa: E731  columns can't be compared
+        own = (self.origin, r.table, self.left, self.right, self.most, self.on, same(r.filters), same(r.conditions), same(r.groups or ()), r.bounds, r.is_distinct, id(r.source) if r.source is not None else None)
         joins = tuple((k, j.how, j.association.population()) for k, j in r.joins.items())
         return (*own, joins, self.pivot and self.pivot.population(), self.target and self.target.population())
 
