@@ -4,9 +4,11 @@ import hashlib
 import random
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
+import xxhash
 
 from weir.llm import op1_prefix_fingerprints as op1
 from weir.llm import op8_bpe as op8
@@ -34,9 +36,28 @@ def test_spans_and_extensions():
     assert p.common_extension(0, q, 0) == 140 and p.common_extension(141, q, 141) == 159 and p.common_suffix(q) == 159
 
 
+def plain_fingerprint(text, width=12, bins=128):
+    """Span by span in plain integers: polynomial values under two bases, mixed, the least of each range or of the next that has one."""
+    codes = [ord(c) + 1 for c in text]
+    w = min(width, len(codes))
+    values = []
+    for i in range(len(codes) - w + 1 if codes else 0):
+        value = 0
+        for base in (1_103_515_245, 1_566_083_941):
+            value = value << 31 | sum(c * pow(base, j, 2**31 - 1) for j, c in enumerate(codes[i : i + w])) % (2**31 - 1)
+        x = value * 0x9E3779B97F4A7C15 % 2**64
+        values.append((x ^ x >> 29) * 0xBF58476D1CE4E5B9 % 2**64)
+    out = b""
+    for n in range(bins):
+        least = min((v for v in values if v >= n * (2**64 // bins)), default=min(values, default=0))
+        out += ((least ^ least >> 24 ^ least >> 41) & 0xFFFF).to_bytes(2, "big")
+    return out.hex()
+
+
 def brute_fingerprints(docs):
-    docs = sorted(docs, key=lambda d: (NULL_ID if d[0] is None else d[0], d[1] or ""))
-    mark = lambda t: op1.sketch(op1.Prefix(np.frombuffer(t.encode("utf-32-le"), np.uint32)).windows(12), 128).tobytes().hex()
+    signed = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (h >> 63 << 64)
+    docs = sorted(docs, key=lambda d: (NULL_ID if d[0] is None else d[0], signed(d[1])))
+    mark = cache(plain_fingerprint)
     like = lambda a, b, x, y: float((not x) == (not y)) and sum(a[i : i + 4] == b[i : i + 4] for i in range(0, 512, 4)) / 128
     out = []
     for n, (i, t) in enumerate(docs):
@@ -60,6 +81,25 @@ def test_fingerprints(spark, sf):
     assert 0.45 < sum(near) / len(near) < 0.8
 
 
+def test_fingerprints_of_many_rows_without_ids(spark, monkeypatch):
+    """A third of the rows without an id and a third of one id are dealt out over many ranges."""
+    rng = random.Random(6)
+    made = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))) for i in range(900)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in made], EMPTY).repartition(3)
+    got = [tuple(r)[:7] for r in op1.fingerprints(docs).collect()]
+    assert sorted(got, key=key) == sorted(brute_fingerprints(made), key=key)
+    sizes = [r["count"] for r in op1.neighbours(docs).filter("not copy").groupBy("bucket").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 300
+
+
+def test_range_numbers(spark):
+    from pyspark.sql import functions as F
+
+    for bounds in ([], [3], [1, 4], list(range(0, 50, 3)), [-(2**63), 5, 2**62]):
+        out = spark.range(-3, 60).select("id", op1.range_number(F.col("id"), bounds).alias("n")).collect()
+        assert all(r.n == sum(b <= r.id for b in bounds) for r in out)
+
+
 def test_fingerprints_of_odd_tables(spark):
     made = rows(TEXTS) + [(None, "no id", "", ""), (3, "an id twice", "", "")]
     got = [tuple(r)[:7] for r in op1.fingerprints(spark.createDataFrame(made, EMPTY)).collect()]
@@ -141,3 +181,19 @@ def test_png_reader_undoes_every_filter():
         op10.read_png(png[:60] + bytes([png[60] ^ 1]) + png[61:])
     with pytest.raises(ValueError):
         op10.read_png(png[:-5])
+
+
+def test_frequency_hash_equals_a_plain_version():
+    """Row averages to 32 x 32, then sums of cosines one by one."""
+    import math
+
+    rng = np.random.default_rng(3)
+    for shape in ((1, 64), (5, 64), (40, 64), (200, 64)):  # real pictures: equal frequencies by symmetry could round either way
+        pixels = rng.integers(0, 256, shape, dtype=np.uint8)
+        small = op10.shrunk(op10.shrunk(pixels.astype(float), 32).T, 32).T
+        assert small.shape == (32, 32)
+        wave = [[sum(small[y][x] * math.cos(math.pi * (2 * x + 1) * u / 64) for x in range(32)) for u in range(8)] for y in range(32)]
+        low = [[sum(wave[y][u] * math.cos(math.pi * (2 * y + 1) * v / 64) for y in range(32)) for u in range(8)] for v in range(8)]
+        flat = [round(x, 6) for row in low for x in row]
+        middle = sorted(flat[1:])[31]
+        assert op10.frequency_hash(pixels) == f"{int(''.join('1' if x > middle else '0' for x in flat), 2):016x}"

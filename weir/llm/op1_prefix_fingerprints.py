@@ -7,7 +7,7 @@ sketch of all spans of `width` code points: the least hash in each of `bins` ran
 fingerprints estimates the Jaccard likeness of their sets of spans.
 
 Defined results: null text is empty. An empty text has the fingerprint of zeros, like only itself. A text under
-`width` code points is one span. Rows are ordered by doc_id, then text; a null doc_id comes first. Rows that repeat a doc_id
+`width` code points is one span. Rows are ordered by doc_id, then 128 bits of the text's hash; a null doc_id comes first. Rows that repeat a doc_id
 each follow one another in that order. A single row is followed by itself. Other columns are ignored.
 """
 
@@ -128,35 +128,49 @@ def likeness(a: np.ndarray, b: np.ndarray, empty_a: bool, empty_b: bool) -> floa
     return float(empty_a == empty_b and np.mean(a == b))
 
 
-def range_number(value: Column, bounds: list[int], base: int = 0) -> Column:
-    """How many of the sorted bounds are at most the value, by a balanced tree of comparisons."""
+#: Ranges that a doc_id (or the lack of one) with a great share of the rows is split into, by the hash of their texts: a power of 2.
+SPLIT = 64
+
+
+def range_number(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the value, by two looks into arrays: over every n-th bound, then over those from there on."""
     if not bounds:
-        return F.lit(base)
-    mid = len(bounds) // 2
-    return F.when(value < bounds[mid], range_number(value, bounds[:mid], base)).otherwise(range_number(value, bounds[mid + 1 :], base + mid + 1))
+        return F.lit(0)
+    step = max(1, round(len(bounds) ** 0.5))
+    below = lambda a: F.size(F.filter(a, lambda x: x <= value))
+    held = lambda some: F.array(*[F.lit(b).cast("long") for b in some])
+    coarse = below(held(bounds[step - 1 :: step]))
+    return coarse * step + below(F.slice(held(bounds), coarse * step + 1, F.lit(step)))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """bucket, did, text, copy: documents in ranges of doc_id; each range ends with a copy of its successor's first row.
+    """bucket, did, h, g, text, copy: documents in ranges of (did, h); each range ends with a copy of its successor's first rows.
 
-    Ranges come from quantiles; only one first row for each range (their number is that of the shuffle partitions) is joined by broadcast.
+    h, g: 128 bits of the text's hash. Ranges come from quantiles of did; a did that fills a range alone is split by h. Only one row for each range (their number is bounded by that of the
+    shuffle partitions times 4 times SPLIT) is joined by broadcast.
     """
     spark = docs.sparkSession
     n = parts(spark)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), whole_text().alias("text"))
-    bounds = sorted(set(keyed.approxQuantile("did", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    rows = keyed.withColumn("bucket", range_number(F.col("did"), [int(b) for b in bounds]))
-    first = rows.groupBy("bucket").agg(F.min("did").alias("did"))
-    heads = sorted((r.bucket, r.did) for r in first.collect())  # a row for each range
+    text = whole_text()
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g"), text.alias("text"))
+    m = 4 * n
+    places = [int(b) for b in keyed.approxQuantile("did", [i / m for i in range(1, m)], 0.25 / m)]
+    bounds = sorted(set(places))
+    hot = sorted({b for b in bounds if places.count(b) > 1})
+    number = range_number(F.col("did"), bounds) * (SPLIT + 1)
+    if hot:  # a bound begins its range: of a hot one the texts' hashes tell further ranges, then come greater dids
+        by_hash = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(NULL_ID)), 64 - SPLIT.bit_length() + 1).cast("int")
+        number = number + F.when(F.col("did").isin(hot), by_hash).otherwise(F.when(range_number(F.col("did"), hot) > 0, F.lit(SPLIT)).otherwise(F.lit(0)))
+    rows = keyed.withColumn("bucket", number)
+    first = rows.groupBy("bucket").agg(F.min(F.struct("did", "h", "g")).alias("k")).select("bucket", "k.*")
+    heads = sorted(tuple(r) for r in first.collect())  # a row for each range
     if not heads:
         return rows.withColumn("copy", F.lit(False))
-    before = {did: heads[i - 1][0] for i, (_, did) in enumerate(heads)}
-    follow = spark.createDataFrame([(did, b) for did, b in before.items()], "did long, before int")
-    marked = rows.join(F.broadcast(follow), "did", "left")
-    places = F.when(F.col("before").isNull(), F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("copy")))
-    )
-    return marked.select("did", "text", F.explode(places).alias("place")).select("place.bucket", "did", "text", "place.copy")
+    follow = spark.createDataFrame([(*k, heads[i - 1][0]) for i, (_, *k) in enumerate(heads)], "did long, h long, g long, before int")
+    marked = rows.join(F.broadcast(follow), ["did", "h", "g"], "left")
+    here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy"))
+    both = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("bucket"), F.lit(True).alias("copy"))))
+    return marked.select("did", "h", "g", "text", F.explode(both).alias("place")).select("place.bucket", "did", "h", "g", "text", "place.copy")
 
 
 RESULT = "did long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_prefix long, same_suffix long"
@@ -204,8 +218,8 @@ def fingerprints(docs: DataFrame, width: int = 12, bins: int = 128) -> DataFrame
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in RESULT.split(", ")])
     placed = neighbours(docs)
-    dealt = placed.repartitionByRange(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "copy", "did", "text")
-    return dealt.mapInArrow(run, RESULT).withColumn("did", real_id()).withColumnRenamed("did", "doc_id")
+    dealt = placed.repartitionByRange(parts(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "copy", "did", "h", "g")
+    return dealt.select("bucket", "did", "text", "copy").mapInArrow(run, RESULT).withColumn("did", real_id()).withColumnRenamed("did", "doc_id")
 
 
 def op1_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
