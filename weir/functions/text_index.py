@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import exists, shared_folder, state_of
+from ..sources.storage import exists, removed_at_exit, shared_folder, state_of
 from . import search
 
 
@@ -76,11 +76,12 @@ class TextIndex:
 
     @staticmethod
     def stored(rows: DataFrame, key: str, columns: tuple[str, ...], tokenizer: Tokenizer | None = None) -> TextIndex:
-        """The index of a table of files, built and written when the table's present state has none yet."""
+        """The index of a table of files, built and written when this application has none of the table's present state yet; it is removed at the application's end."""
         spark = rows.sparkSession
         made = TextIndex.build(rows, key, columns, tokenizer)
-        place = f"{shared_folder(spark)}/text-index-{state_of(rows)}-{key}-{'-'.join(columns)}-{hashlib.md5(repr(made.tokenizer).encode()).hexdigest()}"
+        place = f"{shared_folder(spark)}/text-index-{spark.sparkContext.applicationId}-{state_of(rows)}-{key}-{'-'.join(columns)}-{hashlib.md5(repr(made.tokenizer).encode()).hexdigest()}"
         if not exists(spark, f"{place}/lengths/_SUCCESS"):
+            removed_at_exit(spark, place)
             made.postings.sortWithinPartitions("token").write.mode("overwrite").parquet(f"{place}/postings")
             made.lengths.write.mode("overwrite").parquet(f"{place}/lengths")
         return replace(made, postings=spark.read.parquet(f"{place}/postings"), lengths=spark.read.parquet(f"{place}/lengths"))

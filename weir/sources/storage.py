@@ -20,9 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's JVM ends."""
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
 
 
 def state_of(df: DataFrame) -> str:
