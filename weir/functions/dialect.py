@@ -68,6 +68,28 @@ def substr(c: Column, start: int, length: int | None = None) -> Column:
     return c.substr(low, F.greatest(high - low, F.lit(0)))
 
 
+#: Collations by what they compare: bytes, ASCII and other letters of either case alike, bytes without blanks at the end, Unicode's order, and that without case.
+COLLATIONS = {"binary": "UTF8_BINARY", "nocase": "UTF8_LCASE", "rtrim": "UTF8_BINARY_RTRIM", "unicode": "UNICODE", "unicode_nocase": "UNICODE_CI"}
+
+
+def collated(c: Column, by: str) -> Column:
+    """The text with a collation of COLLATIONS, or of a locale as in "de" or "tr"."""
+    return F.collate(c, COLLATIONS.get(by, by))
+
+
+#: Languages whose i keeps or lacks its dot in either case.
+DOTTED = ("tr", "az")
+
+
+def upper_in(c: Column, locale: str) -> Column:
+    """Upper case by a locale's rules."""
+    return F.upper(F.translate(c, "iı", "İI") if locale[:2] in DOTTED else c)
+
+
+def lower_in(c: Column, locale: str) -> Column:
+    return F.lower(F.translate(c, "Iİ", "ıi") if locale[:2] in DOTTED else c)
+
+
 def capitalized(c: Column) -> Column:
     """Each word's first letter in upper case, its others in lower."""
     return F.initcap(c)

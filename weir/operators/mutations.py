@@ -229,9 +229,12 @@ class Mutable:
         if conditions and not self.df.filter(~reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(True)) for c in conditions.values()])).isEmpty():
             raise Conflict(f"check failed: {', '.join(conditions)}")
 
-    def publish(self, folder: str, version: int) -> str:
+    def publish(self, folder: str, version: int, then: Callable[[str], None] | None = None) -> str:
+        """Writes the state as a new version; then: called with its path once it is wholly written."""
         path = f"{folder}/version={version}"
         self.df.write.parquet(path)
+        if then is not None:
+            then(path)
         return path
 
     def _done(self, kind: str, df: DataFrame, touched: DataFrame) -> tuple[Mutable, DataFrame]:

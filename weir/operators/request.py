@@ -331,7 +331,7 @@ class Request:
 
     def to_df(self) -> DataFrame:
         df = self.base()
-        own = df.columns
+        own = list(self.db.meta(self.table).selection) or df.columns
         for key, j in self.joins.items():
             df = j.association.attach(df, key, j.how)
         needs = [x for x in (*self.filters, *self.added, *self.conditions, *(self.selected or ())) if isinstance(x, AggregateExpression)]
@@ -399,6 +399,10 @@ class Request:
     def fetch_set(self) -> set:
         return set(self.to_df().distinct().collect())
 
+    def width(self) -> int:
+        """The number of columns that the request selects."""
+        return len(self.to_df().columns)
+
     def counted(self) -> Request:
         """What has as many rows: without orders and prefetched rows, and without optional to-one joins that no condition can refer to."""
         r = replace(self.unordered(), prefetched={})

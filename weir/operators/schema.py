@@ -40,6 +40,8 @@ class TableMeta:
     required: tuple[str, ...] = ()
     checks: dict[str, str] = field(default_factory=dict)
     defaults: dict[str, str] = field(default_factory=dict)
+    #: Columns that a request selects if nothing else is said; empty: all.
+    selection: tuple[str, ...] = ()
 
 
 def _meta(name, pk=(), unique=(), **fks):

@@ -277,3 +277,15 @@ def current_moment(db):
 def filter_trimmed(db):
     """Equality that passes over blanks at the end."""
     return db.df("customer").filter(F.collate(F.concat("c_mktsegment", F.lit("  ")), "UTF8_BINARY_RTRIM") == F.lit("BUILDING")).select("c_custkey")
+
+
+@query("SELECT c_custkey, upper(replace(c_mktsegment, 'i', 'İ')) AS turkish FROM (SELECT c_custkey, lower(c_mktsegment) AS c_mktsegment FROM customer)")
+def text_localized(db):
+    """Upper case by Turkish rules, where i becomes a dotted capital."""
+    return db.df("customer").select("c_custkey", D.upper_in(F.lower("c_mktsegment"), "tr").alias("turkish"))
+
+
+@query("SELECT p_partkey, p_name = 'PART_7' AS exact, lower(p_name) = 'part_7' AS folded, rtrim(p_name || ' ') = p_name AS trimmed FROM part")
+def text_collations(db):
+    c = F.col("p_name")
+    return db.df("part").select("p_partkey", (D.collated(c, "binary") == "PART_7").alias("exact"), (D.collated(c, "nocase") == "PART_7").alias("folded"), (D.collated(F.concat(c, F.lit(" ")), "rtrim") == D.collated(c, "rtrim")).alias("trimmed"))

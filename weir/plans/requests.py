@@ -1,12 +1,15 @@
 """Scans, projections, predicates, ordering, grouping, set operations and subqueries."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions import dialect as D
 from ..operators import aggregates as A
 from ..operators.associations import has_one
 from ..operators.request import Request, all_that, any_that, asc_nulls_last, desc, desc_nulls_first
-from ..sources.sql import SQL, dumped, dumped_tables, name
+from ..operators.schema import Catalog
+from ..sources.sql import SQL, dumped, dumped_tables, name, positional, script
 from .catalog import query
 
 
@@ -354,3 +357,22 @@ def dump_tables(db):
 @query("SELECT '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\",\"c_nationkey\":' || c_nationkey || '}' AS line FROM customer")
 def dump_json(db):
     return dumped(Request(db, "customer").select("c_custkey", "c_name", "c_nationkey").to_df(), "json")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice BETWEEN 100000 AND 120000")
+def raw_sql_positional(db):
+    return positional(db.spark, "SELECT o_orderkey FROM {o} WHERE o_orderstatus = ? AND o_totalprice BETWEEN ? AND ?", "F", 100000, 120000, o=db.df("orders"))
+
+
+@query("SELECT c_custkey, 'a;b' AS s FROM customer WHERE c_acctbal > 5000")
+def raw_sql_script(db):
+    """The last of several statements, a semicolon in a text included."""
+    text = "SELECT count(*) FROM {c}; SELECT c_custkey, 'a;b' AS s FROM {c} WHERE c_acctbal > :least;"
+    return script(db.spark, text, {"least": 5000}, c=db.df("customer"))[-1]
+
+
+@query("SELECT event_id, event_type FROM events WHERE value > 40")
+def project_default(db):
+    """What the table's own selection says, filtered by a column outside of it."""
+    metas = db.metas | {"events": replace(db.meta("events"), selection=("event_id", "event_type"))}
+    return Request(Catalog(db.spark, db.folder, db.tables, metas), "events").filter("value > 40").to_df()

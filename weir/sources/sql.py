@@ -16,6 +16,27 @@ from pyspark.sql import functions as F
 QUOTED_OR_NAMED = re.compile(r"'(?:[^'\\\\]|\\\\.)*'|\"[^\"]*\"|`[^`]*`|::|:(\w+)", re.S)
 
 
+def positional(spark: SparkSession, text: str, *values: Any, **tables: DataFrame) -> DataFrame:
+    """Text with a ? for each value, in their order; outside of quotes a ? is a parameter."""
+    return spark.sql(text, args=list(values), **tables)
+
+
+def script(spark: SparkSession, text: str, values: dict[str, Any] | None = None, **tables: DataFrame) -> list[DataFrame]:
+    """The results of statements divided by semicolons outside of quotes, run in their order; each gets those of the values that it names."""
+    statements, at = [], 0
+    for m in re.finditer(QUOTED_OR_NAMED.pattern + "|(;)", text, re.S):
+        if m[2]:
+            statements.append(text[at : m.start()])
+            at = m.end()
+    named = lambda s: {m[1] for m in QUOTED_OR_NAMED.finditer(s) if m[1]}
+    out = []
+    for s in (*statements, text[at:]):
+        if s.strip():
+            mine = {k: v for k, v in (values or {}).items() if k in named(s)}
+            out.append(spark.sql(s, args=mine or None, **{t: d for t, d in tables.items() if "{" + t + "}" in s}))
+    return out
+
+
 def literal(value: Any) -> str:
     """Spark SQL for a value."""
     if value is None:
