@@ -56,9 +56,11 @@ def array_length(c: Column, path: str = "$") -> Column:
 
 
 def type_name(c: Column, path: str = "$") -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(c), path, "variant"))
+    """null, true, false, integer, real, text, array or object; null without a value at the path."""
+    value = F.try_variant_get(F.try_parse_json(c), path, "variant")
+    kind = F.schema_of_variant(value)
     return (
-        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
+        F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.to_json(value)).when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object")
         .when(kind.isin("BIGINT"), "integer").when(kind.isNotNull(), "real")
     )
 

@@ -104,7 +104,6 @@ class Request:
     joins: dict[str, Join] = field(default_factory=dict)
     prefetched: dict[str, Association] = field(default_factory=dict)
     alias: str | None = None
-    combined: tuple[tuple[str, Request], ...] = ()
     sets: tuple[tuple[str, ...], ...] | None = None  # grouping sets
 
     # building

@@ -77,11 +77,15 @@ def json_change(db):
     return db.df("events").select("event_id", J.insert(p, "t", F.col("event_type")).alias("added"), J.replace(p, "k", F.col("event_type")).alias("put"), J.remove(p, "k").alias("gone"), J.patch(p, F.lit('{"k":null,"z":1}')).alias("patched"))
 
 
-@query("SELECT event_id, 'integer' AS k, 'object' AS o, 2::BIGINT AS n, 0::BIGINT AS none FROM events")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'integer' WHEN 1 THEN 'text' WHEN 2 THEN 'array' WHEN 3 THEN 'object' WHEN 4 THEN 'true' WHEN 5 THEN 'null' END AS v, 'object' AS whole,
+CASE WHEN event_id % 6 = 2 THEN 1 + event_id % 4 ELSE 0 END AS n FROM events""")
 def json_types(db):
-    p = F.col("props")
-    two = F.concat(F.lit("["), p, F.lit(",1]"))
-    return db.df("events").select("event_id", J.type_name(p, "$.k").alias("k"), J.type_name(p).alias("o"), J.array_length(two).cast("long").alias("n"), J.array_length(p).cast("long").alias("none"))
+    """Values of every type, by event; arrays of varying length."""
+    i, ones = F.col("event_id"), F.array_join(F.array_repeat(F.lit("7"), (1 + F.col("event_id") % 4).cast("int")), ",")
+    kinds = [F.col("user_id").cast("string"), J.quote(F.col("event_type")), F.concat(F.lit("["), ones, F.lit("]")), F.col("props"), F.lit("true"), F.lit("null")]
+    value = F.element_at(F.array(*kinds), (i % 6 + 1).cast("int"))
+    text = F.concat(F.lit('{"v":'), value, F.lit("}"))
+    return db.df("events").select("event_id", J.type_name(text, "$.v").alias("v"), J.type_name(text).alias("whole"), J.array_length(text, "$.v").cast("long").alias("n"))
 
 
 @query("""SELECT user_id, '[' || string_agg('"' || event_type || '"', ',' ORDER BY ts, event_id) || ']' AS kinds, coalesce('[' || string_agg(event_id, ',' ORDER BY event_id::VARCHAR) FILTER (value > 50) || ']', '[]') AS dear,
