@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
 
 
 def front_coded(rows: list[tuple[bytes, bytes, int, int, int, int]]) -> bytes:
-    """Sorted rows (suffix, left context, n, did, tag, start): a count, heads, what each suffix adds to the one before, lefts."""
+    """Sorted rows (suffix, left context, n, did, tag, start): a count, heads, what each suffix adds to the one before, lefts; compressed."""
     heads, rests, lefts, last, last_left = [], [], [], b"", None
     for suffix, left, n, did, tag, start in rows:
         lcp = common_prefix(last, suffix, 0)
@@ -58,11 +59,12 @@ def front_coded(rows: list[tuple[bytes, bytes, int, int, int, int]]) -> bytes:
             lefts.append(left)
         rests.append(suffix[lcp:])
         last, last_left = suffix, left
-    return b"".join([len(rows).to_bytes(4, "little"), np.array(heads, HEAD).tobytes(), *rests, *lefts])
+    return zstandard.compress(b"".join([len(rows).to_bytes(4, "little"), np.array(heads, HEAD).tobytes(), *rests, *lefts]), 3)
 
 
 def decoded(blob: bytes):
     """(lcp with the one before, suffix, left, n, did, tag, start), one after another."""
+    blob = zstandard.decompress(blob)
     m = int.from_bytes(blob[:4], "little")
     heads = np.frombuffer(blob, HEAD, m, 4)
     at = 4 + heads.nbytes
