@@ -94,24 +94,45 @@ class Index:
         self.block = self.example[self.begin[:-1]] // BLOCK
         self.most = np.maximum.reduceat(self.w, self.begin[:-1]) if len(term) else np.zeros(0)
         self.blocks_of = np.searchsorted(term[self.begin[:-1]], np.arange(len(vocabulary) + 1))
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
         self.rate, self.steps, self.rates = 0.0, np.zeros(0), np.zeros(0)
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of a text, of length 1."""
-        known, found = self.known, {}
-        for word, c in Counter(WORD.findall(text.lower())).items():
-            numbers = known.get(word)
-            if numbers is None:
-                if len(known) >= MEMORY:
-                    known.clear()
-                numbers = known[word] = tuple(self.at[t] for t in terms_of(word) if t in self.at)
-            for i in numbers:
-                found[i] = found.get(i, 0) + c
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0)
-        i, c = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
-        return self.unit(i, (1 + np.log(c)) * self.weight[i])
+    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers and weights of each text, of length 1."""
+        words = [Counter(WORD.findall(t.lower())) for t in texts]
+        number = self.numbers([w for ws in words for w in ws])
+        owner = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        times = np.fromiter((c for w in words for c in w.values()), np.int64, len(number))
+        size = self.sizes[number]
+        term = self.terms[expanded(self.begins[number], size)]
+        width = max(len(self.weight), 1)
+        pair, back = np.unique(np.repeat(owner, size) * width + term, return_inverse=True)
+        tf = np.bincount(back, np.repeat(times, size), len(pair))
+        ends = np.searchsorted(pair, np.arange(len(texts) + 1) * width)
+        i = pair % width
+        w = (1 + np.log(np.maximum(tf, 1))) * self.weight[i]
+        return [self.unit(i[x:y], w[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """A number for each word, under which its terms stand in begins, sizes and terms; new words are added."""
+        got = list(map(self.known.get, words))
+        if None in got:
+            new = list(dict.fromkeys(w for w, n in zip(words, got, strict=True) if n is None))
+            lists = [[self.at[t] for t in terms_of(w) if t in self.at] for w in new]
+            # words without a term share number 0
+            some = [(w, x) for w, x in zip(new, lists, strict=True) if x]
+            self.known.update((w, 0) for w, x in zip(new, lists, strict=True) if not x)
+            self.known.update((w, len(self.sizes) + i) for i, (w, _) in enumerate(some))
+            self.begins = np.append(self.begins, len(self.terms) + np.cumsum([0] + [len(x) for _, x in some])[:-1])
+            self.sizes = np.append(self.sizes, [len(x) for _, x in some]).astype(np.int64)
+            self.terms = np.append(self.terms, [i for _, x in some for i in x]).astype(np.int64)
+            got = list(map(self.known.get, words))
+        return np.array(got, np.int64)
+
+    def forget(self) -> None:
+        """Starts the words that are remembered anew."""
+        self.known: dict[str, int] = {}
+        self.begins, self.sizes, self.terms = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     @staticmethod
     def unit(i: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +219,9 @@ class Index:
         """A rate from 0 to 1 for each text, and its five nearest examples."""
         if not len(self.steps):
             return np.full(len(texts), self.rate), [[] for _ in texts]
-        vote, row, which = self.votes([self.vector(t) for t in texts])
+        if len(self.known) > MEMORY:
+            self.forget()
+        vote, row, which = self.votes([v for lo in range(0, len(texts), 256) for v in self.vectors(texts[lo : lo + 256])])
         step = np.maximum(np.searchsorted(self.steps, vote, "right") - 1, 0)
         # a small share of the raw vote keeps the order within a step
         rated = np.clip(0.98 * self.rates[np.minimum(step, len(self.rates) - 1)] + 0.02 * vote, 0, 1)
