@@ -296,7 +296,7 @@ def test_pipeline(spark, sf):
         for s, e in merged:
             out, at = out + text[at:s] + "[SECRET]", e
         masked[i] = (i, out + text[at:], lang, source)
-    drawn = op3_mixing.mixed(spark.createDataFrame(list(masked.values()), "doc_id long, text string, lang string, source string")).filter("_drawn").select("doc_id", "text")
+    drawn = op3_mixing.mixed(spark.createDataFrame(list(masked.values()), "doc_id long, text string, lang string, source string"), topics=op3_mixing.PHRASES).filter("_drawn").select("doc_id", "text")
     want = {tuple(r) for r in op8_bpe.digests(drawn).collect()}
     assert got == want and got
     assert op2_secret_scan and op4_simhash

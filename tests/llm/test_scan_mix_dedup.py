@@ -182,6 +182,8 @@ def test_mixing_of_odd_rows(spark):
     clash = spark.createDataFrame([(1, "a b", "en", "s", "old", 9, "s", 1.0)], "doc_id long, text string, lang string, source string, _source string, _tokens int, s string, p double")
     got = op3.mixed(clash)
     assert len(set(got.columns)) == len(got.columns) and got.first()._tokens == 2 and got.first()._source == "s" and got.first().s == "s"
+    by_phrase = op3.mixed(spark.createDataFrame([(1, "all rights reserved, a@b", "en", "s", "k", "x"), (2, None, None, None, None, None)], DOCS), topics=op3.PHRASES).collect()
+    assert {r.doc_id: r._topic for r in by_phrase} == {1: "legal", 2: "general"}
     long = spark.createDataFrame([(1, "word " * 100_000, "en", "s", None, None), (2, "x" * 300_000, "en", "s", None, None)], DOCS)
     assert {r.doc_id: r._tokens for r in op3.mixed(long).collect()} == {1: 100_000, 2: 1}
 
