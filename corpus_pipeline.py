@@ -46,9 +46,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn by their calibrated probabilities stay. Rows of one doc_id are drawn together, rows without one by their text.
 
-    Null sources and languages are "other"; documents without words have the overall rate.
+    Null sources and languages are "other"; documents without words have the overall rate. Topics are told by phrases here: clusters need
+    Python workers, which after the stages before hold too much memory.
     """
-    return op3_mixing.mixed(docs.select(*COLUMNS)).filter("_drawn").select(*COLUMNS)
+    return op3_mixing.mixed(docs.select(*COLUMNS), topics=op3_mixing.PHRASES).filter("_drawn").select(*COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
