@@ -65,3 +65,11 @@ def test_stored_index_is_one_table_written_once(spark, sf, tmp_path):
     files = one.table().inputFiles()
     assert TextIndex.stored(docs, "doc_id", ("text",)).table().inputFiles() == files and all(os.path.dirname(f) == os.path.dirname(files[0]) for f in files)
     assert one.postings.filter("token = ''").count() == 0
+
+
+def test_stems_look_at_each_word_once(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search, "stem", lambda w: asked.append(w) or w[:3])
+    lists = pa.array([["running", "runner", "running"], None, [], ["runner", None]], pa.list_(pa.string()))
+    assert search.stemmed(lists).to_pylist() == [["run"] * 3, None, [], ["run", None]] and search.stemmed(lists.slice(1)).to_pylist() == [None, [], ["run", None]]
+    assert sorted(asked) == ["runner", "runner", "running"]
