@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from weir.functions import search, text_index
 from weir.functions.text_index import TextIndex, Tokenizer
+from weir.operators import aggregates
 from weir.plans import catalog
 
 QUERIES = catalog.queries()
+SHARES = ((0.25, 0.5), (0.49, 0.51), (0.0, 0.1), (0.9, 1.0))
 
 
 def plan(df) -> str:
@@ -73,3 +75,21 @@ def test_stems_look_at_each_word_once(spark, monkeypatch):
     lists = pa.array([["running", "runner", "running"], None, [], ["runner", None]], pa.list_(pa.string()))
     assert search.stemmed(lists).to_pylist() == [["run"] * 3, None, [], ["run", None]] and search.stemmed(lists.slice(1)).to_pylist() == [None, [], ["run", None]]
     assert sorted(asked) == ["runner", "runner", "running"]
+
+
+def test_ranks_decide_as_exact_percentiles_do(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 4, 101):
+        values = [rng.randint(0, 9) * 1.0 if n < 50 else rng.randint(0, 60) * 0.5 for _ in range(n)] + [None]
+        rows = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+        for m in sorted({v for v in values if v is not None})[:: max(1, n // 12)] or [None]:
+            found = spark.createDataFrame([(m, 7)], "m double, x int").coalesce(1)
+            r = aggregates.rank_of(rows, "v", found, "m").select("x", *[aggregates.within_shares(lo, hi).alias(f"w{i}") for i, (lo, hi) in enumerate(SHARES)]).first()
+            want = rows.agg(*[F.lit(m).cast("double").between(F.percentile("v", lo), F.percentile("v", hi)) for lo, hi in SHARES]).first()
+            assert (r.x, *r[1:]) == (7, *want), (values, m)
+
+
+def test_sketches_hold_no_table_of_values_in_one_task(spark, sf):
+    made = plan(QUERIES["aggregate_sketches"](spark, sf))
+    assert "percentile(" not in made and "SortAggregate" not in made
+    assert [tuple(r) for r in QUERIES["aggregate_sketches"](spark, sf).collect()] == [(True, True)]

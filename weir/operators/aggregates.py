@@ -121,3 +121,23 @@ def about_distinct(value: Column, error: float = 0.02) -> Column:
 def about_quantile(value: Column, share: float, accuracy: int = 10_000) -> Column:
     """A value whose rank is within 1 / accuracy of the share."""
     return F.percentile_approx(value, share, accuracy)
+
+
+def rank_of(rows: DataFrame, value: str, found: DataFrame, which: str) -> DataFrame:
+    """found, a table of one row, with counts over all rows: _below and _upto, the values under and up to its value in the column `which`, and _n, all values.
+
+    Counts add up in every task, where exact percentiles would hold each distinct value in one.
+    """
+    v, m = F.col(value), F.col(which)
+    one = F.broadcast(found)  # one row
+    counts = rows.filter(v.isNotNull()).crossJoin(one.select(which)).agg(F.count_if(v < m).alias("_below"), F.count_if(v <= m).alias("_upto"), F.count("*").alias("_n"))
+    return found.crossJoin(F.broadcast(counts))
+
+
+def within_shares(low: float, high: float) -> Column:
+    """Whether a value of the table lies between its exact percentiles (interpolated, as percentile() gives them), by the counts of rank_of; null without values.
+
+    The value has the ranks _below to _upto - 1 of _n - 1: it reaches a percentile if its last rank does, and passes none that its first rank does not.
+    """
+    last = F.col("_n") - 1
+    return F.when(F.col("_n") > 0, (F.col("_upto") - 1 >= low * last) & (F.col("_below") <= high * last))

@@ -269,9 +269,10 @@ def aggregate_ordered(db):
 @query("SELECT true AS distinct_close, true AS median_close")
 def aggregate_sketches(db):
     """Sketches against the exact values of the same table, within their errors."""
-    c = F.col("l_extendedprice")
-    r = db.df("lineitem").agg(A.about_distinct(c, 0.02).alias("d"), F.count_distinct(c).alias("e"), A.about_quantile(c, 0.5).alias("m"), F.percentile(c, 0.49).alias("lo"), F.percentile(c, 0.51).alias("hi"))
-    return r.select((F.abs(F.col("d") - F.col("e")) <= 0.1 * F.col("e")).alias("distinct_close"), F.col("m").between(F.col("lo"), F.col("hi")).alias("median_close"))
+    rows = db.df("lineitem").select(F.col("l_extendedprice").alias("v"))
+    sketch = rows.agg(A.about_distinct(F.col("v"), 0.02).alias("d"), A.about_quantile(F.col("v"), 0.5).alias("m"))
+    exact = rows.distinct().agg(F.count("v").alias("e"))
+    return A.rank_of(rows, "v", sketch, "m").crossJoin(F.broadcast(exact)).select((F.abs(F.col("d") - F.col("e")) <= 0.1 * F.col("e")).alias("distinct_close"), A.within_shares(0.49, 0.51).alias("median_close"))
 
 
 @query("SELECT o_custkey, max(o_totalprice) AS most, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS at FROM orders GROUP BY o_custkey")
