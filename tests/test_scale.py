@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weir.functions import search, text_index
 from weir.functions.text_index import TextIndex, Tokenizer
-from weir.operators import aggregates
+from weir.operators import aggregates, joins
 from weir.plans import catalog
 
 QUERIES = catalog.queries()
@@ -93,3 +93,28 @@ def test_sketches_hold_no_table_of_values_in_one_task(spark, sf):
     made = plan(QUERIES["aggregate_sketches"](spark, sf))
     assert "percentile(" not in made and "SortAggregate" not in made
     assert [tuple(r) for r in QUERIES["aggregate_sketches"](spark, sf).collect()] == [(True, True)]
+
+
+def test_rows_above_others_meet_once_in_cells(spark):
+    rng = random.Random(8)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 1e300, -1e300]
+    for mine, other in ((odd + [rng.randint(0, 40) / 2 for _ in range(60)], odd + [rng.randint(0, 40) / 2 for _ in range(60)]), ([1.0, 2.0], [2.0, 5.0]), ([], [1.0]), ([1.0, None], [])):
+        a = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(mine)], "i int, g int, h double").coalesce(1)
+        b = spark.createDataFrame([(i, i % 3, v) for i, v in enumerate(other)], "j int, f int, l double").coalesce(1)
+        x, y = joins.above_cells(a, b, F.col("h"), F.col("l") + 1, "ca", "cb", 8)
+        got = [tuple(r) for r in x.join(y, (x["g"] == y["f"]) & (x["ca"] == y["cb"]) & (F.col("h") > F.col("l") + 1)).select("i", "j").collect()]
+        want = [tuple(r) for r in a.join(b, (a["g"] == b["f"]) & (F.col("h") > F.col("l") + 1)).select("i", "j").collect()]
+        assert sorted(got) == sorted(want)
+        assert x.count() <= 8 * len(mine) and y.count() <= len(other)
+
+
+def test_aliased_join_meets_in_cells(spark, tmp_path):
+    """Nations alone leave the pairs to 25 keys, and a broadcast to as many tasks as there are files."""
+    rng = random.Random(2)
+    s, c = ([(i, rng.randint(0, 2), rng.randint(-99999, 999999) / 100) for i in range(n)] for n in (60, 300))
+    spark.createDataFrame(s, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame(c, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    df = QUERIES["join_aliased"](spark, str(tmp_path))
+    want = sorted((a, b) for a, n, x in s for b, m, y in c if n == m and x > y + 9000)
+    assert sorted(map(tuple, df.collect())) == want and len(want) > 9
+    assert "_cell_c" in plan(df) and "RoundRobinPartitioning" in plan(df)

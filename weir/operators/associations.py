@@ -14,6 +14,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import above_cells
 from .schema import SchemaError, plural, singular
 
 if TYPE_CHECKING:
@@ -31,6 +32,7 @@ class Association:
     pivot: Association | None = None  # origin to pivot
     target: Association | None = None  # pivot to destination
     on: Callable[[DataFrame, DataFrame], Column] | None = None
+    above: tuple[Callable[[DataFrame], Column], Callable[[DataFrame], Column]] | None = None  # values of the origin and of the destination: only pairs whose first is greater are asked for
     most: int | None = None  # rows of each origin, the first in the destination's order
 
     # refinement, before the join
@@ -145,6 +147,10 @@ class Association:
             d = replace(self.destination, orders=()).to_df()
             order = [s.expression.alias(f"o{i}") for i, s in enumerate(self.orders)] or [F.lit(None).cast("int").alias("none")]
             packed = d.select(F.struct(*d.columns).alias(key), F.struct(*order).alias(f"_order_{key}"))
+            if self.above is not None and how == "inner":
+                cells = [f"_cell_{key}", f"_far_cell_{key}"]
+                df, packed = above_cells(df, packed, self.above[0](df), self.above[1](packed), *cells)
+                return df.join(packed, self.on(df, packed) & (df[cells[0]] == packed[cells[1]]), how).drop(*cells)
             return df.join(packed, self.on(df, packed), how)
         rows = self.rows().withColumnsRenamed({"_row": key, "_order": f"_order_{key}"})
         on = [df[c] == rows[f"_k{i}"] for i, c in enumerate(self.left)]
@@ -343,6 +349,11 @@ def through(pivot: Association, target: Association, key: str | None = None) ->
     return Association(pivot.origin, target.destination, pivot.left, pivot.right, name, many, pivot, target)
 
 
-def associated_on(origin: Request, destination: Request, key: str, on: Callable[[DataFrame, DataFrame], Column]) -> Association:
-    """Any condition between the origin and the destination's struct column."""
-    return Association(origin.table, destination, (), (), key, True, on=on)
+def associated_on(origin: Request, destination: Request, key: str, on: Callable[[DataFrame, DataFrame], Column], above: tuple[Callable[[DataFrame], Column], Callable[[DataFrame], Column]] | None = None) -> Association:
+    """Any condition between the origin and the destination's struct column.
+
+    above: a further condition, that the first value (of the origin) is greater than the second (of the struct column). Where the association is required, rows then meet in
+    cells of these values, which deals out what a condition on few keys would leave to a few tasks.
+    """
+    met = on if above is None else lambda df, o: on(df, o) & (above[0](df) > above[1](o))
+    return Association(origin.table, destination, (), (), key, True, on=met, above=above)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,22 @@ def overlapping(left: DataFrame, right: DataFrame, mine: tuple[str, str], other:
     return a.join(b, on).drop("_ca", "_cb")
 
 
+def above_cells(left: DataFrame, right: DataFrame, high: Column, low: Column, mine: str, other: str, cells: int = 64) -> tuple[DataFrame, DataFrame]:
+    """left with a column `mine` and right with a column `other`, on whose equality each pair with high > low meets, once; few others do.
+
+    high: of left. Its rows come once for each cell up to their own, at most `cells` times; right's rows are in one cell each. Cells are cut at about equal shares of
+    right's values, so no outlier makes many. Right's rows are dealt out evenly, for a broadcast of left leaves each to where it stands. Left rows above no value of right and right rows under none of left find no partner and are left out.
+    """
+    top = left.agg(F.max(high)).first()[0]
+    about = right.filter(low < F.lit(top)).agg(F.min(low), F.percentile_approx(low, [i / cells for i in range(1, cells)], 10_000)).first()
+    cuts = sorted({x for x in about[1] or () if x == x})
+
+    def cell(c: Column, lo: int = 0, hi: int = len(cuts)) -> Column:
+        """The number of cuts at or under c, by halves."""
+        if lo == hi:
+            return F.lit(lo)
+        at = (lo + hi) // 2
+        return F.when(c < F.lit(cuts[at]), cell(c, lo, at)).otherwise(cell(c, at + 1, hi))
+
+    a = left.filter(high > F.lit(about[0])).withColumn(mine, F.explode(F.sequence(F.lit(0), cell(high))))
+    return a, right.filter(low < F.lit(top)).withColumn(other, cell(low)).repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -73,7 +73,8 @@ def join_self_on_condition(db):
 def join_aliased(db):
     """A condition over the request's alias and the association's key."""
     supplier, customer = requests(db, "supplier", "customer")
-    near = associated_on(supplier, customer, "c", lambda df, o: df["s_nationkey"] == o["c"]["c_nationkey"])
+    rich = (lambda df: df["s_acctbal"], lambda o: o["c"]["c_acctbal"] + 9000)  # without it, the pairs of 25 nations' rows would all be made
+    near = associated_on(supplier, customer, "c", lambda df, o: df["s_nationkey"] == o["c"]["c_nationkey"], rich)
     r = supplier.aliased("s").including_required(near).filter("s.s_acctbal > c.c_acctbal + 9000")
     return r.select("s.s_suppkey", "c.c_custkey").to_df().drop("c")
 
