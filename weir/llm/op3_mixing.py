@@ -7,8 +7,8 @@ others are raked on. A document is drawn with its cell's calibrated probability,
 Targets may be given. By default they follow from the counts: the share of each category to the power `temper`, as far as the
 category's tokens reach at the rate of drawing, and as far as they can be met together with the dimensions before (source, language, topic): of the
 steps from the share that those leave to the wish, the last that raking meets. Categories beyond the `most` with the most tokens are one, "other", so the number of cells is bounded and
-not by the data: the cells, not the documents, are raked on the driver. Topics are clusters of texts: spherical k-means of hashed words, fitted on a
-bounded sample (`sample` texts, the least by a hash). The draw hashes the doc_id, so it is the same on any cluster.
+not by the data: the cells, not the documents, are raked on the driver. Topics are clusters of texts: spherical k-means of hashed words, fitted
+on all texts, each as often as it occurs. Their vectors are written once, and each round sums them in whole numbers, so the order of tasks does not matter. The draw hashes the doc_id, so it is the same on any cluster.
 
 Defined results: null text has no tokens; null source or language counts as "other". A target of a category
 without tokens is dropped and the rest scaled to 1. A document without tokens has the overall rate. Texts without words have the topic "none".
@@ -17,6 +17,7 @@ Rows that repeat a doc_id are drawn together; rows without a doc_id by their tex
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import checkpoint, fresh, table, utf8, whole_text
+from .common import fresh, table, utf8, whole_text, written
 
 OTHER = "other"
 NO_TOPIC = "none"
@@ -96,26 +97,105 @@ class Topics:
         return pa.array(out, pa.string())
 
 
-def learn_topics(docs: DataFrame, clusters: int = 8, sample: int = 2000, longest: int = 20_000, rounds: int = 20) -> Topics:
-    """From at most `sample` distinct texts of at most `longest` characters, those of the least hashes; the start follows their order."""
+def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From h and text: h, buckets (16 bits each) and their counts (32 bits each), of the texts that have words."""
+    for b in batches:
+        for lo in range(0, len(b), SLICE):
+            h, text = (c.slice(lo, SLICE) for c in b.columns)
+            doc, bucket, n = _word_buckets(text)
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            ends = np.append(first, len(doc))
+            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(x.astype(kind))]) for x, kind, width in ((bucket, "<u2", 2), (n, "<u4", 4))]
+            yield pa.RecordBatch.from_arrays([h.take(pa.array(doc[first])), *packed], ["h", "buckets", "counts"])
+
+
+VECTORS = "h long, buckets binary, counts binary"
+#: Sums are of whole numbers of this part of a vector's length.
+UNIT = 1 << 30
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of vectors, some at a time; where each row's buckets start (one more at the end), the buckets and the counts."""
+    for b in batches:
+        for lo in range(0, len(b), 8 * SLICE):
+            some = b.slice(lo, 8 * SLICE)
+            data, at = utf8(some["buckets"])
+            counts, ends = utf8(some["counts"])
+            yield some, (at - at[0]) // 2, data[at[0] : at[-1]].view("<u2").astype(np.int64), counts[ends[0] : ends[-1]].view("<u4")
+
+
+def _unit(at: np.ndarray, bucket: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The values of vectors of length 1."""
+    x = np.sqrt(n) * idf[bucket]
+    return x / np.repeat(np.sqrt(np.add.reduceat(x * x, at[:-1])), np.diff(at))
+
+
+def _likeness(at: np.ndarray, bucket: np.ndarray, x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Vectors x centroids."""
+    return np.add.reduceat(np.ascontiguousarray(centroids.T)[bucket] * x[:, None], at[:-1], axis=0)
+
+
+def _chance(h: np.ndarray, turn: int) -> np.ndarray:
+    """A number above 0 and under 1 for each hash and turn."""
+    z = h.view(np.uint64) + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / 2**52 + 2**-54
+
+
+def learn_topics(docs: DataFrame, clusters: int = 8, rounds: int = 20) -> Topics:
+    """From all texts: each start is drawn by its distance from those before (k-means++, by hashes); rounds end when no centroid changes."""
     low = F.lower(whole_text())
-    rows = docs.select(low.alias("t"), F.xxhash64(low).alias("h")).filter(F.length("t") <= longest)
-    least = checkpoint(rows.select("h").distinct().orderBy("h").limit(sample))  # hashes alone are exchanged
-    texts = rows.join(F.broadcast(least), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")).orderBy("h").select("t").toArrow()["t"].combine_chunks()
-    doc, bucket, n = word_buckets(texts if len(texts) else pa.array([], pa.string()))
-    x = np.zeros((len(texts), BUCKETS), np.float32)
-    x[doc, bucket] = np.sqrt(n)
-    x = x[x.any(1)]
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centroids = x[:1]
-    while 0 < len(centroids) < min(clusters, len(x)):  # each further start is the text least like the ones before
-        centroids = np.vstack([centroids, x[(x @ centroids.T).max(1).argmin()][None]])
-    for _ in range(rounds):
-        at = (x @ centroids.T).argmax(1) if len(x) else np.zeros(0, int)
-        sums = np.array([x[at == i].sum(0) if (at == i).any() else centroids[i] for i in range(len(centroids))]).reshape(-1, BUCKETS)
-        centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    held = written(docs.select(F.xxhash64(low).alias("h"), low.alias("t")).mapInArrow(vectors, VECTORS))
+
+    def summed(f: Callable, size: int) -> np.ndarray:
+        """The sum of f's whole numbers over all parts."""
+
+        def run(batches):
+            out = sum((f(*x) for x in _parts(batches)), np.zeros(size, np.int64))
+            at = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["i", "n"])
+
+        got = held.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size, np.int64)
+        out[got["i"].to_numpy()] = got["n"].to_numpy()
+        return out
+
+    texts = summed(lambda some, at, bucket, n: np.append(np.bincount(bucket, minlength=BUCKETS), len(some)), BUCKETS + 1)
+    idf = np.log((1 + texts[-1]) / (1 + texts[:-1])) + 0.1
+    centroids = np.zeros((0, BUCKETS))
+
+    def start(now: np.ndarray) -> np.ndarray | None:
+        """The next start, a text that is like none of those now; None if there is none."""
+
+        def run(batches):
+            for some, at, bucket, n in _parts(batches):
+                far = 1 - _likeness(at, bucket, _unit(at, bucket, n, idf), now).max(1) if len(now) else np.ones(len(some))
+                score = np.where(far > 1e-9, -np.log(_chance(some["h"].to_numpy(), len(now))) / np.maximum(far, 1e-9), np.inf)
+                i = int(score.argmin())
+                yield pa.RecordBatch.from_arrays([pa.array([score[i]]), *(c.slice(i, 1) for c in some.columns)], ["score", *some.schema.names])
+
+        first = held.mapInArrow(run, f"score double, {VECTORS}").filter("score < double('Infinity')").orderBy("score", "h").limit(1).toArrow()
+        for _, at, bucket, n in _parts(first.drop_columns("score").to_batches()):
+            out = np.zeros(BUCKETS)
+            out[bucket] = _unit(at, bucket, n, idf)
+            return out
+        return None
+
+    while len(centroids) < clusters and (new := start(centroids)) is not None:
+        centroids = np.vstack([centroids, new])
+    for _ in range(rounds if len(centroids) else 0):
+
+        def members(some, at, bucket, n, now=centroids):
+            x = _unit(at, bucket, n, idf)
+            mine = np.repeat(_likeness(at, bucket, x, now).argmax(1), np.diff(at))
+            return np.bincount(mine * BUCKETS + bucket, np.rint(x * UNIT), now.size).astype(np.int64)
+
+        sums = summed(members, centroids.size).reshape(-1, BUCKETS) / UNIT
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        old, centroids = centroids, np.where(length > 0, sums / np.maximum(length, 1e-9), centroids)
+        if np.array_equal(old, centroids):
+            break
     return Topics(idf.astype(np.float32), centroids.astype(np.float32))
 
 
