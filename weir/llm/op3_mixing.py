@@ -8,7 +8,8 @@ Targets may be given. By default they follow from the counts: the share of each
 category's tokens reach at the rate of drawing, and as far as they can be met together with the dimensions before (source, language, topic): of the
 steps from the share that those leave to the wish, the last that raking meets. Categories beyond the `most` with the most tokens are one, "other", so the number of cells is bounded and
 not by the data: the cells, not the documents, are raked on the driver. Topics are clusters of texts: spherical k-means of hashed words, fitted
-on all texts, each as often as it occurs. Their vectors are written once, and each round sums them in whole numbers, so the order of tasks does not matter. The draw hashes the doc_id, so it is the same on any cluster.
+on all texts, each as often as it occurs. Their vectors are written once, with their rows (`counted`); clusters, counts and cells come from these, not from the texts
+again. Each round sums vectors in whole numbers, so the order of tasks does not matter. The draw hashes the doc_id, so it is the same on any cluster.
 
 Defined results: null text has no tokens; null source or language counts as "other". A target of a category
 without tokens is dropped and the rest scaled to 1. A document without tokens has the overall rate. Texts without words have the topic "none".
@@ -62,12 +63,7 @@ class Mixture:
 
 
 def word_buckets(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each distinct (text, bucket of words): the text, the bucket, the count; in slices of texts, so that memory follows these."""
-    found = [(doc + lo, bucket, n) for lo in range(0, len(text), SLICE) for doc, bucket, n in [_word_buckets(text.slice(lo, SLICE))]]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-
-
-def _word_buckets(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each distinct (text, bucket of words): the text, the bucket, the count. Memory is some times that of the texts."""
     data, offsets = utf8(text)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     starts, ends, at = spans.word_bounds(data, offsets)
@@ -76,52 +72,39 @@ def _word_buckets(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pair // BUCKETS, pair % BUCKETS, n
 
 
-@dataclass(frozen=True)
-class Topics:
-    """idf by bucket and centroids (clusters x buckets)."""
-
-    idf: np.ndarray
-    centroids: np.ndarray
-
-    def of(self, text: pa.Array) -> pa.Array:
-        return pa.concat_arrays([self._of(text.slice(lo, SLICE)) for lo in range(0, len(text), SLICE)] or [pa.array([], pa.string())])
-
-    def _of(self, text: pa.Array) -> pa.Array:
-        doc, bucket, n = word_buckets(text)
-        out = np.full(len(text), NO_TOPIC, object)
-        if len(doc) and len(self.centroids):
-            likeness = self.centroids[:, bucket] * (np.sqrt(n, dtype=np.float32) * self.idf[bucket])
-            first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            best = np.add.reduceat(likeness, first, axis=1).argmax(0)
-            out[doc[first]] = [f"topic{i}" for i in best]
-        return pa.array(out, pa.string())
-
-
-def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From h and text: h, buckets (16 bits each) and their counts (32 bits each), of the texts that have words."""
-    for b in batches:
-        for lo in range(0, len(b), SLICE):
-            h, text = (c.slice(lo, SLICE) for c in b.columns)
-            doc, bucket, n = _word_buckets(text)
-            first = np.flatnonzero(np.diff(doc, prepend=-1))
-            ends = np.append(first, len(doc))
-            packed = [pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(x.astype(kind))]) for x, kind, width in ((bucket, "<u2", 2), (n, "<u4", 4))]
-            yield pa.RecordBatch.from_arrays([h.take(pa.array(doc[first])), *packed], ["h", "buckets", "counts"])
+def vectors(text: pa.Array) -> pa.Array:
+    """Of each text the number of its words, the buckets of these (16 bits each) and the buckets' counts (32 bits each)."""
+    out = []
+    for lo in range(0, len(text), SLICE):
+        doc, bucket, n = word_buckets(part := text.slice(lo, SLICE))
+        at = np.append(0, np.cumsum(np.bincount(doc, minlength=len(part))))
+        words = np.diff(np.append(0, np.cumsum(n))[at])
+        packed = [pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(x.astype(kind))]) for x, kind, width in ((bucket, "<u2", 2), (n, "<u4", 4))]
+        out.append(pa.StructArray.from_arrays([pa.array(words, pa.int64()), *packed], ["n", "buckets", "counts"]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("n", pa.int64()), ("buckets", pa.binary()), ("counts", pa.binary())]))
 
 
+VECTOR = "n long, buckets binary, counts binary"
 VECTORS = "h long, buckets binary, counts binary"
 #: Sums are of whole numbers of this part of a vector's length.
 UNIT = 1 << 30
+#: Sums that travel together.
+PIECE = 1024
+
+
+def _unpacked(buckets: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each row's buckets start (one more at the end), the buckets and the counts."""
+    data, at = utf8(buckets)
+    n, ends = utf8(counts)
+    return (at - at[0]) // 2, data[at[0] : at[-1]].view("<u2").astype(np.int64), n[ends[0] : ends[-1]].view("<u4")
 
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of vectors, some at a time; where each row's buckets start (one more at the end), the buckets and the counts."""
     for b in batches:
-        for lo in range(0, len(b), 8 * SLICE):
-            some = b.slice(lo, 8 * SLICE)
-            data, at = utf8(some["buckets"])
-            counts, ends = utf8(some["counts"])
-            yield some, (at - at[0]) // 2, data[at[0] : at[-1]].view("<u2").astype(np.int64), counts[ends[0] : ends[-1]].view("<u4")
+        for lo in range(0, len(b), SLICE):
+            some = b.slice(lo, SLICE)
+            yield some, *_unpacked(some["buckets"], some["counts"])
 
 
 def _unit(at: np.ndarray, bucket: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -131,8 +114,8 @@ def _unit(at: np.ndarray, bucket: np.ndarray, n: np.ndarray, idf: np.ndarray) ->
 
 
 def _likeness(at: np.ndarray, bucket: np.ndarray, x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Vectors x centroids."""
-    return np.add.reduceat(np.ascontiguousarray(centroids.T)[bucket] * x[:, None], at[:-1], axis=0)
+    """Vectors x centroids; each value follows from its own vector alone. No vector is empty."""
+    return np.stack([np.add.reduceat(c[bucket] * x, at[:-1]) for c in centroids], axis=1)
 
 
 def _chance(h: np.ndarray, turn: int) -> np.ndarray:
@@ -143,47 +126,130 @@ def _chance(h: np.ndarray, turn: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / 2**52 + 2**-54
 
 
-def learn_topics(docs: DataFrame, clusters: int = 8, rounds: int = 20) -> Topics:
-    """From all texts: each start is drawn by its distance from those before (k-means++, by hashes); rounds end when no centroid changes."""
+@dataclass(frozen=True)
+class Topics:
+    """idf by bucket and centroids (clusters x buckets)."""
+
+    idf: np.ndarray
+    centroids: np.ndarray
+
+    def of(self, text: pa.Array) -> pa.Array:
+        v = vectors(text)
+        return self.of_vectors(v.field("buckets"), v.field("counts"))
+
+    def of_vectors(self, buckets: pa.Array, counts: pa.Array) -> pa.Array:
+        return pa.concat_arrays([self._of(buckets.slice(lo, SLICE), counts.slice(lo, SLICE)) for lo in range(0, len(buckets), SLICE)] or [pa.array([], pa.string())])
+
+    def _of(self, buckets: pa.Array, counts: pa.Array) -> pa.Array:
+        at, bucket, n = _unpacked(buckets, counts)
+        out = np.full(len(buckets), NO_TOPIC, object)
+        some = np.flatnonzero(np.diff(at))
+        if len(some) and len(self.centroids):
+            x = np.sqrt(n, dtype=np.float32) * self.idf[bucket]
+            best = _likeness(np.append(at[some], len(bucket)), bucket, x, self.centroids).argmax(1)
+            out[some] = [f"topic{i}" for i in best]
+        return pa.array(out, pa.string())
+
+
+@dataclass(frozen=True)
+class Counted:
+    """Rows without their text, and under `names` what mixing needs of it: its hash, the parts of its vector and the number that the row's chance is held against."""
+
+    rows: DataFrame
+    names: dict[str, str]
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self.names[name])
+
+
+def counted(docs: DataFrame) -> Counted:
+    """One pass over the texts, whose outcome is written."""
+    at = dict(zip(("h", "n", "buckets", "counts", "u"), fresh(docs, "h", "n", "buckets", "counts", "u"), strict=True))
+    kept = ["`" + c.replace("`", "``") + "`" for c in docs.columns if c.lower() != "text"]
     low = F.lower(whole_text())
-    held = written(docs.select(F.xxhash64(low).alias("h"), low.alias("t")).mapInArrow(vectors, VECTORS))
+    vector = F.arrow_udf(vectors, VECTOR)(low)
+    rows = docs.select(*kept, F.xxhash64(low).alias(at["h"]), vector.alias(at["n"]), draw().alias(at["u"]))
+    return Counted(written(rows.select(*kept, at["h"], *[F.col(at["n"])[k].alias(at[k]) for k in ("n", "buckets", "counts")], at["u"])), at)
+
+
+def draw() -> Column:
+    """At least 0 and under 1, by the doc_id or else the text."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), whole_text())), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+#: Texts that are expected among the first for each start.
+EARLY = 64
+
+
+def learn_topics(docs: DataFrame | Counted, clusters: int = 8, rounds: int = 20) -> Topics:
+    """From all texts: each start is drawn by its distance from those before (k-means++, by hashes); rounds end when no centroid changes."""
+    seen = docs if isinstance(docs, Counted) else counted(docs.select(F.lit(0).alias("doc_id"), "text"))
+    held = seen.rows.filter(seen["n"] > 0).select(*[seen[k].alias(k) for k in ("h", "buckets", "counts")])
 
     def summed(f: Callable, size: int) -> np.ndarray:
         """The sum of f's whole numbers over all parts."""
 
         def run(batches):
-            out = sum((f(*x) for x in _parts(batches)), np.zeros(size, np.int64))
-            at = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["i", "n"])
-
-        got = held.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(size, np.int64)
-        out[got["i"].to_numpy()] = got["n"].to_numpy()
-        return out
+            out = np.zeros(-(-size // PIECE) * PIECE, np.int64)
+            for x in _parts(batches):
+                out[:size] += f(*x)
+            some = np.flatnonzero(out.reshape(-1, PIECE).any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([out[i * PIECE : (i + 1) * PIECE].tobytes() for i in some], pa.binary())], ["i", "n"])
+
+        def added(piece: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(PIECE, np.int64)
+            for b in batches:
+                for x in b["n"]:
+                    n += np.frombuffer(x.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([piece[0].as_py()]), pa.array([n.tobytes()], pa.binary())], ["i", "n"])
+
+        got = held.mapInArrow(run, "i long, n binary").groupBy("i").applyInArrow(added, "i long, n binary").toArrow()
+        out = np.zeros((-(-size // PIECE), PIECE), np.int64)
+        for i, n in zip(got["i"].to_pylist(), got["n"].to_pylist(), strict=True):
+            out[i] = np.frombuffer(n, np.int64)
+        return out.reshape(-1)[:size]
 
     texts = summed(lambda some, at, bucket, n: np.append(np.bincount(bucket, minlength=BUCKETS), len(some)), BUCKETS + 1)
     idf = np.log((1 + texts[-1]) / (1 + texts[:-1])) + 0.1
     centroids = np.zeros((0, BUCKETS))
 
-    def start(now: np.ndarray) -> np.ndarray | None:
-        """The next start, a text that is like none of those now; None if there is none."""
+    def scored(some: pa.RecordBatch, at: np.ndarray, bucket: np.ndarray, n: np.ndarray, now: np.ndarray) -> np.ndarray:
+        """The text with the least of these is the next start; infinite for those like one of those now."""
+        far = 1 - _likeness(at, bucket, _unit(at, bucket, n, idf), now).max(1) if len(now) else np.ones(len(some))
+        return np.where(far > 1e-9, -np.log(_chance(some["h"].to_numpy(), len(now))) / np.maximum(far, 1e-9), np.inf)
+
+    def start(now: np.ndarray) -> pa.RecordBatch | None:
+        """The next start of all texts, one that is like none of those now; None if there is none."""
 
         def run(batches):
             for some, at, bucket, n in _parts(batches):
-                far = 1 - _likeness(at, bucket, _unit(at, bucket, n, idf), now).max(1) if len(now) else np.ones(len(some))
-                score = np.where(far > 1e-9, -np.log(_chance(some["h"].to_numpy(), len(now))) / np.maximum(far, 1e-9), np.inf)
+                score = scored(some, at, bucket, n, now)
                 i = int(score.argmin())
                 yield pa.RecordBatch.from_arrays([pa.array([score[i]]), *(c.slice(i, 1) for c in some.columns)], ["score", *some.schema.names])
 
         first = held.mapInArrow(run, f"score double, {VECTORS}").filter("score < double('Infinity')").orderBy("score", "h").limit(1).toArrow()
-        for _, at, bucket, n in _parts(first.drop_columns("score").to_batches()):
-            out = np.zeros(BUCKETS)
-            out[bucket] = _unit(at, bucket, n, idf)
-            return out
-        return None
-
-    while len(centroids) < clusters and (new := start(centroids)) is not None:
-        centroids = np.vstack([centroids, new])
+        return next(iter(first.drop_columns("score").to_batches()), None)
+
+    least = EARLY / max(int(texts[-1]), 1)
+
+    def early(batches):
+        """A text's score is at least -log of its chance, since none is farther than 1: the distinct texts for which that is under `least` for some start."""
+        for some, *_ in _parts(batches):
+            h = some["h"].to_numpy()
+            hit = np.flatnonzero(np.any([-np.log(_chance(h, turn)) < least for turn in range(clusters)], axis=0))
+            yield some.take(pa.array(hit[np.unique(h[hit], return_index=True)[1]]))
+
+    first = held.mapInArrow(early, VECTORS).dropDuplicates(["h"]).orderBy("h").toArrow() if clusters else None
+    while len(centroids) < clusters:
+        tried = [(score[i], some.slice(i, 1)) for some, *v in _parts(first.to_batches()) for score in [scored(some, *v, centroids)] for i in [int(score.argmin())]]
+        score, best = min(tried, key=lambda x: x[0], default=(np.inf, None))
+        if not score < least:  # a text that is not among the first may have less
+            best = start(centroids)
+        if best is None:
+            break
+        _, at, bucket, n = next(_parts([best]))
+        centroids = np.vstack([centroids, np.zeros(BUCKETS)])
+        centroids[-1, bucket] = _unit(at, bucket, n, idf)
     for _ in range(rounds if len(centroids) else 0):
 
         def members(some, at, bucket, n, now=centroids):
@@ -281,8 +347,8 @@ def attainable(cells: dict[tuple, float], before: list[dict[str, float]], target
     return {k: x / drawn for k, x in left.items() if x > 0} if drawn else {}
 
 
-def tokens() -> Column:
-    return F.regexp_count(whole_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+def tokens(docs: DataFrame | Counted) -> Column:
+    return docs["n"] if isinstance(docs, Counted) else F.regexp_count(whole_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def known(c: Column, categories) -> Column:
@@ -293,8 +359,12 @@ def known(c: Column, categories) -> Column:
 PHRASES = {"legal": ("licensed under", "rights reserved", "Copyright"), "credentials": ("[SECRET]", "password=", "AKIA", "api_key"), "contact": ("@",)}
 
 
-def topic_column(topics: Topics | dict[str, tuple[str, ...]]) -> Column:
-    """The cluster of a text, or the first topic of which a phrase occurs in it ("general" if none does)."""
+def topic_column(docs: DataFrame | Counted, topics: Topics | dict[str, tuple[str, ...]]) -> Column:
+    """The cluster of a text, or the first topic of which a phrase occurs in it ("general" if none does; phrases ask for texts)."""
+    if isinstance(docs, Counted):
+        if isinstance(topics, dict):
+            raise ValueError("counted rows have no texts to look for phrases in")
+        return F.arrow_udf(topics.of_vectors, "string")(docs["buckets"], docs["counts"])
     if isinstance(topics, dict):
         out = F.lit("general")
         for name, phrases in reversed(topics.items()):
@@ -303,13 +373,13 @@ def topic_column(topics: Topics | dict[str, tuple[str, ...]]) -> Column:
                 hit = hit | whole_text().contains(p)
             out = F.when(hit, F.lit(name)).otherwise(out)
         return out
-    topic_of = F.arrow_udf(topics.of, "string")
-    return topic_of(F.lower(whole_text()))
+    return F.arrow_udf(topics.of, "string")(F.lower(whole_text()))
 
 
-def fit(docs: DataFrame, targets: Targets, topics: Topics | dict[str, tuple[str, ...]]) -> Mixture:
+def fit(docs: DataFrame | Counted, targets: Targets, topics: Topics | dict[str, tuple[str, ...]]) -> Mixture:
     """One pass over the tokens by source, language and topic."""
-    dims = docs.select(tokens().alias("n"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic_column(topics).alias("topic"))
+    rows = docs.rows if isinstance(docs, Counted) else docs
+    dims = rows.select(tokens(docs).alias("n"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), topic_column(docs, topics).alias("topic"))
     given = [getattr(targets, d) for d in DIMENSIONS]
     counts = dims.groupBy(*DIMENSIONS).agg(F.sum("n").alias("n"))
     if any(g is None for g in given[:2]):  # as many rows as there are sources, languages and topics together
@@ -330,26 +400,29 @@ def fit(docs: DataFrame, targets: Targets, topics: Topics | dict[str, tuple[str,
     return Mixture(tuple(categories), {k: chance.get(k, targets.rate) for k in cells}, tuple(wanted), tuple(reached))
 
 
-def mixed(docs: DataFrame, targets: Targets | None = None, topics: Topics | dict[str, tuple[str, ...]] | None = None, mixture: Mixture | None = None) -> DataFrame:
-    """docs with _tokens, _source, _lang, _topic, _probability, _drawn."""
+def mixed(docs: DataFrame | Counted, targets: Targets | None = None, topics: Topics | dict[str, tuple[str, ...]] | None = None, mixture: Mixture | None = None) -> DataFrame:
+    """docs with _tokens, _source, _lang, _topic, _probability, _drawn; of counted ones, their rows."""
     targets = targets or Targets()
-    topics = topics or learn_topics(docs)
-    mixture = mixture or fit(docs, targets, topics)
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
-    key = fresh(docs, "s", "l", "t", "p")
-    rows = [(*k, p) for k, p in mixture.probability.items()]
-    table_ = docs.sparkSession.createDataFrame(rows, ", ".join(f"{k} string" for k in key[:3]) + f", {key[3]} double")
-    marked = docs.select(*["`" + c.replace("`", "``") + "`" for c in kept], tokens().alias("_tokens"), known(F.col("source").cast("string"), mixture.categories[0]).alias("_source"), known(F.col("lang").cast("string"), mixture.categories[1]).alias("_lang"), topic_column(topics).alias("_topic"))
+    rows, own = (docs.rows, docs.names.values()) if isinstance(docs, Counted) else (docs, ())
+    seen = docs
+    if not topics:
+        seen = docs if own else counted(docs.select(*[F.col(c).cast("string").alias(c) for c in ("doc_id", "source", "lang", "text")]))
+        topics = learn_topics(seen)
+    mixture = mixture or fit(seen, targets, topics)
+    kept = [c for c in rows.columns if c.lower() not in ADDED and c not in own]
+    key = fresh(rows, "s", "l", "t", "p", "r")
+    cells = [(*k, p) for k, p in mixture.probability.items()]
+    table_ = rows.sparkSession.createDataFrame(cells, ", ".join(f"{k} string" for k in key[:3]) + f", {key[3]} double")
+    marked = rows.select(*["`" + c.replace("`", "``") + "`" for c in kept], tokens(docs).alias("_tokens"), known(F.col("source").cast("string"), mixture.categories[0]).alias("_source"), known(F.col("lang").cast("string"), mixture.categories[1]).alias("_lang"), topic_column(docs, topics).alias("_topic"), (docs["u"] if own else draw()).alias(key[4]))
     marked = marked.withColumn("_topic", known(F.col("_topic"), mixture.categories[2]))
     joined = marked.join(F.broadcast(table_), [F.col("_source") == F.col(key[0]), F.col("_lang") == F.col(key[1]), F.col("_topic") == F.col(key[2])], "left")  # at most as many rows as cells
-    u = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), whole_text())), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    out = joined.withColumn("_probability", F.coalesce(key[3], F.lit(targets.rate))).withColumn("_drawn", u < F.col("_probability"))
+    out = joined.withColumn("_probability", F.coalesce(key[3], F.lit(targets.rate))).withColumn("_drawn", F.col(key[4]) < F.col("_probability"))
     return out.drop(*key)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its cell, its probability and its draw; by dimension, the share of tokens wanted and reached for its category."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    docs = counted(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
     targets, topics = Targets(), learn_topics(docs)
     mixture = fit(docs, targets, topics)
     out = mixed(docs, targets, topics, mixture).select("doc_id", F.col("_tokens").alias("n_tokens"), F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_probability").alias("probability"), F.col("_drawn").alias("drawn"))
